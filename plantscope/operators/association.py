@@ -8,9 +8,9 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plantscope.functions.numeric import any_of, band, clean, safe_divide
+from plantscope.functions.numeric import any_of, band, clean
 from plantscope.operators.inversions import inversion_sums
-from plantscope.operators.ranks import value_ladder, with_order_statistics
+from plantscope.operators.ranks import ColumnSizes, column_sizes, with_order_statistics
 
 # Weights of the sign vote and of the strength average.
 SIGN_WEIGHTS = {"pearson": 0.5, "spearman": 0.3, "kendall": 0.2}
@@ -37,19 +37,30 @@ def _numbers(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(*[clean(F.col(f"`{c}`")).alias(c) for c in cols])
 
 
-def _has_missing(df: DataFrame, cols: Sequence[str]) -> bool:
-    return not df.where(any_of([F.col(c).isNull() for c in cols])).isEmpty()
-
-
 def pearson_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Every pair from one aggregate over one scan."""
+    """Every pair from one aggregate; pairwise complete where cells are missing."""
     cols = sorted({c for p in pairs for c in p})
     base = _numbers(df, cols)
-    sums, rows = [], []
+    missing = base.agg(F.max(any_of([F.col(c).isNull() for c in cols]))).first()[0]
+    return _pearson_of(base, pairs, "pearson", {c: c for c in cols}, bool(missing))
+
+
+def _pearson_of(base: DataFrame, pairs, method: str, named, missing: bool = False) -> DataFrame:
+    """Pearson of the columns ``named[c]``. Without missing cells the spreads are shared between pairs."""
+    sums, rows = [F.count(F.lit(1)).alias("n")], []
+    if not missing:
+        cols = sorted({c for p in pairs for c in p})
+        place = {c: i for i, c in enumerate(cols)}
+        sums += [F.stddev_pop(named[c]).alias(f"s{place[c]}") for c in cols]
     for i, (a, b) in enumerate(pairs):
-        x, y = F.col(a), F.col(b)
-        sums += [pearson_of(x, y).alias(f"v{i}"), F.count_if(x.isNotNull() & y.isNotNull()).alias(f"n{i}")]
-        rows.append(_row(a, b, "pearson", F.col(f"v{i}"), F.col(f"n{i}")))
+        x, y = F.col(named[a]), F.col(named[b])
+        if missing:
+            sums += [pearson_of(x, y).alias(f"v{i}"), F.count_if(x.isNotNull() & y.isNotNull()).alias(f"n{i}")]
+            rows.append(_row(a, b, method, F.col(f"v{i}"), F.col(f"n{i}")))
+        else:
+            sums.append(F.covar_pop(x, y).alias(f"c{i}"))
+            ratio = F.try_divide(F.col(f"c{i}"), F.col(f"s{place[a]}") * F.col(f"s{place[b]}"))
+            rows.append(_row(a, b, method, F.greatest(F.least(ratio, F.lit(1.0)), F.lit(-1.0)), F.col("n")))
     return base.agg(*sums).select(F.inline(F.array(*rows)))
 
 
@@ -69,40 +80,22 @@ def _pair_at_a_time(df, pairs, one):
     return out
 
 
-def spearman_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], **sizes) -> DataFrame:
-    """Pearson correlation of average ranks."""
-    cols = sorted({c for p in pairs for c in p})
-    base = _numbers(df, cols)
-    if _has_missing(base, cols):
-        return _pair_at_a_time(base, pairs, lambda d, p: _spearman(d, p, **sizes))
-    return _spearman(base, pairs, **sizes)
-
-
-def _spearman(base: DataFrame, pairs, **sizes) -> DataFrame:
-    cols = sorted({c for p in pairs for c in p})
-    return _spearman_of(with_order_statistics(base, cols, **sizes), pairs)
-
-
 def _spearman_of(ranked: DataFrame, pairs) -> DataFrame:
-    sums, rows = [], []
-    for i, (a, b) in enumerate(pairs):
-        sums += [pearson_of(F.col(f"{a}_rank"), F.col(f"{b}_rank")).alias(f"v{i}"), F.count(F.lit(1)).alias(f"n{i}")]
-        rows.append(_row(a, b, "spearman", F.col(f"v{i}"), F.col(f"n{i}")))
-    return ranked.agg(*sums).select(F.inline(F.array(*rows)))
+    cols = {c for p in pairs for c in p}
+    return _pearson_of(ranked, pairs, "spearman", {c: f"{c}_rank" for c in cols})
 
 
-def _cells(base: DataFrame, pairs) -> DataFrame:
+def _cells(base: DataFrame, pairs, sizes: ColumnSizes) -> DataFrame:
     """Distinct (x, y) of each pair with sums around the column means.
 
     The means are taken off first, so that the products stay small. Rows are
     pre-aggregated by pair and values before the shuffle.
     """
-    cols = sorted({c for p in pairs for c in p})
-    means = base.agg(*[F.avg(c).alias(c) for c in cols]).first()
+    mean = sizes.mean
     tagged = F.array(
         *[
             F.struct(F.lit(f"{i}").alias("pair"), F.col(a).alias("a"), F.col(b).alias("b"),
-                     F.lit(means[a]).alias("ma"), F.lit(means[b]).alias("mb"))
+                     F.lit(mean[a]).alias("ma"), F.lit(mean[b]).alias("mb"))
             for i, (a, b) in enumerate(pairs)
         ]
     )
@@ -117,54 +110,47 @@ def _cells(base: DataFrame, pairs) -> DataFrame:
 
 
 def _tied(base: DataFrame, cols: Sequence[str]) -> dict[str, float]:
-    """Pairs of rows tied in each column."""
-    out = {}
-    for c in cols:
-        counts = base.groupBy(c).agg(F.count(F.lit(1)).cast("double").alias("t"))
-        out[c] = counts.agg(F.sum(F.col("t") * (F.col("t") - 1) / 2)).first()[0] or 0.0
-    return out
+    """Pairs of rows tied in each column, all columns in one pass."""
+    tagged = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in cols])
+    counts = base.select(F.inline(tagged)).groupBy("column", "value").agg(F.count(F.lit(1)).cast("double").alias("t"))
+    rows = counts.groupBy("column").agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("tied")).collect()
+    return {r["column"]: r["tied"] for r in rows}
 
 
-def rank_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], methods: Sequence[str], **sizes) -> DataFrame:
-    """Kendall's tau-b, distance correlation and Spearman together, sharing cells and ladders."""
+def rank_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], methods: Sequence[str], **limits) -> DataFrame:
+    """Spearman, Kendall's tau-b and distance correlation, sharing cells and ladders."""
     cols = sorted({c for p in pairs for c in p})
     base = _numbers(df, cols)
-    if _has_missing(base, cols):
-        return _pair_at_a_time(base, pairs, lambda d, p: _rank_pairs(d, p, methods, **sizes))
-    return _rank_pairs(base, pairs, methods, **sizes)
-
-
-def _rank_pairs(base: DataFrame, pairs, methods, **sizes) -> DataFrame:
+    sizes = column_sizes(base, cols)
+    if sizes.missing:
+        return _pair_at_a_time(base, pairs, lambda d, p: rank_pairs(d, p, methods, **limits))
     spark = base.sparkSession
-    cols = sorted({c for p in pairs for c in p})
-    cell_sizes = {k: v for k, v in sizes.items() if k == "cells_per_bucket"}
-    ladder_sizes = {k: v for k, v in sizes.items() if k != "cells_per_bucket"}
+    cell_limits = {k: v for k, v in limits.items() if k == "cells_per_bucket"}
+    rank_limits = {k: v for k, v in limits.items() if k != "cells_per_bucket"}
+    n = sizes.n
     parts = []
+    inverted = {}
     if {"kendall", "dcor"} & set(methods):
-        cells = _cells(base, pairs).persist()
-        n = base.count()
-        inverted = {r["pair"]: r for r in inversion_sums(cells, **cell_sizes).collect()}  # one row per pair
-        both_tied = {
-            r["pair"]: r["t"]
-            for r in cells.groupBy("pair").agg(F.sum(F.col("w") * (F.col("w") - 1) / 2).alias("t")).collect()
-        }
+        most = max(min(n, sizes.distinct[a] * sizes.distinct[b]) for a, b in pairs)
+        sums = inversion_sums(_cells(base, pairs, sizes), most, len(pairs), **cell_limits)
+        inverted = {r["pair"]: r for r in sums.collect()}  # one row per pair
     if "kendall" in methods:
         tied = _tied(base, cols)
         total = n * (n - 1) / 2
         rows = []
         for i, (a, b) in enumerate(pairs):
             value = None
-            spread = (total - tied[a]) * (total - tied[b])
-            if n >= 2 and spread > 0:
-                score = total - tied[a] - tied[b] + both_tied[str(i)] - 2 * inverted[str(i)]["weight"]
+            if n >= 2 and tied[a] < total and tied[b] < total:
+                found = inverted[str(i)]
+                score = total - tied[a] - tied[b] + found["tied"] - 2 * found["weight"]
                 value = score / (total - tied[a]) ** 0.5 / (total - tied[b]) ** 0.5
                 value = min(1.0, max(-1.0, value))
             rows.append((a, b, "kendall", value, n))
         parts.append(spark.createDataFrame(rows, "x string, y string, method string, value double, n long"))
     if {"dcor", "spearman"} & set(methods):
-        ranked = with_order_statistics(base, cols, **ladder_sizes)
+        ranked = with_order_statistics(base, cols, sizes, **rank_limits)
         if "dcor" in methods:
-            parts.append(_distance_correlation(base, ranked, pairs, inverted, n))
+            parts.append(_distance_correlation(ranked, pairs, inverted, n))
         if "spearman" in methods:
             parts.append(_spearman_of(ranked, pairs))
     out = parts[0]
@@ -173,13 +159,13 @@ def _rank_pairs(base: DataFrame, pairs, methods, **sizes) -> DataFrame:
     return out
 
 
-def _distance_correlation(base, ranked, pairs, inverted, n) -> DataFrame:
+def _distance_correlation(ranked, pairs, inverted, n) -> DataFrame:
     """Biased distance correlation from closed forms.
 
     With row sums A and B of the two distance matrices and S the sum of products
     of distances, the squared covariance is S/n^2 - 2 sum(A B)/n^3 + sum(A) sum(B)/n^4.
     """
-    spark = base.sparkSession
+    spark = ranked.sparkSession
     cols = sorted({c for p in pairs for c in p})
     sums = [F.sum(F.col(f"{c}_spread")).alias(f"t_{i}") for i, c in enumerate(cols)]
     sums += [F.sum(F.col(f"{c}_spread") * F.col(f"{c}_spread")).alias(f"q_{i}") for i, c in enumerate(cols)]
@@ -216,13 +202,13 @@ def _distance_correlation(base, ranked, pairs, inverted, n) -> DataFrame:
 
 
 def association_pairs(
-    df: DataFrame, pairs: Sequence[tuple[str, str]], methods: Sequence[str] = METHODS, **sizes
+    df: DataFrame, pairs: Sequence[tuple[str, str]], methods: Sequence[str] = METHODS, **limits
 ) -> DataFrame:
     """The chosen methods for the chosen pairs in one long table."""
     others = [m for m in methods if m != "pearson"]
     if not others:
         return pearson_pairs(df, pairs)
-    out = rank_pairs(df, pairs, others, **sizes)
+    out = rank_pairs(df, pairs, others, **limits)
     return pearson_pairs(df, pairs).unionByName(out) if "pearson" in methods else out
 
 
@@ -314,11 +300,6 @@ def low_correlation_candidates(table: DataFrame, below: float = 0.4, dcor_from:
     )
 
 
-def column_spread(df: DataFrame, col: str, **sizes) -> DataFrame:
-    """Distinct values of a column with their rank information (see ``value_ladder``)."""
-    return value_ladder(_numbers(df, [col]), col, **sizes)
-
-
 def slope_table(df: DataFrame, y: str, x: Sequence[str]) -> DataFrame:
     """Least-squares slope of the target on each variable alone, one scan."""
     base = _numbers(df, [y, *x])
@@ -326,7 +307,3 @@ def slope_table(df: DataFrame, y: str, x: Sequence[str]) -> DataFrame:
     sums = [F.regr_slope(target, F.col(c)).alias(f"b{i}") for i, c in enumerate(x)]
     rows = [F.struct(F.lit(c).alias("variable"), F.col(f"b{i}").alias("slope")) for i, c in enumerate(x)]
     return base.agg(*sums).select(F.inline(F.array(*rows)))
-
-
-def safe_ratio(top: Column, bottom: Column) -> Column:
-    return safe_divide(top, bottom)

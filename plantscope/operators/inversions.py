@@ -26,7 +26,7 @@ from plantscope.session import materialize
 CELLS_PER_BUCKET = 250_000
 MAX_BUCKETS = 4096
 _SUMS = ["w", "wx", "wy", "wxy"]
-_OUT = "pair string, weight double, cross double"
+_OUT = "pair string, weight double, cross double, tied double"
 
 
 def _count(first: np.ndarray, second: np.ndarray, sums: np.ndarray) -> tuple[float, float]:
@@ -75,7 +75,10 @@ def _summed(pdf: pd.DataFrame, first: list[str], second: list[str]) -> pd.DataFr
         _places([pdf[c].to_numpy() for c in second]),
         pdf[_SUMS].to_numpy(dtype=float).T.copy(),
     )
-    return pd.DataFrame({"pair": [pdf["pair"].iloc[0]], "weight": [weight], "cross": [cross]})
+    held = pdf["w"].to_numpy(dtype=float)
+    return pd.DataFrame(
+        {"pair": [pdf["pair"].iloc[0]], "weight": [weight], "cross": [cross], "tied": [float((held * (held - 1) / 2).sum())]}
+    )
 
 
 def _within_a(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -87,12 +90,17 @@ def _within_b(pdf: pd.DataFrame) -> pd.DataFrame:
     return _summed(pdf, ["in_a", "b", "a"], ["b", "a"])
 
 
-def inversion_sums(cells: DataFrame, cells_per_bucket: int = CELLS_PER_BUCKET) -> DataFrame:
-    """``pair, weight, cross`` for cells ``pair, a, b, w, wx, wy, wxy`` unique on (pair, a, b)."""
-    largest = cells.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
-    if not largest[0] or largest[0] <= cells_per_bucket:
+def inversion_sums(
+    cells: DataFrame, most_cells: int, n_pairs: int, cells_per_bucket: int = CELLS_PER_BUCKET
+) -> DataFrame:
+    """``pair, weight, cross, tied`` for cells ``pair, a, b, w, wx, wy, wxy`` unique on (pair, a, b).
+
+    ``most_cells`` bounds the cells of one pair. ``tied`` counts the pairs of
+    rows inside one cell.
+    """
+    if most_cells <= cells_per_bucket:
         return cells.groupBy("pair").applyInPandas(_within_a, _OUT)
-    buckets = max(2, min(MAX_BUCKETS, -(-largest[1] // cells_per_bucket)))
+    buckets = max(2, min(MAX_BUCKETS, -(-most_cells * n_pairs // cells_per_bucket)))
     placed = (
         cells.repartitionByRange(buckets, "pair", "a", "b")
         .withColumn("in_a", F.spark_partition_id())
@@ -102,14 +110,16 @@ def inversion_sums(cells: DataFrame, cells_per_bucket: int = CELLS_PER_BUCKET) -
     # Written once: every branch below must see the same sampled bounds.
     placed = materialize(placed, "cells")
     same_a = placed.drop("in_b").groupBy("pair", "in_a").applyInPandas(_within_a, _OUT)
-    same_b = placed.groupBy("pair", "in_b").applyInPandas(_within_b, _OUT)
+    same_b = placed.groupBy("pair", "in_b").applyInPandas(_within_b, _OUT).withColumn("tied", F.lit(0.0))
     grid = placed.groupBy("pair", F.col("in_a").cast("double").alias("a"), F.col("in_b").cast("double").alias("b")).agg(
         *[F.sum(c).alias(c) for c in _SUMS]
     )
-    between = inversion_sums(grid, max(cells_per_bucket, 4 * buckets))
+    between = inversion_sums(
+        grid, min(most_cells, buckets * buckets), n_pairs, max(cells_per_bucket, 4 * buckets)
+    ).withColumn("tied", F.lit(0.0))
     return (
         same_a.unionByName(same_b)
         .unionByName(between)
         .groupBy("pair")
-        .agg(F.sum("weight").alias("weight"), F.sum("cross").alias("cross"))
+        .agg(*[F.sum(c).alias(c) for c in ("weight", "cross", "tied")])
     )

@@ -32,14 +32,25 @@ class _Search:
 
 
 def exact_quantiles(
-    df: DataFrame, cols: Sequence[str], probs: Sequence[float], cells: int = CELLS, list_at_most: int = LIST_AT_MOST
+    df: DataFrame, cols: Sequence[str], probs: Sequence[float], cells: int = CELLS, list_at_most: int = LIST_AT_MOST,
+    extent: dict[str, tuple[int, float, float]] | None = None,
 ) -> dict[str, dict[float, float | None]]:
-    """Linear-interpolated quantiles of each column, NULL and NaN left out."""
+    """Linear-interpolated quantiles of each column, NULL and NaN left out.
+
+    ``extent`` gives count, minimum and maximum per column when they are known already.
+    """
     values = {i: clean(F.col(f"`{c}`")) for i, c in enumerate(cols)}
     base = df.select(*[v.alias(f"v{i}") for i, v in values.items()])
-    first = base.agg(
-        *[agg(F.col(f"v{i}")).alias(f"{name}{i}") for i in values for name, agg in (("n", F.count), ("lo", F.min), ("hi", F.max))]
-    ).first()
+    if extent:
+        first = {f"{k}{i}": extent[c][j] for i, c in enumerate(cols) for j, k in enumerate(("n", "lo", "hi"))}
+    else:
+        first = base.agg(
+            *[
+                agg(F.col(f"v{i}")).alias(f"{name}{i}")
+                for i in values
+                for name, agg in (("n", F.count), ("lo", F.min), ("hi", F.max))
+            ]
+        ).first()
     searches: dict[tuple[int, int], _Search] = {}
     for i in values:
         n = first[f"n{i}"]
