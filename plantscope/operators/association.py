@@ -38,29 +38,32 @@ def _numbers(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def pearson_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Every pair from one aggregate; pairwise complete where cells are missing."""
+    """Every pair at once; pairwise complete where cells are missing."""
     cols = sorted({c for p in pairs for c in p})
     base = _numbers(df, cols)
     missing = base.agg(F.max(any_of([F.col(c).isNull() for c in cols]))).first()[0]
-    return _pearson_of(base, pairs, "pearson", {c: c for c in cols}, bool(missing))
+    if not missing:
+        return _pearson_of(base, pairs, "pearson", {c: c for c in cols})
+    marks = [
+        F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(a).alias("a"), F.col(b).alias("b")) for a, b in pairs
+    ]
+    both = base.select(F.inline(F.array(*marks))).withColumn("_both", F.col("a").isNotNull() & F.col("b").isNotNull())
+    # Partial aggregation leaves one row per pair and task.
+    return both.groupBy("x", "y").agg(
+        F.lit("pearson").alias("method"), pearson_of(F.col("a"), F.col("b")).alias("value"), F.count_if("_both").alias("n")
+    )
 
 
-def _pearson_of(base: DataFrame, pairs, method: str, named, missing: bool = False) -> DataFrame:
-    """Pearson of the columns ``named[c]``. Without missing cells the spreads are shared between pairs."""
-    sums, rows = [F.count(F.lit(1)).alias("n")], []
-    if not missing:
-        cols = sorted({c for p in pairs for c in p})
-        place = {c: i for i, c in enumerate(cols)}
-        sums += [F.stddev_pop(named[c]).alias(f"s{place[c]}") for c in cols]
+def _pearson_of(base: DataFrame, pairs, method: str, named) -> DataFrame:
+    """Pearson of the complete columns ``named[c]``; the spreads are shared between pairs."""
+    cols = sorted({c for p in pairs for c in p})
+    place = {c: i for i, c in enumerate(cols)}
+    sums = [F.count(F.lit(1)).alias("n"), *[F.stddev_pop(named[c]).alias(f"s{place[c]}") for c in cols]]
+    rows = []
     for i, (a, b) in enumerate(pairs):
-        x, y = F.col(named[a]), F.col(named[b])
-        if missing:
-            sums += [pearson_of(x, y).alias(f"v{i}"), F.count_if(x.isNotNull() & y.isNotNull()).alias(f"n{i}")]
-            rows.append(_row(a, b, method, F.col(f"v{i}"), F.col(f"n{i}")))
-        else:
-            sums.append(F.covar_pop(x, y).alias(f"c{i}"))
-            ratio = F.try_divide(F.col(f"c{i}"), F.col(f"s{place[a]}") * F.col(f"s{place[b]}"))
-            rows.append(_row(a, b, method, F.greatest(F.least(ratio, F.lit(1.0)), F.lit(-1.0)), F.col("n")))
+        sums.append(F.covar_pop(named[a], named[b]).alias(f"c{i}"))
+        ratio = F.try_divide(F.col(f"c{i}"), F.col(f"s{place[a]}") * F.col(f"s{place[b]}"))
+        rows.append(_row(a, b, method, F.greatest(F.least(ratio, F.lit(1.0)), F.lit(-1.0)), F.col("n")))
     return base.agg(*sums).select(F.inline(F.array(*rows)))
 
 

@@ -17,7 +17,7 @@ INTERCEPT = "(intercept)"
 # Search grids and selection limits.
 L1_RATIOS = (0.1, 0.5, 0.7, 0.9, 0.95, 0.99, 1.0)
 ALPHAS = (0.001, 0.01, 0.1, 1.0, 10.0, 100.0)
-PATH_ALPHAS = tuple(np.logspace(-6, 2, 45))
+PATH_ALPHAS = tuple(float(a) for a in np.logspace(-6, 2, 45))
 MAX_ITERATIONS = 2000
 LASSO_ALPHA, LASSO_KEPT, LASSO_IMPORTANT = 0.1, 1e-5, 0.1
 R2_CUTS, R2_LABELS = (0.5, 0.8), ("low", "medium", "good")
@@ -203,29 +203,42 @@ def huber_fit(
     df: DataFrame, y: str, x: Sequence[str], alphas: Sequence[float] = (1e-6, 1e-3, 1.0),
     epsilons: Sequence[float] = (1.1, 1.35, 2.0),
 ) -> LinearModel:
-    """Robust linear fit; the grid is judged on fold 0 of the training rows, the winner refitted on all of them."""
+    """Robust linear fit; the grid is judged on fold 0 of the training rows, the winner refitted on all of them.
+
+    Target and columns are brought to unit deviation first: the solver does not
+    get far from its start on large targets.
+    """
     from pyspark.ml.evaluation import RegressionEvaluator
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression
 
     rows = df.where(~F.col("is_test")).na.drop(subset=[y, *x])
-    rows = VectorAssembler(inputCols=list(x), outputCol="features").transform(rows).select("features", F.col(y).alias("label"), "fold")
-    rows = rows.persist()
+    g = gram_by(rows, [y, *x])[()]
+    scaled = rows.select(
+        "fold", *[((F.col(f"`{c}`") - F.lit(float(m))) / F.lit(float(s))).alias(c) for c, m, s in zip(g.columns, g.mean, g.sd)]
+    )
+    scaled = VectorAssembler(inputCols=list(x), outputCol="features").transform(scaled)
+    scaled = scaled.select("features", F.col(f"`{y}`").alias("label"), "fold").persist()
     judge = RegressionEvaluator(metricName="r2")
+
+    def fit(part: DataFrame, epsilon: float, alpha: float):
+        return LinearRegression(loss="huber", epsilon=epsilon, regParam=alpha, maxIter=100).fit(part)
+
     try:
         best = None
         for epsilon in epsilons:
             for alpha in alphas:
-                fit = LinearRegression(loss="huber", epsilon=epsilon, regParam=alpha, maxIter=100).fit(rows.where("fold <> 0"))
-                r2 = judge.evaluate(fit.transform(rows.where("fold = 0")))
+                r2 = judge.evaluate(fit(scaled.where("fold <> 0"), epsilon, alpha).transform(scaled.where("fold = 0")))
                 if best is None or r2 > best[0]:
                     best = (r2, epsilon, alpha)
         _, epsilon, alpha = best
-        fit = LinearRegression(loss="huber", epsilon=epsilon, regParam=alpha, maxIter=100).fit(rows)
+        won = fit(scaled, epsilon, alpha)
     finally:
-        rows.unpersist()
+        scaled.unpersist()
+    w = np.array(won.coefficients.toArray()) * g.sd[0] / g.sd[1:]
+    intercept = float(won.intercept) * g.sd[0] + g.mean[0] - w @ g.mean[1:]
     return LinearModel(
-        "huber", y, dict(zip(x, map(float, fit.coefficients))), float(fit.intercept), {"alpha": alpha, "epsilon": epsilon}
+        "huber", y, dict(zip(x, map(float, w))), float(intercept), {"alpha": alpha, "epsilon": epsilon}
     )
 
 

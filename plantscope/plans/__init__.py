@@ -1,0 +1,8 @@
+"""Registered queries over the shared tables."""
+
+
+def load_catalog():
+    """The registry, with every query module imported."""
+    from plantscope.plans import catalog, intake  # noqa: F401
+
+    return catalog
