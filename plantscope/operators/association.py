@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from plantscope.functions.numeric import any_of, band, clean
 from plantscope.operators.inversions import inversion_sums
 from plantscope.operators.ranks import ColumnSizes, column_sizes, with_order_statistics
+from plantscope.session import local_table
 
 # Weights of the sign vote and of the strength average.
 SIGN_WEIGHTS = {"pearson": 0.5, "spearman": 0.3, "kendall": 0.2}
@@ -149,7 +150,7 @@ def rank_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], methods: Sequenc
                 value = score / (total - tied[a]) ** 0.5 / (total - tied[b]) ** 0.5
                 value = min(1.0, max(-1.0, value))
             rows.append((a, b, "kendall", value, n))
-        parts.append(spark.createDataFrame(rows, "x string, y string, method string, value double, n long"))
+        parts.append(local_table(spark, rows, "x string, y string, method string, value double, n long"))
     if {"dcor", "spearman"} & set(methods):
         ranked = with_order_statistics(base, cols, sizes, **rank_limits)
         if "dcor" in methods:
@@ -201,7 +202,7 @@ def _distance_correlation(ranked, pairs, inverted, n) -> DataFrame:
             else:
                 value = min(1.0, max(shared, 0.0) ** 0.5 / (va * vb) ** 0.25)
         rows.append((a, b, "dcor", value, n))
-    return spark.createDataFrame(rows, "x string, y string, method string, value double, n long")
+    return local_table(spark, rows, "x string, y string, method string, value double, n long")
 
 
 def association_pairs(

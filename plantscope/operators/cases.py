@@ -14,6 +14,7 @@ from plantscope.functions.numeric import all_of, clean, equal_width_bin
 from plantscope.operators.cleaning import numeric_columns
 from plantscope.operators.gram import gram_by
 from plantscope.operators.quantiles import exact_quantiles
+from plantscope.session import local_table
 
 SCENARIOS_AT_ONCE = 64
 SALTS = 64
@@ -207,8 +208,7 @@ class Coverage:
     def table(self, spark: SparkSession) -> DataFrame:
         row = (list(self.columns), list(self.mean), [list(r) for r in self.inverse], self.p90, self.p975,
                list(self.lower), list(self.upper))
-        return spark.createDataFrame(
-            [row], "columns array<string>, mean array<double>, inverse array<array<double>>, p90 double, p975 double,"
+        return local_table(spark, [row], "columns array<string>, mean array<double>, inverse array<array<double>>, p90 double, p975 double,"
             "lower array<double>, upper array<double>"
         )
 
@@ -302,7 +302,7 @@ def variable_ranges(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     extent = {c: (row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(cols) if row[f"n{i}"]}
     middle = exact_quantiles(df, list(extent), (0.5,), extent=extent)
     rows = [(c, lo, hi, middle[c][0.5], (hi - lo) / 100 if hi > lo else 0.01) for c, (_, lo, hi) in extent.items()]
-    return df.sparkSession.createDataFrame(rows, "column string, min double, max double, median double, step double")
+    return local_table(df.sparkSession, rows, "column string, min double, max double, median double, step double")
 
 
 def split_columns(df: DataFrame, x: Sequence[str]) -> tuple[list[str], list[str]]:

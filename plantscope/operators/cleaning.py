@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from plantscope.functions import tokens
 from plantscope.functions.numeric import all_of, any_of, clean
+from plantscope.session import local_table
 
 
 @dataclass(frozen=True)
@@ -175,17 +176,17 @@ def missing_report(df: DataFrame, y: str) -> DataFrame:
 
 
 def missing_stages(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Cells per column and missingness stage, counted in one pass without widening the rows."""
-    stage = {c: tokens.missing_stage(F.col(f"`{c}`")) for c in cols}
-    wide = df.agg(
-        *[F.count_if(stage[c] == s).alias(f"s{i}_{s}") for i, c in enumerate(cols) for s in (1, 2, 3)]
+    """Cells per column and missingness stage; counts of zero included."""
+    cells = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("cell")) for c in cols]
+    counts = (
+        df.select(F.inline(F.array(*cells)))
+        .groupBy("column", tokens.missing_stage(F.col("cell")).alias("stage"))
+        .agg(F.count(F.lit(1)).alias("n_cells"))
+    )
+    every = local_table(df.sparkSession, [(c, s) for c in cols for s in (1, 2, 3)], "column string, stage int")
+    return every.join(counts, ["column", "stage"], "left").select(
+        "column", "stage", F.coalesce("n_cells", F.lit(0)).alias("n_cells")
     )
-    rows = [
-        F.struct(F.lit(c).alias("column"), F.lit(s).alias("stage"), F.col(f"s{i}_{s}").alias("n_cells"))
-        for i, c in enumerate(cols)
-        for s in (1, 2, 3)
-    ]
-    return wide.select(F.inline(F.array(*rows)))
 
 
 def stage_mask(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from plantscope.functions.numeric import band, clean, equal_width_bin
 from plantscope.operators.quantiles import exact_quantiles
+from plantscope.session import local_table
 
 PROBS = (0.05, 0.1, 0.2, 0.25, 0.3, 0.5, 0.7, 0.75, 0.8, 0.9, 0.95)
 SHAPE_BINS, EXTREME_BINS = 30, 50
@@ -69,7 +70,7 @@ def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float] =
     """Exact linear-interpolated quantiles, one row per column and probability."""
     found = exact_quantiles(df, cols, probs)
     rows = [(c, float(p), found[c][p]) for c in cols for p in probs]
-    return df.sparkSession.createDataFrame(rows, "column string, prob double, value double")
+    return local_table(df.sparkSession, rows, "column string, prob double, value double")
 
 
 def summary_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -82,8 +83,7 @@ def summary_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
          r["max"], r["skew"], r["kurtosis"])
         for r in known
     ]
-    return df.sparkSession.createDataFrame(
-        rows, "column string, n long, mean double, sd double, min double, q1 double, median double, q3 double,"
+    return local_table(df.sparkSession, rows, "column string, n long, mean double, sd double, min double, q1 double, median double, q3 double,"
         "max double, skew double, kurtosis double"
     )
 
@@ -118,8 +118,7 @@ def histogram(df: DataFrame, cols: Sequence[str], bins: int = SHAPE_BINS) -> Dat
     """Equal-width histogram with counts and percent; empty bins included."""
     extent = _extents(df, cols)
     spark = df.sparkSession
-    frame = spark.createDataFrame(
-        [
+    frame = local_table(spark, [
             (c, k, low + k * (high - low) / bins, n)
             for c, (n, a, b) in extent.items()
             for low, high in [(a, b) if a < b else (a - 0.5, b + 0.5)]
@@ -162,7 +161,7 @@ def shape_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     ]
     kinds = {"column": "string", "n": "long", "counts30": "array<long>", "counts50": "array<long>"}
     schema = ", ".join(f"`{k}` {kinds.get(k, 'double')}" for k in names)
-    return spark.createDataFrame(rows, schema)
+    return local_table(spark, rows, schema)
 
 
 SHARE_NAMES = (
@@ -302,7 +301,7 @@ def validated_peaks(df: DataFrame, peaked: DataFrame) -> DataFrame:
     near = [
         (r["column"], [counted[f"k{i}_{j}"] / r["n"] for j in range(len(r["thinned"]))]) for i, r in enumerate(rows)
     ]
-    shares = df.sparkSession.createDataFrame(near, "column string, near array<double>")
+    shares = local_table(df.sparkSession, near, "column string, near array<double>")
     kept = F.filter(F.arrays_zip("thinned", "near"), lambda z: z["near"] >= PEAK_SHARE)
     out = peaked.join(F.broadcast(shares), "column").withColumn("_kept", F.transform(kept, lambda z: z["thinned"]))
     out = out.withColumn(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from plantscope.functions.numeric import band
 from plantscope.operators.gram import Gram, gram_by, whole
+from plantscope.session import local_table
 
 INTERCEPT = "(intercept)"
 
@@ -247,7 +248,7 @@ def huber_fit(
 
 def coefficient_table(spark: SparkSession, models: Sequence[LinearModel]) -> DataFrame:
     rows = [(m.name, t, w) for m in models for t, w in [*m.coef.items(), (INTERCEPT, m.intercept)]]
-    return spark.createDataFrame([(a, b, float(c)) for a, b, c in rows], "model string, term string, coef double")
+    return local_table(spark, [(a, b, float(c)) for a, b, c in rows], "model string, term string, coef double")
 
 
 def term_contributions(
@@ -275,7 +276,7 @@ def term_contributions(
                 value = w * at[c]
             out.append((m.name, c, float(w), float(value)))
         out.append((m.name, INTERCEPT, float(intercept), float(intercept)))
-    table = spark.createDataFrame(out, "model string, term string, coef double, avg_contribution double")
+    table = local_table(spark, out, "model string, term string, coef double, avg_contribution double")
     everything = F.sum("avg_contribution").over(Window.partitionBy("model"))
     table = table.withColumn("ratio", F.coalesce(F.try_divide(F.col("avg_contribution") * 100, everything), F.lit(0.0)))
     order = Window.partitionBy("model").orderBy(F.desc(F.abs("ratio")), "term")
@@ -340,7 +341,7 @@ def regression_metrics(predicted: DataFrame, keys: Sequence[str] = ()) -> DataFr
 
 def model_scores(spark: SparkSession, models: Sequence[LinearModel], test: Gram) -> DataFrame:
     rows = [(m.name, float(s["r2"]), float(s["rmse"]), int(s["n"])) for m in models for s in [score(m, test)]]
-    table = spark.createDataFrame(rows, "model string, r2 double, rmse double, n long")
+    table = local_table(spark, rows, "model string, r2 double, rmse double, n long")
     return table.withColumn("grade", band(F.col("r2"), R2_CUTS, R2_LABELS))
 
 
@@ -365,7 +366,7 @@ def vif(spark: SparkSession, g: Gram) -> DataFrame:
     inverse = (vectors[:, ~tiny] / values[~tiny]) @ vectors[:, ~tiny].T
     caught = (np.abs(vectors[:, tiny]) > 1e-6).any(axis=1) if tiny.any() else np.zeros(d, dtype=bool)
     rows = [(c, float("inf") if caught[i] else float(inverse[i, i])) for i, c in enumerate(g.columns)]
-    table = spark.createDataFrame(rows, "variable string, vif double")
+    table = local_table(spark, rows, "variable string, vif double")
     return table.withColumn("band", band(F.col("vif"), VIF_CUTS, VIF_LABELS))
 
 
@@ -373,6 +374,6 @@ def lasso_select(spark: SparkSession, g: Gram, y: str, alpha: float = LASSO_ALPH
     """Coefficients of the lasso on standardized columns; kept and important ones marked."""
     w = descend(g.standardized(y), y, alpha, 1.0)
     x = [c for c in g.columns if c != y]
-    table = spark.createDataFrame([(c, float(v)) for c, v in zip(x, w)], "variable string, coef double")
+    table = local_table(spark, [(c, float(v)) for c, v in zip(x, w)], "variable string, coef double")
     size = F.abs("coef")
     return table.select("*", (size > LASSO_KEPT).alias("kept"), (size > LASSO_IMPORTANT).alias("important"))

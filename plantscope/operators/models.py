@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plantscope.functions.numeric import band, clean
+from plantscope.session import local_table
 
 FEATURES, LABEL, PREDICTION = "features", "label", "prediction"
 LINEAR = "linear_regression"
@@ -108,7 +109,7 @@ def benchmark(train: DataFrame, test: DataFrame, roster: Mapping[str, Estimator]
     finally:
         train.unpersist()
     schema = "model string, r2 double, mean_prediction double, n long, failed boolean"
-    return Trained(models, spark.createDataFrame(rows, schema))
+    return Trained(models, local_table(spark, rows, schema))
 
 
 # --- tables over a score table (a row per model) -------------------------------------------
@@ -342,4 +343,4 @@ def linear_shapley(df: DataFrame, coef: Mapping[str, float], mean: Mapping[str,
 
 def scenario_frame(spark: SparkSession, rows: Sequence[Mapping[str, object]], schema: str) -> DataFrame:
     names = [part.split()[0] for part in schema.split(",")]
-    return spark.createDataFrame([tuple(r.get(k) for k in names) for r in rows], schema)
+    return local_table(spark, [tuple(r.get(k) for k in names) for r in rows], schema)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plantscope.functions import tokens
+from plantscope.session import local_table
 
 # Every non-null cell must match one of these in full.
 DATE_PATTERNS = [
@@ -51,54 +52,57 @@ def physical_class(kind: T.DataType) -> str:
     return "other"
 
 
-def _evidence(col: Column, kind: T.DataType) -> dict[str, Column]:
-    """Aggregates every typing rule needs for one column."""
-    shape = physical_class(kind)
-    numeric = isinstance(kind, T.NumericType)
-    comparable = shape in ("integer", "real", "text", "boolean")
-    nothing = F.lit(False)
-    mark = tokens.boolean_mark(col, numeric) if comparable and shape != "boolean" else None
-    out = {
-        "n": F.count(F.lit(1)),
-        "n_filled": F.count(col),
-        "all_marks": F.bool_and(tokens.is_boolean_mark(mark)) if mark is not None else F.bool_and(nothing),
-    }
-    if shape == "text":
-        number = tokens.to_number(col)
-        out["n_numbers"] = F.count(number)
-        out["any_fraction"] = F.bool_or(number % 1 != 0)
-        out["one_date_pattern"] = F.greatest(*[F.bool_and(col.rlike(p)) for p in DATE_PATTERNS])
-        out["one_loose_pattern"] = F.greatest(*[F.bool_and(col.rlike(p)) for p in LOOSE_DATE_PATTERNS])
-        out["all_digits"] = F.bool_and(col.rlike(r"^\d+$"))
-        out["all_serial"] = F.bool_and(
-            col.rlike(r"^\d+$") & F.coalesce(col.try_cast("double").between(*SERIAL_RANGE), nothing)
-        )
-        out["about_distinct"] = F.approx_count_distinct(col, 0.01)
-    else:
-        out["n_numbers"] = F.count(F.lit(None).cast("int"))
-        for name in ("any_fraction", "one_date_pattern", "one_loose_pattern", "all_digits", "all_serial"):
-            out[name] = F.bool_and(nothing)
-        out["about_distinct"] = F.count(F.lit(None).cast("int"))
-    return out
-
-
 def evidence(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """One row per column with the counts and tests the class rules read; one pass over the data."""
+    """One row per column with the counts and tests the class rules read; one pass over the data.
+
+    Cells become (column, text, mark) rows that are aggregated where they are;
+    a few rows per task and column reach the shuffle. This keeps the generated
+    code small however many columns there are.
+    """
     chosen = list(cols) if cols else df.columns
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    sums, rows = [], []
+    cells, names = [], []
     for i, name in enumerate(chosen):
-        parts = _evidence(F.col(f"`{name}`"), kinds[name])
-        sums += [agg.alias(f"{key}_{i}") for key, agg in parts.items()]
-        rows.append(
+        col, shape = F.col(f"`{name}`"), physical_class(kinds[name])
+        marked = shape in ("integer", "real", "text")
+        mark = tokens.boolean_mark(col, shape != "text") if marked else F.lit(None)
+        cells.append(
             F.struct(
-                F.lit(i).alias("position"),
-                F.lit(name).alias("column"),
-                F.lit(physical_class(kinds[name])).alias("physical"),
-                *[F.col(f"{key}_{i}").alias(key) for key in parts],
+                F.lit(i).alias("position"), col.isNotNull().alias("filled"),
+                (col if shape == "text" else F.lit(None)).cast("string").alias("text"),
+                mark.cast("string").alias("mark"),
             )
         )
-    return df.agg(*sums).select(F.inline(F.array(*rows)))
+        names.append(F.struct(F.lit(name).alias("column"), F.lit(shape).alias("physical")))
+    text, number = F.col("text"), tokens.to_number(F.col("text"))
+    digits = text.rlike(r"^\d+$")
+
+    def every(test: Column) -> Column:
+        return F.coalesce(F.bool_and(test), F.lit(False))
+
+    def one_of(patterns: Sequence[str]) -> Column:
+        return F.greatest(*[every(text.rlike(p)) for p in patterns])
+
+    known = F.element_at(F.array(*names), F.col("position") + 1)
+    return (
+        df.select(F.inline(F.array(*cells)))
+        .groupBy("position")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count_if("filled").alias("n_filled"),
+            every(tokens.is_boolean_mark(F.col("mark"))).alias("all_marks"),
+            F.count(number).alias("n_numbers"),
+            F.coalesce(F.bool_or(number % 1 != 0), F.lit(False)).alias("any_fraction"),
+            one_of(DATE_PATTERNS).alias("one_date_pattern"),
+            one_of(LOOSE_DATE_PATTERNS).alias("one_loose_pattern"),
+            every(digits).alias("all_digits"),
+            every(digits & F.coalesce(text.try_cast("double").between(*SERIAL_RANGE), F.lit(False))).alias("all_serial"),
+            F.approx_count_distinct(text, 0.02).alias("about_distinct"),
+        )
+        .select("position", known["column"].alias("column"), known["physical"].alias("physical"), "*")
+        .drop("position")
+        .withColumn("position", F.array_position(F.array(*[F.lit(c) for c in chosen]), F.col("column")).cast("int") - 1)
+    )
 
 
 def exact_distinct(df: DataFrame, col: str) -> int:
@@ -117,14 +121,14 @@ def column_classes(
 
     All-digit text is numeric unless one of the two options moves the day-number
     or identifier test ahead of the numeric test. Distinct counts are sketched in
-    the shared pass; only a column whose distinct share comes within a tenth of
+    the shared pass; only a column whose distinct share comes within a fifth of
     the limit is counted again exactly.
     """
     found = [r.asDict() for r in evidence(df, cols).collect()]  # one row per column
     for row in found:
         share = row["about_distinct"] / row["n_filled"] if row["n_filled"] else 0.0
         text = row["physical"] == "text" and row["n_filled"] > 0
-        near = text and abs(share - category_share) < 0.1 * category_share
+        near = text and abs(share - category_share) < 0.2 * category_share
         row["n_distinct"] = exact_distinct(df, row["column"]) if near else row["about_distinct"]
     schema = (
         "position int, column string, physical string, n long, n_filled long, all_marks boolean, n_numbers long,"
@@ -132,7 +136,7 @@ def column_classes(
         "all_serial boolean, about_distinct long, n_distinct long"
     )
     names = [part.split()[0] for part in schema.split(",")]
-    table = df.sparkSession.createDataFrame([tuple(r[k] for k in names) for r in found], schema)
+    table = local_table(df.sparkSession, [tuple(r[k] for k in names) for r in found], schema)
     return classify(table, category_share, serial_dates_first, identifiers_first)
 
 
@@ -238,5 +242,5 @@ def narrowing_candidates(df: DataFrame, used: Sequence[str], top: int = 5, most:
             exact = exact_distinct(df, c)
             if 2 <= exact <= most:
                 rows.append((c, exact, i))
-    table = spark.createDataFrame(rows, "column string, n_distinct long, position int")
+    table = local_table(spark, rows, "column string, n_distinct long, position int")
     return table.orderBy("n_distinct", "position").limit(top).select("column", "n_distinct")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plantscope.operators.cleaning import Roles
 from plantscope.plans.catalog import table
+from plantscope.session import local_table
 
 Y = "charge"
 X = ["l_extendedprice", "l_quantity", "l_discount", "l_tax"]
@@ -170,4 +171,4 @@ SCENARIOS_SQL = (
 
 def scenarios(spark: SparkSession) -> DataFrame:
     """What-if inputs; an empty cell leaves that column out of the question."""
-    return spark.createDataFrame(SCENARIO_ROWS, SCENARIO_SCHEMA)
+    return local_table(spark, SCENARIO_ROWS, SCENARIO_SCHEMA)
