@@ -3,6 +3,6 @@
 
 def load_catalog():
     """The registry, with every query module imported."""
-    from plantscope.plans import catalog, intake, relations, shape  # noqa: F401
+    from plantscope.plans import catalog, intake, learning, regression, relations, shape, similar  # noqa: F401
 
     return catalog
