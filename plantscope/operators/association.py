@@ -31,7 +31,12 @@ def pearson_of(a: Column, b: Column) -> Column:
     both = a.isNotNull() & b.isNotNull()
     left, right = F.when(both, a), F.when(both, b)
     ratio = F.try_divide(F.covar_pop(a, b), F.stddev_pop(left) * F.stddev_pop(right))
-    return F.greatest(F.least(ratio, F.lit(1.0)), F.lit(-1.0))
+    return _clamped(ratio)
+
+
+def _clamped(ratio: Column) -> Column:
+    # greatest and least skip NULL, so a missing coefficient is let through first.
+    return F.when(ratio.isNotNull(), F.greatest(F.least(ratio, F.lit(1.0)), F.lit(-1.0)))
 
 
 def _numbers(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -64,7 +69,7 @@ def _pearson_of(base: DataFrame, pairs, method: str, named) -> DataFrame:
     for i, (a, b) in enumerate(pairs):
         sums.append(F.covar_pop(named[a], named[b]).alias(f"c{i}"))
         ratio = F.try_divide(F.col(f"c{i}"), F.col(f"s{place[a]}") * F.col(f"s{place[b]}"))
-        rows.append(_row(a, b, method, F.greatest(F.least(ratio, F.lit(1.0)), F.lit(-1.0)), F.col("n")))
+        rows.append(_row(a, b, method, _clamped(ratio), F.col("n")))
     return base.agg(*sums).select(F.inline(F.array(*rows)))
 
 
