@@ -53,10 +53,18 @@ def equal_width_bin(value: Column, low: float, high: float, bins: int) -> Column
     guess is compared with the bin edges, so a value sitting on an edge always
     belongs to the bin that starts there, whatever the rounding.
     """
-    if low == high:
-        low, high = low - 0.5, high + 0.5
+    low, high = bin_range(low, high)
+    return bin_between(value, F.lit(low), F.lit(high), bins)
+
+
+def bin_range(low: float, high: float) -> tuple[float, float]:
+    return (low - 0.5, high + 0.5) if low == high else (low, high)
+
+
+def bin_between(value: Column, low: Column, high: Column, bins: int) -> Column:
+    """The bin for limits given as columns, ``low`` below ``high``."""
     step = (high - low) / bins
-    guess = F.least(F.floor((value - F.lit(low)) / F.lit(high - low) * F.lit(bins)), F.lit(bins - 1))
-    below = value < F.lit(low) + guess * F.lit(step)
-    above = (value >= F.lit(low) + (guess + 1) * F.lit(step)) & (guess < bins - 1)
+    guess = F.least(F.floor((value - low) / (high - low) * F.lit(bins)), F.lit(bins - 1))
+    below = value < low + guess * step
+    above = (value >= low + (guess + 1) * step) & (guess < bins - 1)
     return F.when(below, guess - 1).when(above, guess + 1).otherwise(guess).cast("int")

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plantscope.functions.numeric import band, clean, equal_width_bin
+from plantscope.functions.numeric import band, bin_between, bin_range, clean
 from plantscope.operators.quantiles import exact_quantiles
 from plantscope.session import local_table
 
@@ -97,20 +97,32 @@ def _extents(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[int, float,
     return {c: (row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(cols) if row[f"n{i}"]}
 
 
-def _bin_counts(df: DataFrame, extent: dict[str, tuple[int, float, float]], bin_sets: Sequence[int]) -> DataFrame:
-    """Rows (column, bins, bin, count); partial aggregation leaves at most all bins per task."""
-    marks = []
-    for c, (_, low, high) in extent.items():
-        v = clean(F.col(f"`{c}`"))
-        for bins in bin_sets:
-            marks.append(
-                F.struct(F.lit(c).alias("column"), F.lit(bins).alias("bins"), equal_width_bin(v, low, high, bins).alias("bin"))
-            )
+def _long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Rows (position, v), one per filled cell; limits are looked up by position afterwards.
+
+    Looking them up keeps the generated code the size of one column's, however many there are.
+    """
+    marks = [F.struct(F.lit(i).alias("position"), clean(F.col(f"`{c}`")).alias("v")) for i, c in enumerate(cols)]
+    return df.select(F.inline(F.array(*marks))).where(F.col("v").isNotNull())
+
+
+def _by_position(values: Sequence[float]) -> Column:
+    return F.get(F.lit([float(x) for x in values]), F.col("position"))
+
+
+def _bin_of(extent: dict[str, tuple[int, float, float]], bins: int) -> Column:
+    ranges = [bin_range(low, high) for _, low, high in extent.values()]
+    return bin_between(F.col("v"), _by_position([a for a, _ in ranges]), _by_position([b for _, b in ranges]), bins)
+
+
+def _bin_counts(df: DataFrame, extent: dict[str, tuple[int, float, float]], bins: int) -> DataFrame:
+    """Rows (column, bin, count); partial aggregation leaves at most all bins per task."""
+    names = F.lit(list(extent))
     return (
-        df.select(F.inline(F.array(*marks)))
-        .where(F.col("bin").isNotNull())
-        .groupBy("column", "bins", "bin")
+        _long(df, list(extent))
+        .groupBy("position", _bin_of(extent, bins).alias("bin"))
         .agg(F.count(F.lit(1)).alias("count"))
+        .select(F.get(names, F.col("position")).alias("column"), "bin", "count")
     )
 
 
@@ -126,7 +138,7 @@ def histogram(df: DataFrame, cols: Sequence[str], bins: int = SHAPE_BINS) -> Dat
         ],
         "column string, bin int, low double, total long",
     )
-    counts = _bin_counts(df, extent, [bins]).drop("bins")
+    counts = _bin_counts(df, extent, bins)
     return frame.join(counts, ["column", "bin"], "left").select(
         "column", "bin", "low",
         F.coalesce("count", F.lit(0)).alias("count"),
@@ -143,10 +155,7 @@ def shape_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     if not extent:
         raise ValueError("no column has a value")
     quantiles = exact_quantiles(base, list(extent), PROBS, extent=extent)
-    counts: dict[str, dict[int, list[int]]] = {c: {b: [0] * b for b in (SHAPE_BINS, EXTREME_BINS)} for c in extent}
-    for r in _bin_counts(base, extent, (SHAPE_BINS, EXTREME_BINS)).collect():  # at most 80 rows per column
-        counts[r["column"]][r["bins"]][r["bin"]] = r["count"]
-    shares = {r["column"]: r for r in _shares(base, moments, quantiles).collect()}  # one row per column
+    counts, shares = _counts_and_shares(base, extent, quantiles)
     names = ["column", "n", "mean", "sd", "min", "max", "skew", "kurtosis"]
     names += [quantile_name(p) for p in PROBS] + list(SHARE_NAMES) + ["counts30", "counts50"]
     rows = [
@@ -170,43 +179,69 @@ SHARE_NAMES = (
 )
 
 
-def _shares(base: DataFrame, moments: dict, quantiles: dict) -> DataFrame:
-    """Shares and part means of every column, one scan; thresholds travel as constants."""
-    marks = []
+def _counts_and_shares(base: DataFrame, extent: dict, quantiles: dict) -> tuple[dict, dict]:
+    """Bin counts and shares of every column from one scan.
+
+    The thresholds of a column cut its range into zones (each threshold a zone
+    of its own). Rows are counted by zone and bin together, a hundred or so
+    groups per column, and every share is a sum over zones.
+    """
+    limits: dict[str, dict[str, float]] = {}
+    zones: dict[str, list[float]] = {}
     for c, q in quantiles.items():
-        span = moments[c]["max"] - moments[c]["min"]
+        _, low, high = extent[c]
         iqr = q[0.75] - q[0.25]
-        limits = {quantile_name(p): q[p] for p in PROBS}
-        limits |= {"z5": span * 0.05, "z10": span * 0.1, "lo15": q[0.25] - 1.5 * iqr, "hi15": q[0.75] + 1.5 * iqr,
-                   "lo3": q[0.25] - 3 * iqr, "hi3": q[0.75] + 3 * iqr}
-        marks.append(
-            F.struct(F.lit(c).alias("column"), F.col(c).alias("v"), *[F.lit(float(x)).alias(k) for k, x in limits.items()])
+        limits[c] = {quantile_name(p): q[p] for p in PROBS}
+        limits[c] |= {"z5": (high - low) * 0.05, "z10": (high - low) * 0.1, "lo15": q[0.25] - 1.5 * iqr,
+                      "hi15": q[0.75] + 1.5 * iqr, "lo3": q[0.25] - 3 * iqr, "hi3": q[0.75] + 3 * iqr}
+        zones[c] = sorted(set(limits[c].values()))
+    v, zone = F.col("v"), F.lit(0)
+    for k in range(max(len(z) for z in zones.values())):
+        cut = _by_position([z[k] if k < len(z) else float("inf") for z in zones.values()])
+        zone = zone + (v > cut).cast("int") + (v >= cut).cast("int")
+    rows = (
+        _long(base, list(quantiles))
+        .groupBy(
+            "position", zone.alias("zone"), _bin_of(extent, SHAPE_BINS).alias("b30"), _bin_of(extent, EXTREME_BINS).alias("b50")
         )
-    v = F.col("v")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"))
+        .collect()  # zones and bins cut the same line: at most their number together, per column
+    )
+    counts, shares = {}, {}
+    for i, c in enumerate(quantiles):
+        mine = [r for r in rows if r["position"] == i]
+        bins = {SHAPE_BINS: [0] * SHAPE_BINS, EXTREME_BINS: [0] * EXTREME_BINS}
+        for r in mine:
+            bins[SHAPE_BINS][r["b30"]] += r["n"]
+            bins[EXTREME_BINS][r["b50"]] += r["n"]
+        counts[c] = bins
+        shares[c] = _shares({k: 2 * zones[c].index(t) + 1 for k, t in limits[c].items()}, mine, extent[c][0])
+    return counts, shares
+
 
-    def between(a: str, b: str) -> Column:
-        return (v >= F.col(a)) & (v <= F.col(b))
+def _shares(at: dict[str, int], rows: Sequence, n: int) -> dict[str, float | None]:
+    """Shares and part means from zone totals; ``at`` is the zone of each threshold."""
+
+    def inside(low: str, high: str):
+        return lambda z: at[low] <= z <= at[high]
 
     tests = {
-        "le20": v <= F.col("q20"), "ge80": v >= F.col("q80"), "le25": v <= F.col("q25"), "ge75": v >= F.col("q75"),
-        "mid": (v > F.col("q25")) & (v < F.col("q75")), "zero5": v <= F.col("z5"), "ge70": v >= F.col("q70"),
-        "le30": v <= F.col("q30"), "zero10": v <= F.col("z10"), "ge90": v >= F.col("q90"),
-        "in2575": between("q25", "q75"), "in1090": between("q10", "q90"), "in0595": between("q05", "q95"),
-        "out15": ~between("lo15", "hi15"), "out3": ~between("lo3", "hi3"),
+        "le20": lambda z: z <= at["q20"], "ge80": lambda z: z >= at["q80"], "le25": lambda z: z <= at["q25"],
+        "ge75": lambda z: z >= at["q75"], "mid": lambda z: at["q25"] < z < at["q75"], "zero5": lambda z: z <= at["z5"],
+        "ge70": lambda z: z >= at["q70"], "le30": lambda z: z <= at["q30"], "zero10": lambda z: z <= at["z10"],
+        "ge90": lambda z: z >= at["q90"], "in2575": inside("q25", "q75"), "in1090": inside("q10", "q90"),
+        "in0595": inside("q05", "q95"), "out15": lambda z: not inside("lo15", "hi15")(z),
+        "out3": lambda z: not inside("lo3", "hi3")(z),
     }
     parts = {
-        "mean_above_zero5": v > F.col("z5"), "mean_le20": v <= F.col("q20"), "mean_gt20": v > F.col("q20"),
-        "mean_ge80": v >= F.col("q80"), "mean_lt80": v < F.col("q80"),
+        "mean_above_zero5": lambda z: z > at["z5"], "mean_le20": lambda z: z <= at["q20"], "mean_gt20": lambda z: z > at["q20"],
+        "mean_ge80": lambda z: z >= at["q80"], "mean_lt80": lambda z: z < at["q80"],
     }
-    return (
-        base.select(F.inline(F.array(*marks)))
-        .where(v.isNotNull())
-        .groupBy("column")
-        .agg(
-            *[F.avg(t.cast("int")).alias(k) for k, t in tests.items()],
-            *[F.avg(F.when(t, v)).alias(k) for k, t in parts.items()],
-        )
-    )
+    out: dict[str, float | None] = {k: sum(r["n"] for r in rows if t(r["zone"])) / n for k, t in tests.items()}
+    for k, t in parts.items():
+        held = [r for r in rows if t(r["zone"])]
+        out[k] = sum(r["s"] for r in held) / sum(r["n"] for r in held) if held else None
+    return out
 
 
 # --- peaks: expressions on the 30-bin counts -------------------------------------------------

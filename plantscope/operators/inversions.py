@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from plantscope.session import materialize
 
-CELLS_PER_BUCKET = 250_000
+CELLS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 32_768
 _SUMS = ["w", "wx", "wy", "wxy"]
 _OUT = "pair string, weight double, cross double, tied double"

@@ -18,9 +18,9 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_BUCKET = 200_000
+ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 2048
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 2_000_000  # over all columns together, some 100 bytes a row
 HOT_SHARE = 0.01
 SALTS = 64
 
@@ -152,7 +152,11 @@ def with_order_statistics(
     sizes = sizes or column_sizes(df, cols)
     n = sizes.n
     cuts = _cut_points(df, cols, sizes, rows_per_bucket)
-    large = [c for c in cols if sizes.distinct[c] > broadcast_rows]
+    large, room = [], broadcast_rows
+    for c in sorted(cols, key=sizes.distinct.get):
+        room -= sizes.distinct[c]
+        if room < 0:
+            large.append(c)
     # At most 1 / HOT_SHARE values can reach the floor.
     hot = _hot_values(df, large, hot_rows or max(1000, int(n * HOT_SHARE)))
     out = df
