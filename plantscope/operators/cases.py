@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plantscope.functions.numeric import all_of, clean, equal_width_bin
+from plantscope.functions.numeric import all_of, any_of, clean, equal_width_bin
 from plantscope.operators.cleaning import numeric_columns
 from plantscope.operators.gram import gram_by
 from plantscope.operators.quantiles import exact_quantiles
@@ -126,9 +126,9 @@ def nearest_cases(
     parts = []
     for chunk in _chunks(scenarios, SCENARIOS_AT_ONCE):
         # Rounded, so that equal distances tie whatever the order of the additions.
-        away = [F.round(distance_to(s, scale, categorical, metric, cat_weight), 12) for s in chunk]
+        away = [F.rint(distance_to(s, scale, categorical, metric, cat_weight) * 1e12) / 1e12 for s in chunk]
         best = df.agg(*[F.min(d).alias(f"d{i}") for i, d in enumerate(away)]).first()
-        marks = []
+        marks, reached = [], []
         for i, (s, d) in enumerate(zip(chunk, away)):
             if best[i] is None:
                 continue
@@ -137,10 +137,12 @@ def nearest_cases(
             inside = d <= F.lit(min(limits)) if limits else d.isNotNull()
             mark = F.struct(F.lit(s["scenario_id"]).alias("scenario_id"), d.alias("distance"), F.lit(best[i]).alias("d_best"))
             marks.append(F.when(inside, mark))
+            reached.append(inside)
         if not marks:
             marks = [F.when(F.lit(False), F.struct(F.lit(chunk[0]["scenario_id"]).alias("scenario_id"),
                                                    F.lit(0.0).alias("distance"), F.lit(0.0).alias("d_best")))]
-        near = df.select("*", F.inline(F.array_compact(F.array(*marks))))
+        # Rows out of reach of every scenario go before the others are spread out.
+        near = df.where(any_of(reached)).select("*", F.inline(F.array(*marks))).where(F.col("scenario_id").isNotNull())
         parts.append(near.withColumn("_salt", F.pmod(F.xxhash64(*everything), F.lit(SALTS))))
     near = _union(parts)
     ties = ["distance", *order]
