@@ -317,18 +317,18 @@ def _long(cols, expr) -> str:
 
 def _fact(name: str, cols, column):
     def run(spark, sf):
-        return profile.evidence(views.typed(spark, sf), cols).select("column", column.alias(name))
+        return profile.evidence(views.typed(spark, sf), cols).select("column", column().alias(name))
 
     return run
 
 
 query("type_empty", _long(TYPED, lambda c: f"count({c}) = 0 as is_empty"))(
-    _fact("is_empty", TYPED, F.col("n_filled") == 0)
+    _fact("is_empty", TYPED, lambda: F.col("n_filled") == 0)
 )
 query(
     "type_boolean_values",
     _long(TYPED[1:], lambda c: f"bool_and(upper({_trim(c)}) in ('', '0', '-', 'X', '1', 'O')) as is_boolean"),
-)(_fact("is_boolean", TYPED[1:], F.col("all_marks")))
+)(_fact("is_boolean", TYPED[1:], lambda: F.col("all_marks")))
 
 
 @query(
@@ -354,7 +354,7 @@ query(
 )(
     _fact(
         "number_class", TYPED[1:],
-        F.when(F.col("n_numbers") >= 0.9 * F.col("n_filled"), F.when(F.col("any_fraction"), "real").otherwise("integer")).otherwise("no"),
+        lambda: F.when(F.col("n_numbers") >= 0.9 * F.col("n_filled"), F.when(F.col("any_fraction"), "real").otherwise("integer")).otherwise("no"),
     )
 )
 query(
@@ -362,18 +362,18 @@ query(
     _long(TYPED[1:], lambda c: "("
           + " or ".join(f"bool_and(regexp_full_match({c}, '{p.strip('^$')}'))" for p in profile.DATE_PATTERNS)
           + ") as is_date"),
-)(_fact("is_date", TYPED[1:], F.col("one_date_pattern")))
+)(_fact("is_date", TYPED[1:], lambda: F.col("one_date_pattern")))
 query(
     "type_excel_serial",
     _long(TYPED[1:], lambda c: f"bool_and(regexp_full_match({c}, '\\d+') and coalesce(try_cast({c} as double) between 42000 and 48000, false)) "
           "as is_day_number"),
-)(_fact("is_day_number", TYPED[1:], F.col("all_serial")))
+)(_fact("is_day_number", TYPED[1:], lambda: F.col("all_serial")))
 query(
     "type_date_flexible",
     _long(TYPED[1:], lambda c: "("
           + " or ".join(f"bool_and(regexp_matches({c}, '{p}'))" for p in profile.LOOSE_DATE_PATTERNS)
           + ") as is_loose_date"),
-)(_fact("is_loose_date", TYPED[1:], F.col("one_loose_pattern")))
+)(_fact("is_loose_date", TYPED[1:], lambda: F.col("one_loose_pattern")))
 
 
 @query(
@@ -390,7 +390,7 @@ def type_category(spark, sf):
 
 
 query("type_identifier", _long(TYPED[1:], lambda c: f"bool_and(regexp_full_match({c}, '\\d+')) as all_digits"))(
-    _fact("all_digits", TYPED[1:], F.col("all_digits"))
+    _fact("all_digits", TYPED[1:], lambda: F.col("all_digits"))
 )
 query(
     "type_text",
