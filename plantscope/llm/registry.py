@@ -12,7 +12,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 MODULES = (
-    "minhash",
+    "minhash", "token_counts", "quality",
 )
 
 
