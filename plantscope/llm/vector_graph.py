@@ -111,8 +111,11 @@ def _build(key, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"shard": key[0], "id": ids, "near": [ids[k] for k in pruned(x)]})
 
 
-def search(x: np.ndarray, graph: list[np.ndarray], entry: int, q: np.ndarray, least: float) -> np.ndarray:
-    """Members of a shard with cosine ``least`` or more to ``q``: greedy to the nearest BEAM, then outward while in range."""
+def search(x: np.ndarray, graph: list[np.ndarray], entry: int, q: np.ndarray, least: float, own: int | None = None) -> np.ndarray:
+    """Members of a shard with cosine ``least`` or more to ``q``: greedy to the nearest BEAM, then outward while in range.
+
+    ``own``: the place of ``q`` itself, if it is a member; the expansion starts from there too, where the walk has missed it.
+    """
     seen = np.zeros(len(x), bool)
     seen[entry] = True
     best, score, done = np.array([entry]), np.array([x[entry] @ q]), np.zeros(1, bool)
@@ -128,6 +131,8 @@ def search(x: np.ndarray, graph: list[np.ndarray], entry: int, q: np.ndarray, le
             best, score, done = best[top], score[top], done[top]
     found, front = best[score >= least], best[score >= least - SLACK]
     reached = np.zeros(len(x), bool)
+    if own is not None and own not in front:
+        found, front = np.append(found[found != own], own), np.append(front, own)
     reached[front] = True
     while len(front):
         new = np.unique(np.concatenate([graph[i] for i in front]))
@@ -151,7 +156,7 @@ def _search(least: float):
         entry = int(np.argmax(x @ x.sum(axis=0)))
         a, b = [], []
         for i in range(len(x)):
-            hit = search(x, graph, entry, x[i], least - 1e-9)
+            hit = search(x, graph, entry, x[i], least - 1e-9, i)
             hit = hit[hit != i]
             a.extend([ids[i]] * len(hit))
             b.extend(ids[hit])
