@@ -12,7 +12,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 MODULES = (
-    "minhash", "token_counts", "quality", "secrets", "suffixes", "packing", "token_files", "warc", "vector_graph",
+    "minhash", "token_counts", "quality", "secrets", "suffixes", "packing", "token_files", "warc", "vector_graph", "pieces",
 )
 
 
