@@ -3,14 +3,14 @@
 Every document is hashed into ``REGISTERS`` buckets. A bucket keeps the smallest
 hash it saw, compressed to its count of leading zeros and its next ten bits.
 Empty buckets copy a full one in an order fixed for all documents, so short
-texts band as well as long ones. Four neighbouring registers make a band: texts
-of similarity 0.8 miss all 32 bands once in twenty million.
-
-Texts with equal sets form one class, of which only the smallest id goes on. In
-a bucket of a band every member is compared with two members (the one that
-meets most others, and the smallest id), so a group of n copies costs about n
-comparisons; after that only members that are not yet connected are compared
-with each other. Estimates settle clear misses, full sets decide the rest.
+texts band as well as long ones. Six neighbouring registers make a band: texts
+of similarity 0.8 miss all 48 bands once in two million.
+
+Texts with equal sets form one class, of which only the smallest id goes on. Every bucket of
+a band names two pivots, the member that meets most others and the smallest id; a document is
+compared with the best of each that its buckets name, so a group of n copies costs 2 n comparisons. Members of a bucket that are not connected by then are compared where their sets
+share one of their rarest shingles: of n shingles, two sets of that size and similarity 0.8
+share one of the n / 9 rarest. Estimates settle clear misses, full sets decide the rest.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plantscope.llm.graph import connected_components
@@ -27,7 +27,7 @@ from plantscope.llm.registry import query, table
 from plantscope.llm.shingles import chunks, mix, shingle_sets
 from plantscope.session import materialize
 
-REGISTERS, ROWS = 128, 4
+REGISTERS, ROWS = 288, 6
 BANDS = REGISTERS // ROWS
 MANTISSA = 10
 #: A pair is dropped on its estimate only when that is this many deviations below the threshold.
@@ -44,11 +44,11 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     if sum(map(len, sets)):
         row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
         h = np.concatenate(sets)
-        bucket = (h >> np.uint64(57)).astype(np.int64)
+        m, half = np.uint64(REGISTERS), np.uint64(32)  # bucket: the upper word of h * REGISTERS, in order of h; the lower word is the hash in it
+        bucket = (((h >> half) * m + ((h & np.uint64(0xFFFFFFFF)) * m >> half)) >> half).astype(np.int64)
         key = row * REGISTERS + bucket
         first = np.flatnonzero(np.diff(key, prepend=-1))  # sets are sorted, so a bucket's first hash is its smallest
-        rest = (h[first] << np.uint64(7)) >> np.uint64(7)  # 57 bits, of which a double may drop four
-        rest = (rest >> np.uint64(4)) | np.uint64(1)
+        rest = (h[first] * m >> np.uint64(11)) | np.uint64(1)  # 53 bits, which a double holds
         zeros = 53 - np.frexp(rest.astype(np.float64))[1]
         lead = rest << (zeros + 11).astype(np.uint64)
         bits = (lead << np.uint64(1)) >> np.uint64(64 - MANTISSA)
@@ -108,13 +108,13 @@ FEATURES = "id long, n long, d1 long, d2 long, sig binary"
 
 def _likely(threshold: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        slack = DEVIATIONS * (threshold * (1 - threshold) / REGISTERS) ** 0.5
         for pdf in batches:
             if len(pdf):
                 a, b = (np.frombuffer(b"".join(pdf[c]), np.uint16).reshape(-1, REGISTERS) for c in ("sig_a", "sig_b"))
                 n_a, n_b = pdf["n_a"].to_numpy(), pdf["n_b"].to_numpy()
-                # a set of few shingles fills few buckets, which the deviation doesn't allow for
-                keep = (estimate(a, b, n_a, n_b) >= threshold - slack) | (np.minimum(n_a, n_b) < REGISTERS)
+                # a set of few shingles fills few buckets, and says as little as they do
+                slack = DEVIATIONS * (threshold * (1 - threshold) / np.minimum(np.minimum(n_a, n_b), REGISTERS)) ** 0.5
+                keep = estimate(a, b, n_a, n_b) >= threshold - slack
                 yield pdf.loc[keep, ["a", "b"]]
 
     return run
@@ -145,6 +145,41 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return whole.mapInPandas(_linked(percent), "a long, b long")
 
 
+def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for at in range(0, len(pdf), 256):
+            part = pdf.iloc[at : at + 256]
+            sets = [np.frombuffer(m, np.int64) for m in part["members"]]
+            size = [len(x) for x in sets]
+            yield pd.DataFrame({"id": np.repeat(part["id"].to_numpy(), size), "d1": np.repeat(part["d1"].to_numpy(), size), "n": np.repeat(size, size), "token": np.concatenate(sets)})
+
+
+def _sharing_rare(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets from different components that may reach the threshold; none that does is missing.
+
+    With all shingles in one order, rarest first, sets of n >= m shingles that reach it have more than n - c in
+    common, c = percent * (n + m) / (100 + percent), so the first n - c + 1 of one and the first of the other meet.
+    Sizes are met class by class, for the fewer shingles have to be looked at the closer the sizes are.
+    """
+    ratio = 1.02
+    need = lambda n, m: F.ceil(percent * (n + m) / F.lit(100 + percent) - F.lit(1e-9)).cast("long")
+    group = lambda n: F.floor(F.log(n) / F.log(F.lit(ratio))).cast("int")
+    tokens = sets.join(placed, "id", "left_semi").select("id", "d1", "members").mapInPandas(_tokens, "id long, d1 long, n long, token long")
+    tokens = materialize(tokens, "tokens")
+    tokens = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("held")), "token")
+    tokens = tokens.withColumn("place", F.row_number().over(Window.partitionBy("id", "d1").orderBy("held", "token")))
+    tokens = tokens.where((F.col("held") > 1) & (F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1))
+    tokens = materialize(tokens.join(placed, "id"), "rare")
+    n = F.col("n")
+    small = tokens.where(F.col("place") <= n - need(n, n) + 1).select("token", group(n).alias("sizes"), F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("in_b"))
+    least = F.ceil(n * percent / 100).cast("long")
+    large = tokens.withColumn("sizes", F.explode(F.sequence(group(least) - 1, group(n))))
+    low = F.greatest(least, F.floor(F.pow(F.lit(ratio), F.col("sizes"))).cast("long") - 1)
+    large = large.where(F.col("place") <= n - need(n, low) + 1).select("token", "sizes", F.col("id").alias("a"), "n", F.col("component").alias("in_a"))
+    met = large.join(small, ["token", "sizes"]).where(f"in_a != in_b and (m < n or m = n and a != b) and 100 * m >= {percent} * n")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) for every row of ``docs``.
 
@@ -169,8 +204,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = materialize(bands.join(shared, "key"), "members")
 
     met = members.groupBy("id").agg(F.sum("size").alias("met"))
-    pivots = members.join(met, "id").groupBy("key").agg(F.max_by("id", F.struct("met", -F.col("id"))).alias("p"), F.min("id").alias("q"))
-    pairs = members.join(pivots, "key").select("id", F.explode(F.array("p", "q")).alias("other")).where("id != other")
+    best = F.max(F.struct("met", (-F.col("id")).alias("id")))
+    pivots = members.join(met, "id").groupBy("key").agg(best.alias("p"), F.min("id").alias("q"))
+    # of all its pivots a member is compared with the one that meets most others and with the smallest
+    own = members.select("key", "id").join(pivots, "key").groupBy("id").agg(
+        F.max(F.when(-F.col("p.id") != F.col("id"), F.col("p"))).alias("p"), F.min(F.when(F.col("q") != F.col("id"), F.col("q"))).alias("q"))
+    pairs = own.select("id", F.explode(F.array(-F.col("p.id"), F.col("q"))).alias("other")).where("other is not null")
     pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
     wanted = members.select("id").distinct()
@@ -183,9 +222,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # members of a bucket that no pivot has brought together
     placed = members.join(found, members.id == found.node, "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    placed = materialize(placed.join(split, "key"), "apart")
-    a, b = (placed.select("key", F.col("id").alias(c), F.col("component").alias(f"in_{c}")) for c in ("a", "b"))
-    rest = a.join(b, "key").where("a < b and in_a != in_b").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+    placed = materialize(placed.join(split, "key").select("id", "component").distinct(), "apart")
+    rest = _sharing_rare(placed, sets, percent).join(pairs, ["a", "b"], "left_anti")
     # an id that stands for several texts ties their classes together
     keyed = features.where("n > 0 and id is not null").select("id", F.struct("n", "d1", "d2").alias("text"))
     double = keyed.groupBy("id").agg(F.min("text").alias("low"), F.max("text").alias("high")).where("low != high").select("id")

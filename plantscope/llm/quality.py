@@ -159,12 +159,18 @@ def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def keep_good(docs: DataFrame, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that pass, with their columns; texts are read twice and never shuffled."""
-    name = "_q"
-    while name in {c.lower() for c in docs.columns}:
+    taken = {c.lower() for c in docs.columns}
+    name, number = "_q", "_n"
+    while name in taken:
         name = f"_{name}"
+    while number in taken:
+        number = f"_{number}"
     features = text_features(docs, text_col, name)
     posteriors = fit(features, name)
-    return features.where(~base_failed(name) & (good_probability(posteriors, name) >= least)).drop(name)
+    # the row number, which the filter names, keeps the optimizer from repeating the counts inside it
+    numbered = features.withColumn(number, F.monotonically_increasing_id())
+    good = ~base_failed(name) & (good_probability(posteriors, name) >= least)
+    return numbered.where((F.col(number) >= 0) & good).drop(name, number)
 
 
 @query("op10_quality_rules")
