@@ -2,7 +2,7 @@
 
 All of it is built-in functions. Matches keep their places because a text split
 by a pattern and the list of what the pattern matched have lengths that add up.
-The two models are tables of transitions between kinds of characters and characters,
+The two models are tables of transitions between characters, and between kinds of characters,
 counted from labelled strings; a candidate is a secret where the random model
 explains it so much better that the ratio of likelihoods, per character and in all, passes two limits.
 """
@@ -30,7 +30,7 @@ CANDIDATE = r"[A-Za-z0-9+/=_-]{16,}"
 #: Labelled strings used for training, at most so many of each class.
 SAMPLE = 20_000
 #: Candidates need this log-likelihood ratio in all, and on average per character.
-LEAST_TOTAL, LEAST_MEAN = 12.0, 0.5
+LEAST_TOTAL, LEAST_MEAN = 10.0, 0.35
 
 
 def labelled_strings(spark: SparkSession, docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
@@ -66,14 +66,19 @@ def train(labelled: DataFrame) -> list[float]:
     chars = labelled.where("value is not null and is_random is not null").select("is_random", F.split("value", "").alias("c"))
     steps = chars.where(F.size("c") >= 2).select("is_random", F.explode(F.expr("transform(sequence(1, size(c) - 1), i -> concat(get(c, i - 1), get(c, i)))")).alias("step"))
     counts = {(r["is_random"], r["step"]): r["count"] for r in steps.where(F.col("step").rlike("^[A-Za-z0-9+/=_-]{2}$")).groupBy("is_random", "step").count().collect()}
-    out = []
-    for a in ALPHABET:
-        rows = []
-        for cls in (True, False):
-            n = [counts.get((cls, a + b), 0) + 1 for b in ALPHABET]
-            rows.append([math.log(x / sum(n)) for x in n])
-        out.extend(r - o for r, o in zip(*rows))
-    return out
+    kind = ["a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else c for c in ALPHABET]
+    size = {k: kind.count(k) for k in kind}
+    log: dict[bool, list[float]] = {}
+    for cls in (True, False):
+        n = [[counts.get((cls, a + b), 0) + 1 for b in ALPHABET] for a in ALPHABET]
+        by_kind: dict[tuple[str, str], int] = {}
+        for a, row in zip(kind, n):
+            for b, x in zip(kind, row):
+                by_kind[a, b] = by_kind.get((a, b), 0) + x
+        total = {a: sum(x for (k, _), x in by_kind.items() if k == a) for a in size}
+        # half of the weight goes to kinds of characters, for letters that training has seldom seen together
+        log[cls] = [math.log(0.5 * x / sum(row) + 0.5 * by_kind[a, b] / total[a] / size[b]) for a, row in zip(kind, n) for b, x in zip(kind, row)]
+    return [r - o for r, o in zip(log[True], log[False])]
 
 
 def _places(text: Column, pattern: str) -> Column:

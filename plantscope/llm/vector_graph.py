@@ -233,11 +233,12 @@ def audit_recall(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     _, classes = _classes(vectors, id_col, vector_col, label_col)
     links = near_pairs(classes, least)
     asked = classes.where("id % 20 = 0").select("label", "id", "unit", F.explode(F.array([F.lit(i) for i in range(8)])).alias("block"))
-    held = classes.select("label", "id", "unit", F.pmod(F.xxhash64("id"), F.lit(8)).cast("int").alias("block"))
+    # fresh names for the columns: a group of two frames that share columns loses those of the second
+    held = classes.select(*[F.col(c).alias(c) for c in ("label", "id", "unit")], F.pmod(F.xxhash64("id"), F.lit(8)).cast("int").alias("block"))
 
     def compare(key, left, right):
         rows = []
-        for size, part in right.groupby(right["unit"].map(len)):
+        for size, part in right.groupby(right["unit"].map(len)) if len(left) and len(right) else ():
             mine = left[left["unit"].map(len) == size]
             y = np.frombuffer(b"".join(part["unit"]), np.float64).reshape(len(part), -1)
             for at in range(0, len(mine), block):

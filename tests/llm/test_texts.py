@@ -1,0 +1,134 @@
+import hashlib
+import random
+import re
+from collections import Counter
+
+import pytest
+from fixtures import WORD, documents, messy, simple, words
+
+from plantscope.llm import pieces, quality, secrets, token_counts
+
+
+def test_token_counts_are_the_library_s(spark):
+    import public_tokenizers
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    got = token_counts.token_counts(documents(spark), limit=100)
+    want = sorted((str(r[0]), len((r[1] or "").encode()), n := len(sp.encode(r[1] or "")), n > 100) for r in messy())
+    assert sorted((str(r[0]), *r[1:]) for r in got.collect()) == want
+    assert token_counts.token_counts(documents(spark, [])).count() == 0
+    r = random.Random(1)
+    texts = ["".join(r.choice(" ab\n\té中🙂▁<s>0.,tionhe") for _ in range(r.randint(0, 60))) for _ in range(2000)] + ["a" * 999, " ", "  x", "y "]
+    assert token_counts._counts(texts, None) == [len(x) for x in sp.encode(texts)]
+
+
+def test_pieces_have_the_best_score_and_decode(spark):
+    p = pieces._pieces(None)
+
+    def best(text):
+        at = [0.0]
+        for end in range(1, len(text) + 1):
+            at.append(max([at[end - 1] + p.automaton.low] + [at[s] + p.model.scores[text[s:end]] for s in range(max(0, end - 20), end) if text[s:end] in p.model.scores]))
+        return at[-1]
+
+    r = random.Random(2)
+    for _ in range(300):
+        text = "".join(r.choice("the of and tion\n▁é中🙂abc  ") for _ in range(r.randint(0, 30)))
+        units = p.model.units(text)
+        got = sum(p.model.scores[u[a:b]] if i >= 0 else p.automaton.low for u in units for a, b, i in p.automaton.best(u))
+        assert got == pytest.approx(best("".join(units)))
+        assert p.decode(p.encode(text)) == text.replace("▁", " ")
+    docs = documents(spark)
+    back = pieces.decoded(pieces.encoded(docs)).collect()
+    assert Counter((r[0], r[1]) for r in back) == Counter((r[0], (r[1] or "").replace("▁", " ")) for r in messy())
+    assert pieces.encoded(documents(spark, [])).count() == 0
+
+
+def plain_quality(text):
+    w, text = WORD.findall(text or ""), text or ""
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    often, covered = Counter(grams), set()
+    for i, g in enumerate(grams):
+        if often[g] > 1:
+            covered.update(range(i, i + 5))
+    return len(w), sum(map(len, w)), len(re.findall("[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_counts_and_verdicts(spark):
+    got = quality.quality_scores(documents(spark)).collect()
+    have = sorted((str(r["doc_id"]), r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in got)
+    assert have == sorted((str(r[0]), *plain_quality(r[1])) for r in messy())
+    for r in got:
+        assert r["base_failed"] == (r["n_words"] < 10 or 100 * r["n_repeat_words"] > 20 * r["n_words"])
+        assert not (r["base_failed"] and r["kept"])
+    assert quality.quality_scores(documents(spark, [])).count() == 0
+    kept = quality.keep_good(documents(spark))
+    assert kept.dtypes == documents(spark).dtypes
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(r["doc_id"] for r in got if r["kept"])
+    assert quality.keep_good(documents(spark, [])).count() == 0
+
+
+def test_quality_tells_prose_from_junk(spark):
+    clean = ["\n".join(" ".join(words(12, 100 * k + j)).capitalize() + "." for j in range(6)) for k in range(60)]
+    junk = [" ".join(w + r for w, r in zip(words(80, 900 + k), "*** ### $$$ &&&".split() * 20)) for k in range(8)]
+    junk += [" | ".join(words(80, 950 + k)) for k in range(8)]
+    got = {r["doc_id"]: r["kept"] for r in quality.quality_scores(simple(spark, clean + junk)).collect()}
+    assert all(got[i] for i in range(60)) and not any(got[i] for i in range(60, 76))
+
+
+def test_em_recovers_accuracies():
+    r = random.Random(6)
+    truth = (0.9, 0.8, 0.7, 0.85)
+    counts = Counter()
+    for _ in range(20_000):
+        y = r.random() < 0.7
+        counts[sum((0 if r.random() < 0.2 else 1 + (y if r.random() < a else not y)) * 3**k for k, a in enumerate(truth))] += 1
+    _, share, table = quality.expectation_maximisation(counts, 4)
+    assert abs(share - 0.7) < 0.03
+    assert all(abs(row[1][1] - a) < 0.04 and abs(row[0][0] - a) < 0.04 for row, a in zip(table, truth))
+    assert quality.expectation_maximisation({}, 2)[0]
+
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def plain_secrets(text):
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(found))
+
+
+def test_secrets_of_the_patterns(spark):
+    r = random.Random(7)
+    parts = ["password", "TOKEN", "Api_Key", "secret", "=", ": ", ' "', "'", "abc", "abcdefgh", "AKIA", "ABCDEFGHIJKLMNOPQ", "0123456789abcdef", "é🙂", " ", "\n", "-", "AKIA0"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 25))) for _ in range(300)] + [None, ""]
+    got = {x["doc_id"]: x for x in secrets.secret_scan(simple(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        want = plain_secrets(t or "")
+        assert got[i]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest(), t
+        assert set(filter(None, want.split(","))) <= set(got[i]["spans"].split(","))
+
+
+def test_random_strings_are_found_and_identifiers_are_not(spark):
+    r = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    random_ones = ["".join(r.choice(letters) for _ in range(32)) for _ in range(100)]
+    prose = " ".join(["the function returns another value and then reads some other configuration from this service"] * 20)
+    plain = ["get_user_account_name", "readConfigurationFile", "InternationalOrganisation", "some/path/to/another/file", "unter-den-vereinigten-staaten", "HttpServletRequestWrapper"] * 10
+    got = secrets.secret_scan(simple(spark, [f"{prose} x {s} y" for s in random_ones + plain])).collect()
+    by = {x["doc_id"]: x["n_random"] for x in got}
+    assert sum(by[i] > 0 for i in range(100)) >= 97
+    assert sum(by[i] > 0 for i in range(100, 160)) == 0
+
+
+def test_masking_keeps_the_table(spark):
+    docs = documents(spark)
+    got = secrets.mask_secrets(docs)
+    assert got.dtypes == docs.dtypes
+    by = {r["id"]: r["text"] for r in got.collect()}
+    assert "[SECRET]" in by[19] and not re.search("hunter22|AKIA|deadbeef", by[19])
+    assert by[5] is None and by[6] == "" and by[0] == messy()[0][1]
+    assert secrets.mask_secrets(documents(spark, [])).count() == 0
