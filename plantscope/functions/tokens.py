@@ -73,11 +73,15 @@ def missing_stage(col: Column) -> Column:
     return out.otherwise(0)
 
 
+def plain_text(col: Column) -> Column:
+    """Number text without comma marks and with a plain minus; NULL for other text."""
+    text = F.translate(unicode_trim(col), "−,", "-")
+    return F.when(text.rlike(_PLAIN_NUMBER), text)
+
+
 def to_number(col: Column) -> Column:
     """Number text to double: comma marks dropped, U+2212 read as minus, anything else NULL."""
-    text = F.translate(unicode_trim(col), "−,", "-")
-    plain = F.when(text.rlike(_PLAIN_NUMBER), text)
-    return plain.try_cast("double")
+    return plain_text(col).try_cast("double")
 
 
 def to_number_lenient(col: Column) -> Column:

@@ -5,14 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plantscope.functions import tokens
 from plantscope.functions.numeric import all_of, any_of, clean
-from plantscope.session import local_table
+from plantscope.session import local_table, materialize
 
 
 @dataclass(frozen=True)
@@ -204,31 +203,24 @@ def fill_forward(
 ) -> DataFrame:
     """Carry the last known value forward along ``order_by``; before the first one, ``default``.
 
-    The order is cut into buckets of about equal row counts, the last value of
-    each bucket is carried over a table with one row per bucket, and the rest
-    happens inside buckets, so no task sees the whole order.
+    The rows are range-sorted by the key itself, of whatever type, into parts of bounded size, and written
+    once; rows that agree in the key and in ``tie_break`` are ordered by their hash, so one key may fill several
+    parts. The last value of each part is carried over a table with one row per part, and the rest happens inside parts.
     """
-    key = F.col(order_by).cast("double") if order_by in numeric_columns(df) else F.unix_micros(order_by).cast("double")
-    keyed = df.withColumn("_key", key)
-    n_rows = keyed.count()
-    pieces = max(1, -(-n_rows // rows_per_bucket))
-    cuts = sorted(set(keyed.approxQuantile("_key", [i / pieces for i in range(1, pieces)], 0.1 / pieces))) if pieces > 1 else []
-    if cuts:
-        splits = [float("-inf"), *cuts, float("inf")]
-        keyed = Bucketizer(splits=splits, inputCol="_key", outputCol="_bucket", handleInvalid="keep").transform(keyed)
-    else:
-        keyed = keyed.withColumn("_bucket", F.lit(0.0))
-    order = F.struct("_key", *tie_break)
-    last = keyed.groupBy("_bucket").agg(
-        F.max_by(F.when(F.col(value).isNotNull(), F.col(value)), F.when(F.col(value).isNotNull(), order)).alias("_last")
-    )
-    # One row per bucket: the number of buckets is bounded by the cut points above.
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = last.select("_bucket", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
-    inside = Window.partitionBy("_bucket").orderBy("_key", *tie_break).rowsBetween(Window.unboundedPreceding, 0)
+    parts = max(1, -(-df.count() // rows_per_bucket))
+    hashed = [F.col(f"`{f.name}`") for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    keys = [F.col(f"`{c}`") for c in (order_by, *tie_break)]
+    ranged = df.withColumn("_hash", F.xxhash64(*hashed)).repartitionByRange(parts, *keys, "_hash").sortWithinPartitions(*keys, "_hash")
+    placed = materialize(ranged.drop("_hash").withColumn("_place", F.monotonically_increasing_id()), "ordered")
+    placed = placed.withColumn("_part", F.shiftright("_place", 33))
+    known = F.col(f"`{value}`").isNotNull()
+    last = placed.groupBy("_part").agg(F.max_by(F.when(known, F.col(f"`{value}`")), F.when(known, F.col("_place"))).alias("_last"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
+    carried = last.select("_part", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
+    inside = Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
     return (
-        keyed.withColumn("_seen", F.last(value, ignorenulls=True).over(inside))
-        .join(carried, "_bucket", "left")
+        placed.withColumn("_seen", F.last(F.col(f"`{value}`"), ignorenulls=True).over(inside))
+        .join(carried, "_part", "left")
         .withColumn(value, F.coalesce("_seen", "_carry", F.lit(default)))
-        .drop("_key", "_bucket", "_seen", "_carry")
+        .drop("_place", "_part", "_seen", "_carry")
     )

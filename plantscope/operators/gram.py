@@ -64,7 +64,9 @@ class Gram:
 
 
 def gram_by(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), narrow: int = NARROW) -> dict[tuple, Gram]:
-    """Gram per group; rows must be complete. The groups and the columns are few, the rows need not be."""
+    """Gram per group of the rows that are complete in ``cols``. The groups and the columns are few, the rows need not be."""
+    for c in cols:
+        df = df.where(F.col(f"`{c}`").isNotNull())
     if len(cols) <= narrow:
         return _narrow(df, tuple(cols), list(keys))
     return _wide(df, tuple(cols), list(keys))

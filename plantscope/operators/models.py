@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plantscope.functions.numeric import band, clean
-from plantscope.session import local_table
+from plantscope.session import local_table, materialize
 
 FEATURES, LABEL, PREDICTION = "features", "label", "prediction"
 LINEAR = "linear_regression"
@@ -227,14 +227,16 @@ def permutation_importance(
     every row the values of the next one in its block, a random permutation
     that needs no global order and no join.
     """
+    # every row gets a number of its own, written once, so that equal rows are told apart and stay so
     base = test.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in [y, *x]])
-    n = base.count()
+    numbered = materialize(base.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    base = numbered.drop("_row")
+    n = numbered.count()
     blocks = max(1, -(-n // block))
-    values = [F.col(f"`{c}`") for c in base.columns]
-    tagged = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
-    tagged = tagged.withColumn("_h", F.xxhash64(F.col("repeat"), *values))
+    tagged = numbered.select("*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
+    tagged = tagged.withColumn("_h", F.xxhash64("repeat", "_row"))
     tagged = tagged.withColumn("_block", F.pmod(F.col("_h"), F.lit(blocks)))
-    inside = Window.partitionBy("repeat", "_block").orderBy("_h", *base.columns)
+    inside = Window.partitionBy("repeat", "_block").orderBy("_h", "_row")
     ahead = F.struct(*[F.col(f"`{c}`") for c in x])
     first = F.first(ahead).over(inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     moved = tagged.withColumn("_other", F.coalesce(F.lead(ahead).over(inside), first))
@@ -280,9 +282,12 @@ def coalition_weights(d: int, permutations: int = 200, seed: int = 7) -> dict[in
 
 
 def hash_sample(df: DataFrame, cols: Sequence[str], n: int, seed: int) -> DataFrame:
-    """The same ``n`` rows however the data are partitioned: lowest row hashes, ties by value."""
-    h = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in cols])
-    return df.select(*cols).orderBy(h, *cols).limit(n)
+    """``n`` rows, each as likely as any other however many rows equal it: lowest hashes of row numbers.
+
+    The numbers follow the partitions of ``df``, so the same files give the same rows.
+    """
+    numbered = df.select(*cols).withColumn("_row", F.monotonically_increasing_id())
+    return numbered.orderBy(F.xxhash64(F.lit(seed), "_row"), "_row").limit(n).drop("_row")
 
 
 def shapley_values(

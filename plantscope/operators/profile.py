@@ -194,7 +194,9 @@ def cast_by_class(df: DataFrame, classes: DataFrame) -> DataFrame:
             return col
         if isinstance(kinds[name], T.StringType) and label["is_numeric"]:
             number = tokens.to_number(col)
-            return (number.try_cast("bigint") if label["sub_category"] == "integer" else number).alias(name)
+            if label["sub_category"] == "integer":  # digits beyond what a double holds stay exact
+                number = F.coalesce(tokens.plain_text(col).try_cast("bigint"), number.try_cast("bigint"))
+            return number.alias(name)
         if label["sub_category"] == "boolean" and not isinstance(kinds[name], T.BooleanType):
             return tokens.boolean_digit(
                 tokens.boolean_mark(col, isinstance(kinds[name], T.NumericType))

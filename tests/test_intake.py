@@ -109,3 +109,34 @@ def test_fingerprint_ignores_order_and_sees_changes(spark):
 def test_cleaned_name():
     assert tables.cleaned_name("plant.data.xlsx") == "plant.data_cleaned.csv"
     assert tables.cleaned_name("plant") == "plant_cleaned.csv"
+
+
+def test_fill_forward_on_large_keys_ties_and_text(spark):
+    from plantscope.operators import cleaning
+
+    big = 2**53
+    rows = [(big + i, f"k{i:03}", float(i) if i % 3 == 0 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "t long, name string, v double").repartition(5)
+    want = {big + i: float(i - i % 3) for i in range(60)}
+    for key in ("t", "name"):
+        got = cleaning.fill_forward(df, "v", key, rows_per_bucket=7)
+        assert {r["t"]: r["v"] for r in got.collect()} == want
+    tied = spark.createDataFrame([(1, i, None if i % 2 else float(i)) for i in range(100)], "t long, n int, v double")
+    got = {r["n"]: r["v"] for r in cleaning.fill_forward(tied, "v", "t", tie_break=["n"], rows_per_bucket=10).collect()}
+    assert got == {i: float(i - i % 2) for i in range(100)}
+
+
+def test_long_integers_stay_exact(spark):
+    from plantscope.operators import profile
+
+    df = spark.createDataFrame([("9007199254740993",), ("9,007,199,254,740,995",), ("12.0",)], "lot string")
+    classes = spark.createDataFrame([("lot", True, "integer")], "column string, is_numeric boolean, sub_category string")
+    assert [r["lot"] for r in profile.cast_by_class(df, classes).collect()] == [9007199254740993, 9007199254740995, 12]
+
+
+def test_quoted_quotes_and_line_breaks(spark, tmp_path):
+    from plantscope.sources import tables
+
+    (tmp_path / "notes.csv").write_text('id,note\n1,"He said ""hi"", ok"\n2,"two\nlines"\n3,plain\n')
+    got = {r["id"]: r["note"] for r in tables.read_csv(spark, str(tmp_path / "notes.csv")).collect()}
+    assert got == {"1": 'He said "hi", ok', "2": "two\nlines", "3": "plain"}

@@ -227,3 +227,19 @@ def test_projection_against_numpy(df, data):
     want = x @ v[:2].T
     np.testing.assert_allclose(np.abs(got), np.abs(want), rtol=1e-6, atol=1e-7)
     assert fit.explained[0] == pytest.approx((s**2)[0] / (s**2).sum())
+
+
+def test_importance_on_repeated_rows(spark):
+    df = spark.range(6000).selectExpr("cast(id % 2 as double) a", "cast(id % 3 as double) b").selectExpr("a", "b", "5 * a + b as y")
+    fitted = models.LinearRegression(featuresCol=models.FEATURES, labelCol=models.LABEL, predictionCol=models.PREDICTION).fit(models.assemble(df, ["a", "b"], "y"))
+    got = {r["variable"]: r["importance"] for r in models.permutation_importance(df, ["a", "b"], "y", fitted, repeats=3).collect()}
+    assert got["a"] > 1.0 and 0.05 < got["b"] < got["a"]
+    assert models.hash_sample(df, ["a", "b"], 200, seed=1).distinct().count() == 6
+
+
+def test_gram_leaves_incomplete_rows_out(spark):
+    df = spark.range(200).selectExpr("cast(id as double) x", "if(id % 4 = 0, null, cast(id * id % 37 as double)) z", "cast(3 * id + id % 5 as double) y")
+    whole_rows = df.dropna()
+    for narrow in (0, 12):
+        got, want = gram_by(df, ["x", "z", "y"], narrow=narrow)[()], gram_by(whole_rows, ["x", "z", "y"], narrow=12)[()]
+        assert got.n == want.n == 150 and abs(got.cross - want.cross).max() < 1e-6 * abs(want.cross).max()
