@@ -25,6 +25,9 @@ def _reader(spark: SparkSession, encoding: str):
         .option("encoding", charset)
         .option("ignoreLeadingWhiteSpace", True)
         .option("ignoreTrailingWhiteSpace", False)
+        # as spreadsheets write it: doubled quotes and line breaks inside quoted cells; a file is then read by one task
+        .option("escape", '"')
+        .option("multiLine", True)
     )
 
 
