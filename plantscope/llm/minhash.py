@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from plantscope.llm.graph import connected_components
 from plantscope.llm.registry import query, table
+from plantscope.llm.scratch import discard, write_once
 from plantscope.llm.shingles import chunks, mix, shingle_sets
-from plantscope.session import materialize
 
 REGISTERS, ROWS = 288, 6
 BANDS = REGISTERS // ROWS
@@ -140,9 +140,11 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     side = lambda c, *more: sets.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), *[F.col(m).alias(f"{n}_{c}") for m, n in more])
     sized = pairs.join(side("a", ("sig", "sig")), "a").join(side("b", ("sig", "sig")), "b")
     sized = sized.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    likely = materialize(sized.mapInPandas(_likely(percent / 100), "a long, b long").distinct(), "likely")
+    likely = write_once(sized.mapInPandas(_likely(percent / 100), "a long, b long").distinct(), "likely")
     whole = likely.join(side("a", ("members", "set")), "a").join(side("b", ("members", "set")), "b").select("a", "b", "set_a", "set_b")
-    return whole.mapInPandas(_linked(percent), "a long, b long")
+    links = write_once(whole.mapInPandas(_linked(percent), "a long, b long"), "confirmed")
+    discard(likely)
+    return links
 
 
 def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -165,19 +167,22 @@ def _sharing_rare(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     need = lambda n, m: F.ceil(percent * (n + m) / F.lit(100 + percent) - F.lit(1e-9)).cast("long")
     group = lambda n: F.floor(F.log(n) / F.log(F.lit(ratio))).cast("int")
     tokens = sets.join(placed, "id", "left_semi").select("id", "d1", "members").mapInPandas(_tokens, "id long, d1 long, n long, token long")
-    tokens = materialize(tokens, "tokens")
-    tokens = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("held")), "token")
-    tokens = tokens.withColumn("place", F.row_number().over(Window.partitionBy("id", "d1").orderBy("held", "token")))
-    tokens = tokens.where((F.col("held") > 1) & (F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1))
-    tokens = materialize(tokens.join(placed, "id"), "rare")
+    tokens = write_once(tokens, "tokens")
+    ranked = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("held")), "token")
+    ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy("id", "d1").orderBy("held", "token")))
+    ranked = ranked.where((F.col("held") > 1) & (F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1))
+    rare = write_once(ranked.join(placed, "id"), "rare")
+    discard(tokens)
     n = F.col("n")
-    small = tokens.where(F.col("place") <= n - need(n, n) + 1).select("token", group(n).alias("sizes"), F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("in_b"))
+    small = rare.where(F.col("place") <= n - need(n, n) + 1).select("token", group(n).alias("sizes"), F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("in_b"))
     least = F.ceil(n * percent / 100).cast("long")
-    large = tokens.withColumn("sizes", F.explode(F.sequence(group(least) - 1, group(n))))
+    large = rare.withColumn("sizes", F.explode(F.sequence(group(least) - 1, group(n))))
     low = F.greatest(least, F.floor(F.pow(F.lit(ratio), F.col("sizes"))).cast("long") - 1)
     large = large.where(F.col("place") <= n - need(n, low) + 1).select("token", "sizes", F.col("id").alias("a"), "n", F.col("component").alias("in_a"))
     met = large.join(small, ["token", "sizes"]).where(f"in_a != in_b and (m < n or m = n and a != b) and 100 * m >= {percent} * n")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    out = write_once(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "sharing")
+    discard(rare)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -193,15 +198,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     each. Other columns are not looked at. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    features = materialize(rows.mapInPandas(_featured(width, False), FEATURES), "registers")
+    features = write_once(rows.mapInPandas(_featured(width, False), FEATURES), "registers")
     classes = features.where("n > 0 and id is not null").groupBy("n", "d1", "d2").agg(F.min("id").alias("id"), F.first("sig").alias("sig"))
-    classes = materialize(classes, "classes")
+    classes = write_once(classes, "classes")
 
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")
     bands = classes.select("id", "sig", band).select(
         "id", F.xxhash64("band", F.expr(f"substring(sig, band * {2 * ROWS} + 1, {2 * ROWS})")).alias("key"))
     shared = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = materialize(bands.join(shared, "key"), "members")
+    members = write_once(bands.join(shared, "key"), "members")
 
     met = members.groupBy("id").agg(F.sum("size").alias("met"))
     best = F.max(F.struct("met", (-F.col("id")).alias("id")))
@@ -214,28 +219,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     wanted = members.select("id").distinct()
     sets = rows.join(wanted, "id", "left_semi").mapInPandas(_featured(width, True), FEATURES + ", members binary")
-    sets = materialize(sets.where("n > 0").dropDuplicates(["id", "d1", "d2"]), "sets")
-    pairs = materialize(pairs, "pairs")
-    links = materialize(_confirmed(pairs, sets, percent), "confirmed")
-    found = connected_components(links)
+    sets = write_once(sets.where("n > 0").dropDuplicates(["id", "d1", "d2"]), "sets")
+    pairs = write_once(pairs, "pairs")
+    first = _confirmed(pairs, sets, percent)
+    found = connected_components(first)
 
     # members of a bucket that no pivot has brought together
     placed = members.join(found, members.id == found.node, "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    placed = materialize(placed.join(split, "key").select("id", "component").distinct(), "apart")
-    rest = _sharing_rare(placed, sets, percent).join(pairs, ["a", "b"], "left_anti")
+    placed = write_once(placed.join(split, "key").select("id", "component").distinct(), "apart")
+    sharing = _sharing_rare(placed, sets, percent)
+    second = _confirmed(sharing.join(pairs, ["a", "b"], "left_anti"), sets, percent)
+    discard(found, placed, pairs, sets, members, sharing)
     # an id that stands for several texts ties their classes together
     keyed = features.where("n > 0 and id is not null").select("id", F.struct("n", "d1", "d2").alias("text"))
     double = keyed.groupBy("id").agg(F.min("text").alias("low"), F.max("text").alias("high")).where("low != high").select("id")
     tied = keyed.join(double, "id").select("id", "text.*").join(classes.withColumnRenamed("id", "b"), ["n", "d1", "d2"]).select(F.col("id").alias("a"), "b")
-    links = links.unionByName(_confirmed(rest, sets, percent)).unionByName(tied)
-    found = connected_components(links)
+    found = connected_components(first.unionByName(second).unionByName(tied))
+    discard(first, second)
 
-    classes = classes.join(found, classes.id == found.node, "left").select("n", "d1", "d2", F.coalesce("component", "id").alias("component"))
+    classed, classes = classes, classes.join(found, classes.id == found.node, "left").select("n", "d1", "d2", F.coalesce("component", "id").alias("component"))
     done = features.join(classes, ["n", "d1", "d2"], "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
         F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
-    return done.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+    done = write_once(done.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True))), "answers")
+    discard(features, classed, found)
+    return done
 
 
 SQL = r"""
