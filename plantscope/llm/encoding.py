@@ -45,6 +45,11 @@ class Encoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.by_bytes = "ByteLevel" in str(self.tokenizer.pre_tokenizer) and "Split" not in str(self.tokenizer.pre_tokenizer)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        # ids that begin a word after a space, or end a word
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.edge[[i for t, i in vocabulary.items() if (t[:1] == "Ġ" if self.by_bytes else t[-4:] == "</w>")]] = True
+        self.mark = {t: self.tokenizer.encode(t, add_special_tokens=False).ids[0] for t in (".", ",")}
         self._forget()
 
     def _forget(self):
@@ -66,27 +71,62 @@ class Encoder:
             return [_MARK + u for u in _WORD_STARTS.split(text)]
         return (_MARK + text.replace("\n", f" {_MARK}\n")).split(" ")
 
+    def _flat(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words one after another, and how many each has.
+
+        Words of letters are one pre-token each, so the library gets many of them as one text; where one
+        ends shows in its ids. The other words are texts of their own.
+        """
+        plain = [k for k, w in enumerate(words) if (x := w[1:] if self.by_bytes and w[:1] == " " else w).isalpha() and (w[:1] == " ") == self.by_bytes and (x.isascii() or max(x) < "\u0100")]
+        glue = "" if self.by_bytes else "\n"
+        lines = [glue.join([words[k] for k in plain[i : i + 200]]) for i in range(0, len(plain), 200)]
+        ids = np.fromiter(itertools.chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)), np.uint32)
+        edge = np.flatnonzero(self.edge[ids])
+        if len(edge) != len(plain):
+            raise ValueError("a word of letters is not one pre-token to this tokenizer")
+        sizes = np.zeros(len(words), np.int64)
+        sizes[plain] = np.diff(edge, append=len(ids)) if self.by_bytes else np.diff(edge, prepend=-1)
+        seen = np.zeros(len(words), bool)
+        seen[plain] = True
+        rest = np.flatnonzero(~seen)
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([words[k] for k in rest], add_special_tokens=False)]
+        sizes[rest] = np.fromiter(map(len, found), np.int64, len(found))
+        out = np.zeros(int(sizes.sum()), np.uint32)
+        of_plain = np.repeat(seen, sizes)
+        out[of_plain] = ids
+        out[~of_plain] = np.fromiter(itertools.chain.from_iterable(found), np.uint32)
+        return out, sizes
+
     def _learn(self, n: int):
         new, self.numbers.new = self.numbers.new, []
         # a comma or full stop after a letter is a pre-token of its own, so the word before it is encoded once for all
-        stems: dict[str, int] = {}
         tails = [u[-1:] if u[-1:] in (".", ",") and u[-2:-1] < "\u0100" and u[-2:-1].isalpha() else "" for u in new]
-        of = [stems.setdefault(u[:-1] if t else u, len(stems)) for u, t in zip(new, tails)]
+        stems: dict[str, int] = {}
+        of = np.fromiter((stems.setdefault(u[:-1] if t else u, len(stems)) for u, t in zip(new, tails)), np.int64, len(new))
         words = list(stems)
         if self.by_bytes:
             words = [u[1:] if u[:1] == _MARK else " " + u for u in words]
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        marks = {t: self.tokenizer.encode(t, add_special_tokens=False).ids for t in (".", ",")} | {"": []}
-        ids = [found[k] + marks[t] if t else found[k] for k, t in zip(of, tails)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat, sizes = self._flat(words)
+        marks = np.array([self.mark.get(t, 0) for t in tails], np.uint32)
+        ended = np.array([t != "" for t in tails], bool)
+        size = sizes[of] + ended
+        total = int(size.sum())
         while n + len(new) > len(self.start):
             self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-        total = int(size.sum())
         while self.end + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.end : self.end + total] = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, total)
+        ends = np.cumsum(size)
+        begin = ends - size
+        body = np.ones(total, bool)
+        body[ends[ended] - 1] = False
+        out = np.zeros(total, np.uint32)
+        stem = sizes[of]
+        first = np.cumsum(sizes) - sizes
+        out[body] = flat[np.arange(int(stem.sum())) + np.repeat(first[of] - (np.cumsum(stem) - stem), stem)]
+        out[~body] = marks[ended]
+        self.flat[self.end : self.end + total] = out
         self.size[n : n + len(new)] = size
-        self.start[n : n + len(new)] = self.end + np.cumsum(size) - size
+        self.start[n : n + len(new)] = self.end + begin
         self.end += total
 
     def _settle(self, texts: list[str]) -> list[np.ndarray]:
