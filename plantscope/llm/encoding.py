@@ -18,8 +18,6 @@ BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 #: Parts a worker remembers; beyond it, it starts afresh.
 REMEMBERED = 1_000_000
 SLICE = 2_000_000
-# in such a text every space and line feed stands alone between other characters
-_UNEVEN = re.compile(r"\s\s|[^\S \n]|^\s|\s\Z|\0")
 _MARK = "\0"
 _WORD_STARTS = re.compile(r"(?<=\S)(?= )")
 
@@ -67,8 +65,10 @@ class Encoder:
                 except UnicodeEncodeError:
                     pass
             return text.replace("\n", " ").split(" ")
-        if not text or _UNEVEN.search(text):
+        flat = text.replace("\n", " ")
+        if not flat.isprintable() or "  " in flat or flat[:1] in ("", " ") or flat[-1] == " ":
             return [_MARK + u for u in _WORD_STARTS.split(text)]
+        # every space and line feed stands alone between other characters, and there is no other white space
         return (_MARK + text.replace("\n", f" {_MARK}\n")).split(" ")
 
     def _flat(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:

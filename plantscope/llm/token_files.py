@@ -21,9 +21,9 @@ from plantscope.llm.encoding import BYTE_BPE, encoder
 from plantscope.llm.registry import query, table
 from plantscope.session import materialize, scratch_path
 
-LANES = 1024
+LANES = 4096
 BITS = 18  # the sum of all frequencies; at least twice the vocabulary
-BLOCK = 1 << 18  # ids in a block, but for documents that are longer
+BLOCK = 1 << 20  # ids in a block, but for documents that are longer
 STRIDE = 64
 _LOW = np.uint64(1 << 31)  # states lie in [2**31, 2**63) and words of 32 bits are moved
 

@@ -44,7 +44,7 @@ def test_token_files_round_trip(spark, monkeypatch):
 
 
 def test_coder_checkpoints_and_damage():
-    ids = np.random.default_rng(1).zipf(1.4, 150_000) % 3000
+    ids = np.random.default_rng(1).zipf(1.4, 600_000) % 3000
     symbols, freq = token_files.scaled(Counter(ids.tolist()))
     assert freq.sum() == 1 << token_files.BITS and freq.min() >= 1
     coder = token_files.Coder(symbols, freq)
