@@ -160,13 +160,13 @@ def benchmark_summary(spark, sf):
 
 @query("permutation_importance")
 def permutation_importance(spark, sf):
-    done, df = _train(spark, sf, {"permutation_base": models.random_forest(15, depth=6, seed=123)})
+    done, df = _train(spark, sf, {"permutation_base": models.random_forest(150, depth=6, seed=123)})
     return models.permutation_importance(df.where("is_test"), X, Y, done.models["permutation_base"], repeats=10)
 
 
 @query("shapley_importance")
 def shapley_importance(spark, sf):
-    done, df = _train(spark, sf, {"shapley_base": models.boosted_trees(20, seed=7)})
+    done, df = _train(spark, sf, {"shapley_base": models.boosted_trees(100, seed=7)})
     test = df.where("is_test")
     sample, background = models.hash_sample(test, X, 200, seed=7), models.hash_sample(df.where("not is_test"), X, 30, seed=8)
     values = models.shapley_values(sample, background, X, models.model_predictor(done.models["shapley_base"], X))
@@ -198,7 +198,8 @@ def score_scenarios(spark, sf):
     filled = asked.na.fill({c: means[c] for c in X})
     predictions = models.predict_long(models.assemble(filled, X, keep=["scenario_id"]), done.models)
     weights = models.consensus_weights(models.floor_negative(done.scores.where(F.col("model") != models.LINEAR)))
-    coverage = cases.with_extreme_variables(cases.with_coverage(filled, cases.coverage_fit(train, X)), cases.coverage_fit(train, X))
+    fitted = cases.coverage_fit(train, X)
+    coverage = cases.with_extreme_variables(cases.with_coverage(filled, fitted), fitted)
     nearest = cases.nearest_cases(
         df.select(*KEYS, *NUMERIC, "l_returnflag"), asked, X, ["l_returnflag"], order=[*KEYS, *NUMERIC], **cases.exploration_preset("balanced")
     )
