@@ -16,7 +16,7 @@ import public_tokenizers
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 #: Parts a worker remembers; beyond it, it starts afresh.
-REMEMBERED = 1_000_000
+REMEMBERED = 2_000_000
 SLICE = 2_000_000
 _MARK = "\0"
 _WORD_STARTS = re.compile(r"(?<=\S)(?= )")
