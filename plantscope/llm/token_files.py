@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from plantscope.llm.encoding import BYTE_BPE, encoder
 from plantscope.llm.registry import query, table
-from plantscope.session import materialize, scratch_path
+from plantscope.llm.scratch import discard, write_once
+from plantscope.session import scratch_path
 
 LANES = 4096
 BITS = 18  # the sum of all frequencies; at least twice the vocabulary
@@ -98,34 +99,43 @@ class Coder:
         return self.symbols[out]
 
 
+def _width(enc) -> str:
+    """How ids travel until they are coded: in two bytes where the vocabulary allows it."""
+    return "<u2" if len(enc.edge) <= 1 << 16 else "<u4"
+
+
 def _tokens(path: str, end_id: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(path)
         for pdf in batches:
-            ids = [np.append(x, np.uint32(end_id)).astype("<u4") for x in enc.encode(pdf["text"])]
+            kind = _width(enc)
+            ids = [np.append(x, np.uint32(end_id)).astype(kind) for x in enc.encode(pdf["text"])]
             out = pd.DataFrame({"id": pdf["id"].astype("Int64"), "n": [len(x) for x in ids], "ids": [x.tobytes() for x in ids]})
             yield out
 
     return run
 
 
-def _histograms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total = np.zeros(0, np.int64)
-    for pdf in batches:
-        for raw in pdf["ids"]:
-            n = np.bincount(np.frombuffer(raw, "<u4"), minlength=len(total))
-            n[: len(total)] += total
-            total = n
-    some = np.flatnonzero(total)
-    yield pd.DataFrame({"symbol": some, "n": total[some]})
+def _histograms(path: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kind, total = _width(encoder(path)), np.zeros(0, np.int64)
+        for pdf in batches:
+            for raw in pdf["ids"]:
+                n = np.bincount(np.frombuffer(raw, kind), minlength=len(total))
+                n[: len(total)] += total
+                total = n
+        some = np.flatnonzero(total)
+        yield pd.DataFrame({"symbol": some, "n": total[some]})
+
+    return run
 
 
 BLOCKS = "first_start long, ids binary, sizes binary, words binary, lanes binary, marks binary, places binary, words_crc32 long, ids_crc32 long"
 
 
-def _blocks(symbols: np.ndarray, freq: np.ndarray):
+def _blocks(symbols: np.ndarray, freq: np.ndarray, path: str):
     def block(coder, rows):
-        ids = np.frombuffer(b"".join(r[2] for r in rows), "<u4")
+        ids = np.frombuffer(b"".join(r[2] for r in rows), _width(encoder(path))).astype("<u4")
         words, lanes, marks, places = coder.encode(ids)
         names = pd.array([r[0] for r in rows], dtype="Int64")
         null = names.isna()
@@ -192,21 +202,23 @@ def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    tokens = materialize(rows.mapInPandas(_tokens(path, end_id), "id long, n long, ids binary"), "tokens")
-    histogram = tokens.select("ids").mapInPandas(_histograms, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
+    tokens = write_once(rows.mapInPandas(_tokens(path, end_id), "id long, n long, ids binary"), "tokens")
+    histogram = tokens.select("ids").mapInPandas(_histograms(path), "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
     counts = {r["symbol"]: r["n"] for r in histogram.collect()}  # at most a row for each symbol of the vocabulary
     symbols, freq = scaled(counts)
     spark.createDataFrame(pd.DataFrame({"symbol": symbols, "frequency": freq}), "symbol long, frequency long").coalesce(1).write.parquet(f"{folder}/table")
 
     # where each document starts: totals of range-sorted parts, then a running sum in each part
     order = tokens.repartitionByRange(partitions, "id", "ids").sortWithinPartitions("id", "ids")
-    order = materialize(order.withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id()), "ordered")
+    order = write_once(order.withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id()), "ordered")
+    discard(tokens)
     parts = order.groupBy("part").agg(F.sum("n").alias("n"))  # a row for each part
     parts = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     placed = order.join(F.broadcast(parts), "part")
     inside = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("start", F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    placed.select("id", "n", "ids", "start").mapInPandas(_blocks(symbols, freq), BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")
+    placed.select("id", "n", "ids", "start").mapInPandas(_blocks(symbols, freq, path), BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")
+    discard(order)
 
 
 def read_tokens(spark: SparkSession, folder: str, id_col: str = "doc_id", with_ids: bool = True) -> DataFrame:
