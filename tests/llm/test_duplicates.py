@@ -148,3 +148,19 @@ def test_vectors_against_brute_force(spark, monkeypatch):
     audit = vector_graph.audit_recall(frame).first()
     assert audit["truth"] > 0 and audit["recall"] >= 0.9
     assert vector_graph.near_vectors(frame.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("largest", [4, 1])
+def test_a_cluster_over_many_shards_is_linked_throughout(spark, monkeypatch, largest):
+    monkeypatch.setattr(vector_graph, "SHARD", 20)
+    monkeypatch.setattr(vector_graph, "LARGEST", largest)  # with 1, many shards are dealt again
+    g = np.random.default_rng(6)
+    tight, wide, other = (g.normal(size=24) + g.normal(size=(n, 24)) * noise for n, noise in ((900, 0.04), (300, 0.12), (200, 5.0)))
+    x = np.concatenate([tight, wide, other])
+    x = x[g.permutation(len(x))]
+    got = vector_graph.near_vectors(spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = (unit @ unit.T >= 0.98) & ~np.eye(len(x), dtype=bool)
+    assert near.sum() > 800_000
+    assert {r["vec_id"]: r["n_links"] for r in got} == dict(enumerate(near.sum(axis=1).tolist()))
+    assert [r["component_id"] for r in sorted(got, key=lambda r: r["vec_id"])] == components(len(x), lambda i, j: near[i, j])
