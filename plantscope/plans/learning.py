@@ -141,18 +141,14 @@ def gbt_fit(spark, sf):
     return _train(spark, sf, {"boosted_trees": models.boosted_trees(100)})[0].scores
 
 
-# The registered comparison runs the ensembles at a tenth of their usual size.
-_SMALL = 0.1
-
-
 @query("benchmark_models")
 def benchmark_models(spark, sf):
-    return models.rank_models(_train(spark, sf, models.default_roster(_SMALL, depth=6))[0].scores)
+    return models.rank_models(_train(spark, sf, models.default_roster())[0].scores)
 
 
 @query("benchmark_summary")
 def benchmark_summary(spark, sf):
-    done, df = _train(spark, sf, models.default_roster(_SMALL, depth=6))
+    done, df = _train(spark, sf, models.default_roster())
     parts = linear.split_grams(df, Y, X)
     baseline = linear.score(linear.solve_least_squares(parts.train, Y), parts.test)["r2"]
     return models.benchmark_summary(models.floor_negative(done.scores).withColumn("r2", F.col("r2_floored")), baseline)
@@ -190,7 +186,7 @@ def linear_shapley(spark, sf):
 @query("score_scenarios")
 def score_scenarios(spark, sf):
     """What-if rows: predictions of every model, their consensus, coverage, and the closest past case."""
-    done, df = _train(spark, sf, models.default_roster(_SMALL, depth=6))
+    done, df = _train(spark, sf, models.default_roster())
     train = df.where("not is_test")
     asked = views.scenarios(spark)
     # An open input takes the mean of the other scenarios, as a model needs every number.

@@ -243,3 +243,21 @@ def test_gram_leaves_incomplete_rows_out(spark):
     for narrow in (0, 12):
         got, want = gram_by(df, ["x", "z", "y"], narrow=narrow)[()], gram_by(whole_rows, ["x", "z", "y"], narrow=12)[()]
         assert got.n == want.n == 150 and abs(got.cross - want.cross).max() < 1e-6 * abs(want.cross).max()
+
+
+@pytest.mark.parametrize("name", ["benchmark_models", "benchmark_summary", "score_scenarios"])
+def test_registered_comparisons_train_full_ensembles(spark, sf_dir, monkeypatch, name):
+    from plantscope.plans import learning
+
+    class Seen(Exception):
+        pass
+
+    def stop(spark, sf, roster):
+        raise Seen(roster)
+
+    monkeypatch.setattr(learning, "_train", stop)
+    with pytest.raises(Seen) as seen:
+        getattr(learning, name)(spark, sf_dir)
+    roster = seen.value.args[0]
+    assert [(roster[k].getNumTrees(), roster[k].getMaxDepth()) for k in ("random_forest", "permutation_base")] == [(200, 12), (150, 12)]
+    assert [roster[k].getMaxIter() for k in ("boosted_trees", "shapley_base")] == [100, 100]
