@@ -152,3 +152,19 @@ def test_results_do_not_depend_on_partitioning(spark, tied):
     left = assoc.association_pairs(df, pairs, ["kendall", "dcor"], **TIGHT).collect()
     right = assoc.association_pairs(df.repartition(7, F.col("z")), pairs, ["kendall", "dcor"], **TIGHT).collect()
     assert [r["value"] for r in left] == pytest.approx([r["value"] for r in right], abs=1e-12)
+
+
+def test_continuous_queries_compare_all_pairs(spark, tmp_path):
+    from plantscope.plans import relations, views
+
+    rng = np.random.default_rng(11)
+    rows = [(k, k % 4, float(p), float(q), float(d), float(t), "A", "F") for k, (p, q, d, t) in enumerate(zip(
+        rng.normal(100, 20, 120).round(1), rng.integers(1, 20, 120), rng.integers(0, 10, 120) / 100, rng.integers(0, 8, 120) / 100))]
+    local_table(spark, rows, "l_orderkey long, l_linenumber long, l_extendedprice double, l_quantity double, l_discount double, l_tax double, "
+                "l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    data = views.process(spark, str(tmp_path)).toPandas()
+    for query, brute in ((relations.kendall_continuous, brute_tau), (relations.distance_correlation_continuous, brute_dcor)):
+        got = {(r["x"], r["y"]): r["value"] for r in query(spark, str(tmp_path)).collect()}
+        assert len(got) == 10
+        for (a, b), value in got.items():
+            assert value == pytest.approx(brute(data[a].to_numpy(), data[b].to_numpy()), abs=1e-7)
