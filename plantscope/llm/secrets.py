@@ -5,6 +5,7 @@ by a pattern and the list of what the pattern matched have lengths that add up.
 The two models are tables of transitions between characters, and between kinds of characters,
 counted from labelled strings; a candidate is a secret where the random model
 explains it so much better that the ratio of likelihoods, per character and in all, passes two limits.
+Where a run of candidate characters fails as a whole, its segments between separators and its best-scoring stretches are judged.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ CANDIDATE = r"[A-Za-z0-9+/=_-]{16,}"
 SAMPLE = 20_000
 #: Candidates need this log-likelihood ratio in all, and on average per character.
 LEAST_TOTAL, LEAST_MEAN = 10.0, 0.35
+LEAST_LENGTH = 16
+SEPARATORS = "/=_-"  # join a random string to the text beside it
 
 
 def labelled_strings(spark: SparkSession, docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
@@ -99,21 +102,96 @@ def _of_kind(k: int):
     return lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end"), x["value"].alias("value"))
 
 
-def _steps(value: Column, model: str) -> Column:
-    """Sum of the model's ratios over the steps of ``value``."""
-    codes = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+_SPANS = "array<struct<start:int,end:int>>"
+
+
+def _uncovered(run: Column, base: Column) -> Column:
+    """Array of (start, end): what is left of a run without the matches in ``base`` (sorted by start), separators beside them taken off."""
+    none = F.struct(run["start"].alias("at"), F.array().cast(_SPANS).alias("out"))
+    upto = lambda acc, end: F.when(end > acc["at"], F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), end.alias("end"))).cast(_SPANS))).otherwise(acc["out"])
     return F.aggregate(
-        codes, F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum")),
-        lambda acc, c: F.struct(c.alias("last"), (acc["sum"] + F.when(acc["last"] < 0, 0.0).otherwise(F.coalesce(F.get(F.col(model), acc["last"] * len(ALPHABET) + c), F.lit(0.0)))).alias("sum")),
-        lambda acc: acc["sum"])
+        F.filter(base, lambda y: (run["start"] < y["end"]) & (y["start"] < run["end"])), none,
+        lambda acc, y: F.struct(F.greatest(acc["at"], y["end"]).alias("at"), upto(acc, y["start"]).alias("out")),
+        lambda acc: upto(acc, run["end"]))
+
+
+def _parts(run: Column, base: Column) -> Column:
+    """The uncovered parts of a run as (start, end, value), long enough ones only."""
+    cut = F.transform(_uncovered(run, base), lambda y: F.struct(
+        y["start"].alias("start"), y["end"].alias("end"), F.substring(run["value"], y["start"] - run["start"] + 1, y["end"] - y["start"]).alias("value")))
+    # a part that begins behind a match loses the separators before it
+    lead = lambda y: F.when(y["start"] > run["start"], F.length(F.regexp_extract(y["value"], f"^[{SEPARATORS}]*", 0))).otherwise(0)
+    cut = F.transform(cut, lambda y: F.struct((y["start"] + lead(y)).alias("start"), y["end"].alias("end"), F.substring(y["value"], lead(y) + 1, F.length(y["value"])).alias("value")))
+    return F.filter(cut, lambda y: y["end"] - y["start"] >= LEAST_LENGTH)
+
+
+def _ratios(codes: Column, model: str) -> Column:
+    """The model's ratio of the step to each character; 0 for the first."""
+    return F.transform(codes, lambda c, i: F.when(i == 0, 0.0).otherwise(F.coalesce(F.get(F.col(model), F.get(codes, i - 1) * len(ALPHABET) + c), F.lit(0.0))))
+
+
+def _total(ratios: Column) -> Column:
+    return F.aggregate(ratios, F.lit(0.0), lambda acc, r: acc + r)
+
+
+def _passes(total: Column, length: Column) -> Column:
+    return (total >= LEAST_TOTAL) & (total >= LEAST_MEAN * length)
+
+
+def _stretches(ratios: Column) -> Column:
+    """Array of (start, end) of all stretches whose ratios pass: a running sum ends where it falls to zero or LEAST_TOTAL below its maximum."""
+    none = F.struct(
+        F.lit(0).alias("at"), F.lit(0.0).alias("sum"), F.lit(0).alias("start"), F.lit(0.0).alias("best"), F.lit(0).alias("end"), F.array().cast(_SPANS).alias("out"))
+    closed = lambda acc: F.when(
+        _passes(acc["best"], acc["end"] - acc["start"]), F.concat(acc["out"], F.array(F.struct(acc["start"], acc["end"])).cast(_SPANS))).otherwise(acc["out"])
+
+    def step(acc, r):
+        now = acc["sum"] + r
+        ends = (now <= 0) | (acc["best"] - now >= LEAST_TOTAL)
+        return F.struct(
+            (acc["at"] + 1).alias("at"), F.when(ends, 0.0).otherwise(now).alias("sum"), F.when(ends, acc["at"]).otherwise(acc["start"]).alias("start"),
+            F.when(ends, 0.0).otherwise(F.greatest(acc["best"], now)).alias("best"),
+            F.when(ends | (now > acc["best"]), acc["at"] + 1).otherwise(acc["end"]).alias("end"), F.when(ends, closed(acc)).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(ratios, none, step, closed)
+
+
+def _segments(x: Column) -> Column:
+    """Array of (start, end) of the segments of a part that pass by themselves. Steps from and to separators are not theirs."""
+    pieces = F.split(x["value"], f"[{SEPARATORS}]", -1)
+    none = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
+
+    def step(acc, piece):
+        n = F.length(piece)
+        total = _total(F.slice(x["ratios"], acc["at"] + 2, F.greatest(n - 1, F.lit(0))))
+        good = F.when(n >= LEAST_LENGTH, _passes(total, n)).otherwise(False)
+        return F.struct((acc["at"] + n + 1).alias("at"), F.when(good, F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + n).alias("end"))).cast(_SPANS))).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(pieces, none, step, lambda acc: acc["out"])
+
+
+def _random_in(x: Column) -> Column:
+    """Array of (start, end) inside a part: all of it where it passes as a whole, else its random segments and stretches, overlapping ones as one."""
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.length(x["value"]).alias("end"))).cast(_SPANS)
+    # a stretch covers the segments in which it begins and ends
+    wide = F.transform(_stretches(x["ratios"]), lambda y: F.struct(
+        (y["start"] - F.length(F.regexp_extract(F.substring(x["value"], F.lit(1), y["start"]), f"[^{SEPARATORS}]*$", 0))).alias("start"),
+        (y["end"] + F.length(F.regexp_extract(F.substring(x["value"], y["end"] + 1, F.length(x["value"])), f"^[^{SEPARATORS}]*=*", 0))).alias("end")))
+    both = F.array_sort(F.concat(_segments(x), F.filter(wide, lambda y: y["end"] - y["start"] >= LEAST_LENGTH)).cast(_SPANS))
+    none = F.array().cast(_SPANS)
+    joined = F.aggregate(both, none, lambda acc, y: F.when(
+        (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] > y["start"]),
+        F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], y["end"]).alias("end"))).cast(_SPANS)),
+    ).otherwise(F.concat(acc, F.array(y).cast(_SPANS))))
+    return F.when(_passes(_total(x["ratios"]), F.length(x["value"])), whole).otherwise(joined)
 
 
 def find_secrets(docs: DataFrame, model: list[float], text_col: str = "text", into: str = "spans") -> DataFrame:
     """``docs`` with an array of (start, kind, end, value): every match of the patterns, and the random strings beside them.
 
     Places count code points from 0, the end is exclusive; the array is sorted by start, then by kind as in KINDS, whose index
-    ``kind`` is. An ``assign`` match counts when what is assigned has 6 characters or more. A random string is a run of
-    16 or more characters of ALPHABET that overlaps no pattern's match. NULL and empty texts have an empty array.
+    ``kind`` is. An ``assign`` match counts when what is assigned has 6 characters or more. A random string is 16 or more
+    characters of ALPHABET that overlap no pattern's match: what is left of a run beside the matches, or segments and stretches of that. NULL and empty texts have an empty array.
     The column ``into`` must be new; all other columns stay. No shuffle.
     """
     q = lambda c: F.col(f"`{c.replace('`', '``')}`")
@@ -137,11 +215,14 @@ def find_secrets(docs: DataFrame, model: list[float], text_col: str = "text", in
         tagged.append(F.transform(c, _of_kind(k)))
     step = step.withColumn(base, F.concat(*tagged).cast(shape))
     step = step.withColumn(like, _places(F.col(t), CANDIDATE))
-    step = step.withColumn(more, F.filter(
-        F.transform(F.filter(like, lambda x: ~F.exists(base, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"]))),
-                    lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("kind"), x["end"].alias("end"), x["value"].alias("value"), _steps(x["value"], m).alias("ratio"))),
-        lambda x: (x["ratio"] >= LEAST_TOTAL) & (x["ratio"] >= LEAST_MEAN * (x["end"] - x["start"]))))
-    only = F.transform(more, lambda x: F.struct(x["start"], x["kind"], x["end"], x["value"])).cast(shape)
+    parts = F.flatten(F.transform(like, lambda x: _parts(x, F.array_sort(F.col(base)))))
+    coded = F.transform(parts, lambda x: F.struct(
+        x["start"].alias("start"), x["value"].alias("value"), F.transform(F.split(x["value"], ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1).alias("codes")))
+    rated = F.transform(coded, lambda x: F.struct(x["start"].alias("start"), x["value"].alias("value"), _ratios(x["codes"], m).alias("ratios")))
+    step = step.withColumn(more, F.flatten(F.transform(rated, lambda x: F.transform(_random_in(x), lambda y: F.struct(
+        (x["start"] + y["start"]).alias("start"), F.lit(3).alias("kind"), (x["start"] + y["end"]).alias("end"),
+        F.substring(x["value"], y["start"] + 1, y["end"] - y["start"]).alias("value"))))))
+    only = F.col(more).cast(shape)
     return step.select(*[q(c) for c in docs.columns], F.array_sort(F.concat(base, only)).alias(into))
 
 
