@@ -13,7 +13,7 @@ ORACLES: dict[str, str] = {}
 
 MODULES = (
     "minhash", "token_counts", "quality", "secrets", "suffixes", "packing", "token_files", "warc", "vector_graph", "pieces",
-    "collocations", "power_packing",
+    "collocations", "power_packing", "spelling",
 )
 
 
