@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plantscope.operators import cases, linear, models
+from plantscope.operators import cases, linear, models, tree_shap
 from plantscope.plans import views
 from plantscope.plans.catalog import query, r, rounded
 from plantscope.plans.least_squares_sql import least_squares
@@ -163,9 +163,8 @@ def permutation_importance(spark, sf):
 @query("shapley_importance")
 def shapley_importance(spark, sf):
     done, df = _train(spark, sf, {"shapley_base": models.boosted_trees(100, seed=7)})
-    test = df.where("is_test")
-    sample, background = models.hash_sample(test, X, 200, seed=7), models.hash_sample(df.where("not is_test"), X, 30, seed=8)
-    values = models.shapley_values(sample, background, X, models.model_predictor(done.models["shapley_base"], X))
+    # exact tree Shapley values of every test row
+    values = tree_shap.tree_shapley(df.where("is_test"), X, done.models["shapley_base"])
     return models.shapley_importance(values, X)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plantscope.operators import linear, models, review
+from plantscope.operators import linear, models, review, tree_shap
 from plantscope.operators.gram import gram_by
 from plantscope.plans import views
 from plantscope.plans.catalog import query, r, rounded
@@ -218,10 +218,8 @@ def _forest_shapley(spark, sf, trees: int):
     if df.limit(11).count() <= 10:
         raise ValueError("more than 10 rows are needed")
     fit = models.random_forest(trees, depth=8, seed=42).fit(models.assemble(df, X, Y))
-    sample = models.hash_sample(df, X, 100, seed=42)
-    background = models.hash_sample(df, X, 30, seed=43)
-    values = models.shapley_values(sample, background, X, models.model_predictor(fit, X))
-    return models.shapley_importance(values, X)
+    # exact tree Shapley values of every row
+    return models.shapley_importance(tree_shap.tree_shapley(df, X, fit), X)
 
 
 @query("shap_select")
