@@ -2,26 +2,37 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import warnings
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from math import comb, factorial
 
 import numpy as np
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml import PipelineModel
 from pyspark.ml.regression import (
+    DecisionTreeRegressionModel,
     DecisionTreeRegressor,
+    FMRegressionModel,
     FMRegressor,
+    GBTRegressionModel,
     GBTRegressor,
     LinearRegression,
+    LinearRegressionModel,
+    RandomForestRegressionModel,
     RandomForestRegressor,
 )
 from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
+from py4j.protocol import Py4JJavaError
 
 from plantscope.functions.numeric import band, clean
-from plantscope.session import local_table, materialize
+from plantscope.session import local_table, materialize, scratch_dir
 
 FEATURES, LABEL, PREDICTION = "features", "label", "prediction"
 LINEAR = "linear_regression"
@@ -31,12 +42,15 @@ PERMUTATION_BLOCK = 10_000
 
 def random_forest(trees: int = 200, depth: int = 12, seed: int = 42) -> RandomForestRegressor:
     return RandomForestRegressor(
-        numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="all", featuresCol=FEATURES, labelCol=LABEL
+        numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="all", featuresCol=FEATURES, labelCol=LABEL,
+        cacheNodeIds=True,
     )
 
 
 def boosted_trees(rounds: int = 100, rate: float = 0.1, depth: int = 3, seed: int = 42) -> GBTRegressor:
-    return GBTRegressor(maxIter=rounds, stepSize=rate, maxDepth=depth, seed=seed, featuresCol=FEATURES, labelCol=LABEL)
+    return GBTRegressor(
+        maxIter=rounds, stepSize=rate, maxDepth=depth, seed=seed, featuresCol=FEATURES, labelCol=LABEL, cacheNodeIds=True
+    )
 
 
 def default_roster(scale: float = 1.0, depth: int = 12) -> dict[str, Estimator]:
@@ -81,33 +95,91 @@ def r2_of(actual: Column, predicted: Column) -> Column:
     return 1 - F.try_divide(F.avg(gap * gap), F.var_pop(actual))
 
 
+#: What a learner is known to raise when it cannot be trained; anything else is a fault and ends the comparison.
+LEARNER_ERRORS = (PySparkException, Py4JJavaError, RuntimeError)
+
+
+def _signature(learner: Estimator) -> str:
+    """The learner's kind and every parameter, set or default, of each of its stages."""
+    stages = learner.getStages() if isinstance(learner, Pipeline) else [learner]
+    return "|".join(type(st).__name__ + repr(sorted((p.name, repr(v)) for p, v in st.extractParamMap().items())) for st in stages)
+
+
+_MODEL_OF = {
+    RandomForestRegressor: RandomForestRegressionModel, GBTRegressor: GBTRegressionModel, DecisionTreeRegressor: DecisionTreeRegressionModel,
+    LinearRegression: LinearRegressionModel, FMRegressor: FMRegressionModel, Pipeline: PipelineModel,
+}
+
+
+def rows_key(df: DataFrame) -> str:
+    """A name for the rows of ``df``: its optimized plan without this session's expression ids, and its input files."""
+    plan = re.sub(r"#\d+L?", "", df._jdf.queryExecution().optimizedPlan().toString())
+    return hashlib.sha1(f"{plan}|{sorted(df.inputFiles())}".encode()).hexdigest()
+
+
+def fit_once(learner: Estimator, train: DataFrame, rows: str | None = None) -> Model:
+    """``learner`` fitted on ``train``, or read back from the shared folder where the same learner was fitted on the same rows before.
+
+    The key is a hash of ``rows`` (by default :func:`rows_key` of ``train``) and every parameter of the learner; models are written whole, so a model
+    found is one that was finished. Learners of other kinds are fitted every time.
+    """
+    kind = _MODEL_OF.get(type(learner))
+    if kind is None:
+        return learner.fit(train)
+    spark = train.sparkSession
+    key = hashlib.sha1(f"{rows or rows_key(train)}|{_signature(learner)}".encode()).hexdigest()
+    path = f"{scratch_dir(spark)}/models/{key}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/done")
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(hadoop):
+        return kind.load(f"{path}/model")
+    model = learner.fit(train)
+    model.write().overwrite().save(f"{path}/model")
+    fs.create(hadoop, True).close()
+    return model
+
+
 def benchmark(train: DataFrame, test: DataFrame, roster: Mapping[str, Estimator]) -> Trained:
-    """Fit every learner of the roster and score it on the test rows.
+    """Fit every learner of the roster, at once in threads of the driver, and score all of them on the test rows in one job.
 
-    A learner that fails is replaced by the mean of the training target. Both
-    frames come from :func:`assemble`; the training rows are cached because
-    tree learners pass over them many times.
+    A learner that raises one of ``LEARNER_ERRORS`` is replaced by the mean of the training target, with a warning that keeps the
+    message. Both frames come from :func:`assemble`; the training rows are cached because tree learners pass over them many
+    times. A learner fitted before on the same rows with the same settings is read back (:func:`fit_once`).
     """
     spark = train.sparkSession
+    rows = rows_key(train)
+    cores = spark.sparkContext.defaultParallelism
+    if train.rdd.getNumPartitions() < cores:  # a small table in one file would train on one core
+        train = train.repartition(cores)
     train = train.persist()
     models: dict[str, Model | None] = {}
-    rows = []
     try:
-        for name, learner in roster.items():
+        def fit(item):
+            name, learner = item
             try:
-                models[name] = learner.fit(train)
-                predicted = models[name].transform(test)
-            except Exception as error:  # a broken learner must not end the comparison
-                warnings.warn(f"{name} could not be trained: {str(error)[:100]}")
-                models[name] = None
-                mean = train.agg(F.avg(LABEL)).first()[0]
-                predicted = test.withColumn(PREDICTION, F.lit(float(mean)))
-            got = predicted.agg(
-                r2_of(F.col(LABEL), F.col(PREDICTION)).alias("r2"), F.avg(PREDICTION).alias("mean"), F.count(F.lit(1)).alias("n")
-            ).first()
-            rows.append((name, got["r2"], got["mean"], got["n"], models[name] is None))
+                return name, fit_once(learner, train, rows)
+            except LEARNER_ERRORS as error:  # a broken learner must not end the comparison
+                warnings.warn(f"{name} could not be trained: {str(error)[:300]}")
+                return name, None
+
+        with ThreadPoolExecutor(max_workers=max(1, len(roster))) as pool:
+            models = dict(pool.map(fit, roster.items()))
+        failed = [name for name, m in models.items() if m is None]
+        mean = float(train.agg(F.avg(LABEL)).first()[0] or 0.0) if failed else 0.0
     finally:
         train.unpersist()
+    parts = []
+    for name in roster:
+        model = models[name]
+        predicted = test.withColumn(PREDICTION, F.lit(mean)) if model is None else model.transform(test)
+        parts.append(predicted.select(F.lit(name).alias("model"), F.col(LABEL), F.col(PREDICTION).cast("double").alias(PREDICTION)))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    got = {r["model"]: r for r in every.groupBy("model").agg(
+        r2_of(F.col(LABEL), F.col(PREDICTION)).alias("r2"), F.avg(PREDICTION).alias("mean"), F.count(F.lit(1)).alias("n")).collect()}
+    rows = [(name, got[name]["r2"] if name in got else None, got[name]["mean"] if name in got else None,
+             got[name]["n"] if name in got else 0, models[name] is None) for name in roster]
     schema = "model string, r2 double, mean_prediction double, n long, failed boolean"
     return Trained(models, local_table(spark, rows, schema))
 
