@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plantscope.operators import linear, models, review, tree_shap
+from plantscope.operators import huber, linear, models, review, tree_shap
 from plantscope.operators.gram import gram_by
 from plantscope.plans import views
 from plantscope.plans.catalog import query, r, rounded
@@ -169,7 +169,9 @@ def lasso_cv(spark, sf):
 
 @query("huber_fit")
 def huber_fit(spark, sf):
-    return linear.coefficient_table(spark, [linear.huber_fit(split(spark, sf), Y, X, (1e-6, 1e-3), (1.1, 1.35))])
+    fit = huber.huber_search(split(spark, sf), Y, X)
+    return linear.coefficient_table(spark, [fit]).select(
+        "*", *[F.lit(float(fit.settings[k])).alias(k) for k in ("alpha", "epsilon", "scale", "cv_r2")])
 
 
 @query("best_linear_model")
