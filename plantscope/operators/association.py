@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plantscope.functions.numeric import any_of, band, clean
 from plantscope.operators.inversions import inversion_sums
+from plantscope.operators.moments import pearson_masked
 from plantscope.operators.ranks import ColumnSizes, column_sizes, with_order_statistics
 from plantscope.session import local_table
 
@@ -44,20 +45,8 @@ def _numbers(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def pearson_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Every pair at once; pairwise complete where cells are missing."""
-    cols = sorted({c for p in pairs for c in p})
-    base = _numbers(df, cols)
-    missing = base.agg(F.max(any_of([F.col(c).isNull() for c in cols]))).first()[0]
-    if not missing:
-        return _pearson_of(base, pairs, "pearson", {c: c for c in cols})
-    marks = [
-        F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(a).alias("a"), F.col(b).alias("b")) for a, b in pairs
-    ]
-    both = base.select(F.inline(F.array(*marks))).withColumn("_both", F.col("a").isNotNull() & F.col("b").isNotNull())
-    # Partial aggregation leaves one row per pair and task.
-    return both.groupBy("x", "y").agg(
-        F.lit("pearson").alias("method"), pearson_of(F.col("a"), F.col("b")).alias("value"), F.count_if("_both").alias("n")
-    )
+    """Every pair at once; pairwise complete where cells are missing, by masked matrix products in one scan (``moments``)."""
+    return pearson_masked(df, pairs)
 
 
 def _pearson_of(base: DataFrame, pairs, method: str, named) -> DataFrame:
