@@ -496,6 +496,39 @@ def group_representatives(flagged: DataFrame) -> DataFrame:
     )
 
 
+#: Half-width of a peak's group, as a share of the column's range.
+GROUP_WIDTH = 0.1
+#: Representatives that the window counts may ask for at most: a few per column, known before the scan.
+MOST_GROUPS = 100_000
+
+
+def group_counts(df: DataFrame, flagged: DataFrame, width: float = GROUP_WIDTH) -> DataFrame:
+    """Rows around every peak of the columns whose groups are told by peaks: ``column, group, value, low, high, n_rows, share``.
+
+    A group holds the non-NULL values within ``width`` times the column's range (max - min) of its peak, both ends included; groups
+    of one column may overlap. ``share`` is ``n_rows`` over the column's non-NULL count. Columns whose groups come from another
+    rule, or have none, give no rows. The peaks are few per column (at most the histogram's bins) and are read first, their number
+    checked; then all windows are counted in one aggregate over ``df``.
+    """
+    reps = group_representatives(flagged).where(F.col("rule") == "peaks").join(
+        flagged.select("column", "n", "min", "max"), "column")
+    spread = (F.col("max") - F.col("min")) * F.lit(width)
+    windows = reps.select("column", "group", "value", (F.col("value") - spread).alias("low"), (F.col("value") + spread).alias("high"), "n")
+    if windows.count() > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} peak groups")
+    found = windows.collect()
+    spark = df.sparkSession
+    if not found:
+        return spark.createDataFrame([], "column string, group int, value double, low double, high double, n_rows long, share double")
+    counts = df.agg(*[
+        F.count_if(clean(F.col(f"`{w['column']}`")).between(F.lit(w["low"]), F.lit(w["high"]))).alias(f"g{k}") for k, w in enumerate(found)
+    ])
+    rows = [F.struct(F.lit(w["column"]).alias("column"), F.lit(w["group"]).cast("int").alias("group"), F.lit(w["value"]).alias("value"),
+                     F.lit(w["low"]).alias("low"), F.lit(w["high"]).alias("high"), F.col(f"g{k}").cast("long").alias("n_rows"),
+                     (F.col(f"g{k}") / F.lit(float(w["n"]))).alias("share")) for k, w in enumerate(found)]
+    return counts.select(F.inline(F.array(*rows)))
+
+
 def suitability(checked: DataFrame, signed: bool = False) -> DataFrame:
     """Adds ``penalties`` (array of code and points), ``score`` and ``grade``."""
     size, out, cv = F.abs("skew"), F.col("out15") * 100, variation(signed)

@@ -381,6 +381,26 @@ def group_representatives(spark, sf):
     return rounded(dist.group_representatives(flagged), 4, "value")
 
 
+
+@query(
+    "group_counts",
+    _SHAPE_STATS + _SHARES + _MODAL
+    + ", fl as (select sh.*, validated, bimodal_score, lo, step, (le20 >= 0.5 or ge80 >= 0.5 or zero5 >= 0.5) or " + _FLAG_SQL + " as odd "
+    "from sh join (select col, validated, bimodal_score, lo, step from md) using (col)), "
+    "pv as (select col, n, mn, mx, list_transform(validated, lambda b: lo + b * step) as vals from fl "
+    "where len(validated) >= 3 or (len(validated) = 2 and (bimodal_score = 1 or odd))), "
+    "un as (select col, n, unnest(vals) as value, generate_subscripts(vals, 1) - 1 as grp, (mx - mn) * 0.1 as half from pv), "
+    "wn as (select col, n, grp, value, value - half as low, value + half as high from un), "
+    "gc as (select wn.col, wn.grp, wn.value, wn.low, wn.high, wn.n, count(v.x) as n_rows from wn left join v "
+    "on v.col = wn.col and v.x between wn.low and wn.high group by all) "
+    f'select col as "column", cast(grp as integer) as "group", {r("value", 4)} as value, {r("low", 4)} as low, {r("high", 4)} as high, '
+    f"n_rows, {r('n_rows / n', 8)} as share from gc",
+)
+def group_counts(spark, sf):
+    df, shaped = _peaked(spark, sf)
+    found = dist.group_counts(df, dist.with_flags(dist.validated_peaks(df, shaped)))
+    return rounded(rounded(found, 4, "value", "low", "high"), 8, "share")
+
 _PENALTIES = (
     ", pn as (select *, case when abs(skew) > 1.5 then 'skew_strong' when abs(skew) > 0.8 then 'skew_some' end as p1, "
     "case when out15 * 100 > 30 then 'outliers_very_many' when out15 * 100 > 15 then 'outliers_many' when out15 * 100 > 8 then 'outliers_some' end as p2, "

@@ -168,3 +168,23 @@ def test_continuous_queries_compare_all_pairs(spark, tmp_path):
         assert len(got) == 10
         for (a, b), value in got.items():
             assert value == pytest.approx(brute(data[a].to_numpy(), data[b].to_numpy()), abs=1e-7)
+
+
+def test_group_counts_count_rows_around_each_peak(spark):
+    import numpy as np
+
+    from plantscope.operators import distribution as dist
+
+    r = np.random.default_rng(2)
+    two = np.concatenate([r.normal(10, 1, 3000), r.normal(30, 1, 2000)])
+    rows = [(float(v), 1.0) for v in two] + [(None, 1.0), (float("nan"), 1.0)]
+    df = spark.createDataFrame(rows, "two double, flat double")
+    shaped = dist.with_modality(dist.with_peaks(dist.shape_table(df, ["two", "flat"])))
+    found = dist.group_counts(df, dist.with_flags(dist.validated_peaks(df, shaped))).collect()
+    assert {f.column for f in found} == {"two"} and len(found) == 2
+    clean = two[~np.isnan(two)]
+    for f in found:
+        assert f.high - f.value == pytest.approx(0.1 * (clean.max() - clean.min()))
+        assert f.n_rows == int(((clean >= f.low) & (clean <= f.high)).sum())
+        assert f.share == pytest.approx(f.n_rows / len(clean))
+    assert sorted(round(f.value) for f in found) in ([10, 30], [10, 29], [11, 30], [9, 30], [10, 31])
