@@ -15,7 +15,7 @@ ENCODINGS = ["utf-8", "cp949", "euc-kr", "latin1"]
 _REPLACEMENT = "�"
 
 
-def _reader(spark: SparkSession, encoding: str):
+def _reader(spark: SparkSession, encoding: str, multi_line: bool = True):
     if encoding not in ("utf-8", "latin1"):
         # Spark 4 accepts charsets beyond the Unicode ones only with this switch.
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
@@ -25,15 +25,19 @@ def _reader(spark: SparkSession, encoding: str):
         .option("encoding", charset)
         .option("ignoreLeadingWhiteSpace", True)
         .option("ignoreTrailingWhiteSpace", False)
-        # as spreadsheets write it: doubled quotes and line breaks inside quoted cells; a file is then read by one task
+        # as spreadsheets write it: doubled quotes and, with multi_line, line breaks inside quoted cells; a file is then read by
+        # one task. Without it, large files are split across tasks and a quoted cell must stay on its line.
         .option("escape", '"')
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
     )
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
-    """Header CSV as all-text columns with trimmed names; types are decided later, once."""
-    return trim_column_names(_reader(spark, encoding).csv(path))
+def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8", multi_line: bool = True) -> DataFrame:
+    """Header CSV as all-text columns with trimmed names; types are decided later, once.
+
+    ``multi_line=False`` lets Spark split each file across tasks, for large files whose quoted cells hold no line breaks.
+    """
+    return trim_column_names(_reader(spark, encoding, multi_line).csv(path))
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:

@@ -140,3 +140,19 @@ def test_quoted_quotes_and_line_breaks(spark, tmp_path):
     (tmp_path / "notes.csv").write_text('id,note\n1,"He said ""hi"", ok"\n2,"two\nlines"\n3,plain\n')
     got = {r["id"]: r["note"] for r in tables.read_csv(spark, str(tmp_path / "notes.csv")).collect()}
     assert got == {"1": 'He said "hi", ok', "2": "two\nlines", "3": "plain"}
+
+
+def test_single_line_reading_splits_a_large_file(spark, tmp_path):
+    from plantscope.sources import tables
+
+    path = tmp_path / "big.csv"
+    path.write_text("id,note\n" + "".join(f'{i},"say ""{i}"""\n' for i in range(200_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        df = tables.read_csv(spark, str(path), multi_line=False)
+        assert df.rdd.getNumPartitions() > 1
+        got = df.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(got) == 200_000 and {r["note"] for r in got[:3]} <= {f'say "{i}"' for i in range(200_000)}
+    assert tables.read_csv(spark, str(path)).rdd.getNumPartitions() == 1
