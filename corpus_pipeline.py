@@ -26,11 +26,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more): the one with the smallest id.
 
-    Rows that repeat an id go down to one. Documents without id stay.
+    Rows equal in every column go down to one; rows that share an id but differ in text or elsewhere all stay (they are
+    different documents, and which one stayed must not depend on the order rows arrive in). Documents without id stay.
     """
     gone = near_duplicates(docs, width=5, percent=80).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
     left = docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+    return left.where("doc_id is not null").dropDuplicates().unionByName(left.where("doc_id is null"))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

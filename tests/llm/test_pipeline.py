@@ -69,3 +69,16 @@ def test_pipeline_of_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         now = stage(spark, now, None)
     assert now.count() == 0
+
+
+def test_near_dedup_keeps_different_texts_under_one_id(spark):
+    rows = [
+        (1, "one two three four five six seven eight", "en", "a", 1),
+        (1, "one two three four five six seven eight", "en", "a", 1),
+        (2, "red green blue yellow black white grey pink", "en", "a", 1),
+        (2, "sun moon star cloud rain snow wind storm", "en", "b", 1),
+        (None, "a text without any id at all here", "en", "a", 1),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, None).collect())
+    assert got == sorted({(r[0] or 0, r[1]) for r in rows})
