@@ -28,3 +28,40 @@ def score_rows(stream: DataFrame, model: LinearModel, coverage: Coverage | None
     """Adds ``predicted`` and, with a coverage fit, how familiar the inputs are."""
     out = stream.withColumn("predicted", model.predict())
     return with_extreme_variables(with_coverage(out, coverage), coverage) if coverage else out
+
+
+def stream_consensus(predictions: DataFrame, weights_path: str, out_path: str, checkpoint: str, trigger: dict | None = None):
+    """Starts a query that adds every micro-batch's weighted predictions to ``out_path``: ``scenario_id, batch_id, part, rows``.
+
+    ``predictions`` is a stream of ``scenario_id, model, predicted``. At every micro-batch the weights
+    (``model, weight, mean_prediction``) are read again from the table at ``weights_path``, so a new fit takes effect at the
+    next batch and rows keep the weights of the batch they came in. A prediction that is not a number counts as the model's mean
+    prediction, as in batch; rows of a model without a weight are left out. The consensus of a scenario is the sum of its
+    parts (``consensus_of``). The weights table holds one row a model: it is broadcast only below ``MOST_MODELS`` rows.
+    Parts are written with the batch id, so a batch repeated after a failure can be told apart and is written as one.
+    """
+    from plantscope.functions.numeric import clean
+
+    spark = predictions.sparkSession
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        weights = spark.read.parquet(weights_path).select("model", "weight", "mean_prediction")
+        if weights.count() <= MOST_MODELS:
+            weights = F.broadcast(weights)
+        usable = F.coalesce(clean(F.col("predicted")), F.col("mean_prediction"))
+        part = batch.join(weights, "model").groupBy("scenario_id").agg(
+            F.sum(F.col("weight") * usable).alias("part"), F.count(F.lit(1)).alias("rows"))
+        (part.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite")
+         .parquet(f"{out_path}/batch_id={batch_id}"))
+
+    writer = predictions.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def consensus_of(spark, out_path: str) -> DataFrame:
+    """``scenario_id, consensus``: the parts of all batches written so far, added up."""
+    return spark.read.parquet(out_path).groupBy("scenario_id").agg(F.sum("part").alias("consensus"))
+
+
+#: Models of a weights table that may be broadcast to every task.
+MOST_MODELS = 100_000

@@ -37,3 +37,26 @@ def test_scoring_a_stream_equals_batch(spark, sf_dir):
     got = drain(spark, rowwise.score_rows(stream, model, coverage).select(*cols))
     want = rowwise.score_rows(spark.read.parquet(path), model, coverage).select(*cols)
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_consensus_on_a_stream_reads_new_weights_at_the_next_batch(spark):
+    weights = scratch_path(spark, "weights")
+    source = scratch_path(spark, "predictions")
+    out, state = scratch_path(spark, "consensus"), scratch_path(spark, "consensus-state")
+    schema = "scenario_id long, model string, predicted double"
+    spark.createDataFrame([("a", 0.5, 10.0), ("b", 0.5, 20.0)], "model string, weight double, mean_prediction double").write.parquet(weights)
+    spark.createDataFrame([(1, "a", 2.0), (1, "b", 4.0), (2, "a", None)], schema).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(schema).parquet(source)
+    rowwise.stream_consensus(stream, weights, out, state).awaitTermination()
+    first = {r.scenario_id: r.consensus for r in rowwise.consensus_of(spark, out).collect()}
+    assert first == {1: 3.0, 2: 5.0}
+    # a new fit: the next batch takes the new weights, the rows already counted keep theirs
+    spark.createDataFrame([("a", 1.0, 10.0), ("b", 0.0, 20.0)], "model string, weight double, mean_prediction double") \
+        .write.mode("overwrite").parquet(weights)
+    spark.createDataFrame([(2, "b", 8.0), (3, "a", 7.0), (3, "c", 1.0)], schema).write.mode("append").parquet(source)
+    rowwise.stream_consensus(spark.readStream.schema(schema).parquet(source), weights, out, state).awaitTermination()
+    second = {r.scenario_id: r.consensus for r in rowwise.consensus_of(spark, out).collect()}
+    assert second == {1: 3.0, 2: 5.0, 3: 7.0}
+    # an empty batch adds nothing
+    rowwise.stream_consensus(spark.readStream.schema(schema).parquet(source), weights, out, state).awaitTermination()
+    assert {r.scenario_id: r.consensus for r in rowwise.consensus_of(spark, out).collect()} == second
