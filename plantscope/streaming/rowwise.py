@@ -65,3 +65,23 @@ def consensus_of(spark, out_path: str) -> DataFrame:
 
 #: Models of a weights table that may be broadcast to every task.
 MOST_MODELS = 100_000
+
+
+def windowed_missing_rate(stream: DataFrame, time_col: str, cols: Sequence[str], size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """Per event-time window of ``size``: ``start, end, rows`` and, per column c, ``c_missing`` (count) and ``c_rate`` (share).
+
+    Works on a stream or a table alike. On a stream, rows may arrive up to ``late`` behind the latest event time seen; a window
+    is written once (append mode) when the watermark passes its end, and rows later than that are left out, as Spark's
+    watermark defines. Rows with a NULL time belong to no window; a time without zone is taken in the session's zone. A cell counts as missing when it is NULL or, for numbers, NaN.
+    """
+    missing = [F.col(f"`{c}`").isNull() | (F.col(f"`{c}`").cast("double").isNotNull() & F.isnan(F.col(f"`{c}`").cast("double")))
+               if dict(stream.dtypes)[c] in ("double", "float") else F.col(f"`{c}`").isNull() for c in cols]
+    # a time without zone is read in the session's zone: watermarks need one
+    timed = stream.where(F.col(time_col).isNotNull()).withColumn("_time", F.col(time_col).cast("timestamp"))
+    if stream.isStreaming:
+        timed = timed.withWatermark("_time", late)
+    counts = timed.groupBy(F.window("_time", size).alias("w")).agg(
+        F.count(F.lit(1)).alias("rows"), *[F.count_if(m).alias(f"{c}_missing") for c, m in zip(cols, missing)])
+    return counts.select(
+        F.col("w.start").alias("start"), F.col("w.end").alias("end"), "rows",
+        *[c for name in cols for c in (F.col(f"{name}_missing"), (F.col(f"{name}_missing") / F.col("rows")).alias(f"{name}_rate"))])

@@ -60,3 +60,40 @@ def test_consensus_on_a_stream_reads_new_weights_at_the_next_batch(spark):
     # an empty batch adds nothing
     rowwise.stream_consensus(spark.readStream.schema(schema).parquet(source), weights, out, state).awaitTermination()
     assert {r.scenario_id: r.consensus for r in rowwise.consensus_of(spark, out).collect()} == second
+
+
+def test_windowed_missing_rate_on_a_stream_equals_batch(spark, sf_dir):
+    import datetime
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", "user_id", "event_type", "value")
+    events = events.withColumn("value", F.when(F.col("user_id") % 3 == 0, None).otherwise(F.col("value")))
+    source = scratch_path(spark, "events")
+    hours = sorted({r.h for r in events.select(F.date_trunc("hour", "ts").alias("h")).distinct().collect()})
+    schema = events.schema
+    out, state = scratch_path(spark, "rates"), scratch_path(spark, "rates-state")
+
+    def run():
+        stream = spark.readStream.schema(schema).parquet(source)
+        query = (rowwise.windowed_missing_rate(stream, "ts", ["value", "event_type"], "1 hour", "0 seconds").writeStream
+                 .format("parquet").outputMode("append").option("checkpointLocation", state).trigger(availableNow=True).start(out))
+        query.awaitTermination()
+
+    # four files in order of time, each its own batch; then an empty batch and a late row that must be left out
+    cuts = [hours[len(hours) * k // 4] for k in range(4)] + [hours[-1] + datetime.timedelta(hours=1)]
+    for a, b in zip(cuts, cuts[1:]):
+        events.where((F.col("ts") >= F.lit(a)) & (F.col("ts") < F.lit(b))).write.mode("append").parquet(source)
+        run()
+    run()
+    late = spark.createDataFrame([(hours[0], 1, None, None)], schema)
+    late.write.mode("append").parquet(source)
+    run()
+    # a row far ahead closes the last real window
+    ahead = hours[-1] + datetime.timedelta(days=30)
+    spark.createDataFrame([(ahead, 1, "x", 1.0)], schema).write.mode("append").parquet(source)
+    run()
+    spark.createDataFrame([(ahead + datetime.timedelta(days=1), 1, "x", 1.0)], schema).write.mode("append").parquet(source)
+    run()
+    got = spark.read.parquet(out).where(F.col("start") < F.lit(ahead))
+    want = rowwise.windowed_missing_rate(events, "ts", ["value", "event_type"], "1 hour")
+    assert got.count() == want.count() > 1
+    assert got.exceptAll(want.select(*got.columns)).isEmpty() and want.select(*got.columns).exceptAll(got).isEmpty()
