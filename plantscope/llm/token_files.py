@@ -4,7 +4,8 @@ A file row is one block: the ids of neighbouring documents, coded by LANES indep
 coders that take turns, so that numpy advances all of them at once. Frequencies are counted over the
 whole corpus, scaled to 2 ** BITS and written once beside the blocks. A block holds its documents' ids and sizes, the
 final states of its lanes, checkpoints (the lanes' states and places every STRIDE symbols a lane), and checksums of its words and of its ids; it can be
-decoded without any other block, and from any of its checkpoints.
+decoded without any other block, and from any of its checkpoints. Blocks name their place in their range of the
+documents' order; the places of the ranges are a small table of their own.
 """
 
 from __future__ import annotations
@@ -130,33 +131,35 @@ def _histograms(path: str):
     return run
 
 
-BLOCKS = "first_start long, ids binary, sizes binary, words binary, lanes binary, marks binary, places binary, words_crc32 long, ids_crc32 long"
+BLOCKS = "part int, first_start long, n_ids long, ids binary, sizes binary, words binary, lanes binary, marks binary, places binary, words_crc32 long, ids_crc32 long"
 
 
 def _blocks(symbols: np.ndarray, freq: np.ndarray, path: str):
-    def block(coder, rows):
+    def block(coder, part, first_start, rows):
         ids = np.frombuffer(b"".join(r[2] for r in rows), _width(encoder(path))).astype("<u4")
         words, lanes, marks, places = coder.encode(ids)
         names = pd.array([r[0] for r in rows], dtype="Int64")
         null = names.isna()
         raw = words.astype("<u4").tobytes()
         return pd.DataFrame({
-            "first_start": [rows[0][3]], "ids": [np.where(null, 0, names.fillna(0)).astype("<i8").tobytes() + null.astype(np.uint8).tobytes()],
+            "part": np.array([part], np.int32), "first_start": [first_start], "n_ids": [len(ids)], "ids": [np.where(null, 0, names.fillna(0)).astype("<i8").tobytes() + null.astype(np.uint8).tobytes()],
             "sizes": [np.array([r[1] for r in rows], "<u4").tobytes()], "words": [raw], "lanes": [lanes.astype("<u8").tobytes()],
             "marks": [marks.astype("<u8").tobytes()], "places": [places.astype("<u4").tobytes()], "words_crc32": [zlib.crc32(raw)], "ids_crc32": [zlib.crc32(ids.tobytes())],
         })
 
     def run(batches):
-        coder, held, size = Coder(symbols, freq), [], 0
+        coder, held, size, at, now = Coder(symbols, freq), [], 0, 0, None  # at: ids of the part before those held
         for pdf in batches:
-            for i, n, ids, start in pdf[["id", "n", "ids", "start"]].itertuples(index=False):
-                if held and size + n > BLOCK:
-                    yield block(coder, held)
-                    held, size = [], 0
-                held.append((i, n, ids, start))
+            for part, i, n, ids in pdf[["part", "id", "n", "ids"]].itertuples(index=False):
+                if held and (part != now or size + n > BLOCK):
+                    yield block(coder, now, at, held)
+                    held, size, at = [], 0, at + size
+                if part != now:
+                    at, now = 0, part
+                held.append((i, n, ids))
                 size += n
         if held:
-            yield block(coder, held)
+            yield block(coder, now, at, held)
 
     return run
 
@@ -177,7 +180,7 @@ def _read(symbols: np.ndarray, freq: np.ndarray, with_ids: bool):
                 names[np.frombuffer(b.ids[8 * n :], np.uint8).astype(bool)] = pd.NA
                 ends = np.cumsum(sizes)
                 parts = np.split(ids, ends[:-1])
-                out = pd.DataFrame({"id": names, "start": b.first_start + ends - sizes, "n_tokens": sizes, "ids_crc32": [zlib.crc32(p.tobytes()) for p in parts]})
+                out = pd.DataFrame({"id": names, "start": b.before + b.first_start + ends - sizes, "n_tokens": sizes, "ids_crc32": [zlib.crc32(p.tobytes()) for p in parts]})
                 if with_ids:
                     out["token_ids"] = [p.astype(np.int32) for p in parts]
                 yield out
@@ -195,7 +198,7 @@ def decode_from(block: dict, coder: Coder, mark: int) -> np.ndarray:
 
 
 def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", path: str = BYTE_BPE, end_id: int = 0) -> None:
-    """Writes ``folder``/table and ``folder``/blocks: the ids of all texts, each ending in ``end_id``, in order of the documents' ids.
+    """Writes ``folder``/table, ``folder``/blocks and ``folder``/parts: the ids of all texts, each ending in ``end_id``, in order of the documents' ids.
 
     Rows without id come first; rows with one id are ordered by their token ids. NULL and empty texts are the end id alone. Other columns are not looked at.
     """
@@ -208,17 +211,13 @@ def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     symbols, freq = scaled(counts)
     spark.createDataFrame(pd.DataFrame({"symbol": symbols, "frequency": freq}), "symbol long, frequency long").coalesce(1).write.parquet(f"{folder}/table")
 
-    # where each document starts: totals of range-sorted parts, then a running sum in each part
-    order = tokens.repartitionByRange(partitions, "id", "ids").sortWithinPartitions("id", "ids")
-    order = write_once(order.withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id()), "ordered")
+    # blocks know where they begin in their range-sorted part; where each part begins follows from what was written
+    order = tokens.repartitionByRange(partitions, "id", "ids").sortWithinPartitions("id", "ids").withColumn("part", F.spark_partition_id())
+    order.mapInPandas(_blocks(symbols, freq, path), BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")
     discard(tokens)
-    parts = order.groupBy("part").agg(F.sum("n").alias("n"))  # a row for each part
-    parts = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    placed = order.join(F.broadcast(parts), "part")
-    inside = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn("start", F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    placed.select("id", "n", "ids", "start").mapInPandas(_blocks(symbols, freq, path), BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")
-    discard(order)
+    parts = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks").groupBy("part").agg(F.sum("n_ids").alias("n"))  # a row for each part
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts.select("part", before.alias("before")).coalesce(1).write.parquet(f"{folder}/parts")
 
 
 def read_tokens(spark: SparkSession, folder: str, id_col: str = "doc_id", with_ids: bool = True) -> DataFrame:
@@ -226,7 +225,8 @@ def read_tokens(spark: SparkSession, folder: str, id_col: str = "doc_id", with_i
     found = spark.read.parquet(f"{folder}/table").toPandas().sort_values("symbol")  # a row for each symbol
     shape = "id long, start long, n_tokens long, ids_crc32 long" + ", token_ids array<int>" * with_ids
     decode = _read(found["symbol"].to_numpy(), found["frequency"].to_numpy(), with_ids)
-    return spark.read.schema(BLOCKS).parquet(f"{folder}/blocks").mapInPandas(decode, shape).withColumnRenamed("id", id_col)
+    parts = spark.read.schema("part int, before long").parquet(f"{folder}/parts")
+    return spark.read.schema(BLOCKS).parquet(f"{folder}/blocks").join(F.broadcast(parts), "part").mapInPandas(decode, shape).withColumnRenamed("id", id_col)
 
 
 @query("op8_token_files")

@@ -43,6 +43,23 @@ def test_token_files_round_trip(spark, monkeypatch):
     assert token_files.read_tokens(spark, empty).count() == 0
 
 
+def test_token_files_start_where_the_documents_before_end(spark):
+    r = random.Random(4)
+    rows = [(i if i % 50 else None, " ".join(r.choice(["some", "words", "1.5", "é", "🙂"]) for _ in range(r.randint(0, 30)))) for i in range(400)]
+    rows += rows[100:140]
+    folder = scratch_path(spark, "test-tokens")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as with larger tables, parts lie in many tasks
+    try:
+        token_files.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), folder)
+        got = sorted(token_files.read_tokens(spark, folder).collect(), key=lambda r: (r["start"], r["n_tokens"]))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    ids = [(i, tuple(library_ids(BYTE_BPE, t).tolist())) for i, t in rows]
+    want = sorted(ids, key=lambda x: (x[0] is not None, x[0] or 0, np.array(x[1], "<u2").tobytes()))
+    assert [(r["doc_id"], tuple(r["token_ids"])) for r in got] == want
+    assert [r["start"] for r in got] == np.cumsum([0] + [len(x) for _, x in want])[:-1].tolist()
+
+
 def test_coder_checkpoints_and_damage():
     ids = np.random.default_rng(1).zipf(1.4, 600_000) % 3000
     symbols, freq = token_files.scaled(Counter(ids.tolist()))
