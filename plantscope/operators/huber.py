@@ -31,51 +31,70 @@ ROUNDS, TOLERANCE = 200, 1e-9
 CHUNK = 1024
 
 
-def _scan(rows: DataFrame, names: Sequence[str], fits: np.ndarray, which: np.ndarray, state: np.ndarray, scale: np.ndarray, kind: str) -> np.ndarray:
+def _scan(
+    rows: DataFrame, names: Sequence[str], fits: np.ndarray, which: np.ndarray, state: np.ndarray, scale: np.ndarray, kind: str,
+) -> np.ndarray:
     """Sums over the rows for every fit. fits: (G, 3) of alpha, epsilon and the fold held out (-1: none); which: (G,) the scaler of
     each fit; state: (G, p + 2) of w, intercept, sigma; scale: (S, 2, p) of means and deviations.
 
     kind "fit": per fit, the weighted cross-products of (z, 1), the right-hand side, the sum of squared inside residuals, the count of
     outside rows and the count of rows. kind "score": per fit, the squared error on its held-out fold.
+
+    Tasks work on columns u scaled once for all fits, by the last scaler; a fit's own columns are (z, 1) = T (u, 1), so its coefficients
+    are taken to u beforehand and its sums to z afterwards. The residuals of all fits and their weighted sums of the products of
+    (u, 1) are matrix products.
     """
     p = len(names)
-    size = (p + 1) * (p + 1) + (p + 1) + 3 if kind == "fit" else 1
-    fold_of = fits[:, 2].astype(np.int64)
-    which = np.asarray(which, np.int64)
+    rise, fall = np.triu_indices(p + 1)
+    size = len(rise) + p + 1 + 3 if kind == "fit" else 1
+    mean, sd = scale[-1]
+    to = np.zeros((len(scale), p + 1, p + 1))
+    to[:, np.arange(p), np.arange(p)] = sd / scale[:, 1]
+    to[:, :p, p] = (mean - scale[:, 0]) / scale[:, 1]
+    to[:, p, p] = 1.0
+    to = to[np.asarray(which, np.int64)]
+    theta = np.einsum("gij,gi->jg", to, state[:, : p + 1])  # (p + 1, G)
+    held_out = fits[:, 2].astype(np.int64)
+    groups = [(k, np.flatnonzero(held_out == k)) for k in np.unique(held_out)]  # fits that see the same rows
+    edge = fits[:, 1] * state[:, p + 1]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((len(fits), size))
         for pdf in batches:
-            x = pdf[list(names)].to_numpy(np.float64)
+            u1 = np.ones((len(pdf), p + 1))
+            u1[:, :p] = (pdf[list(names)].to_numpy(np.float64) - mean) / sd
             y = pdf["_y"].to_numpy(np.float64)
             fold = pdf["_fold"].to_numpy(np.int64)
-            for a in range(0, len(y), CHUNK):
-                xs, ys, fs = x[a : a + CHUNK], y[a : a + CHUNK], fold[a : a + CHUNK]
-                z = (xs[None, :, :] - scale[:, 0, None, :]) / scale[:, 1, None, :]  # (S, B, p)
-                z1 = np.concatenate([z, np.ones(z.shape[:2] + (1,))], axis=2)[which]  # (G, B, p + 1)
-                r = ys[None, :] - np.einsum("gbi,gi->gb", z1, state[:, : p + 1])
-                if kind == "score":
-                    held = fs[None, :] == fold_of[:, None]
-                    total[:, 0] += np.where(held, r * r, 0.0).sum(axis=1)
-                    continue
-                used = (fs[None, :] != fold_of[:, None]).astype(np.float64)
-                sigma, eps = state[:, p + 1, None], fits[:, 1, None]
-                inside = np.abs(r) <= eps * sigma
-                c = used * np.where(inside, 1.0 / sigma, eps / np.maximum(np.abs(r), 1e-300))
-                zc = z1 * c[:, :, None]
-                total[:, : (p + 1) ** 2] += np.matmul(zc.transpose(0, 2, 1), z1).reshape(len(fits), -1)
-                total[:, (p + 1) ** 2 : (p + 1) ** 2 + p + 1] += zc.transpose(0, 2, 1) @ ys
-                total[:, -3] += (used * inside * r * r).sum(axis=1)
-                total[:, -2] += (used * ~inside).sum(axis=1)
-                total[:, -1] += used.sum(axis=1)
-        g, k = np.nonzero(np.ones_like(total, bool))
-        yield pd.DataFrame({"g": g, "k": k, "v": total[g, k]})
-
-    sums = rows.mapInPandas(run, "g long, k long, v double").groupBy("g", "k").agg(F.sum("v").alias("v"))
-    out = np.zeros((len(fits), size))
-    for r in sums.collect():  # one row per fit and entry: the grid's size times (p + 2) squared at most
-        out[r["g"], r["k"]] = r["v"]
-    return out
+            for k, of in groups:
+                at = np.flatnonzero((fold == k) == (kind == "score"))
+                coef, eps, limit = theta[:, of], fits[of, 1], edge[of]
+                for a in range(0, len(at), CHUNK):
+                    us, ys = u1[at[a : a + CHUNK]], y[at[a : a + CHUNK], None]
+                    r = np.abs(ys - us @ coef)  # (B, fits)
+                    if kind == "score":
+                        total[of, 0] += np.einsum("bg,bg->g", r, r)
+                        continue
+                    inside = r <= limit
+                    c = eps / np.maximum(r, limit)  # 1 / sigma inside, epsilon / |r| beyond
+                    total[of, :-3] += c.T @ np.concatenate([us[:, rise] * us[:, fall], us * ys], axis=1)
+                    r *= inside
+                    total[of, -3] += np.einsum("bg,bg->g", r, r)
+                    total[of, -2] += len(ys) - inside.sum(axis=0)
+                    total[of, -1] += len(ys)
+        yield pd.DataFrame(total, columns=[f"v{j}" for j in range(size)]).assign(g=np.arange(len(fits)))
+
+    shape = ", ".join(f"v{j} double" for j in range(size)) + ", g long"
+    sums = rows.mapInPandas(run, shape).groupBy("g").agg(*[F.sum(f"v{j}").alias(f"v{j}") for j in range(size)])
+    got = np.zeros((len(fits), size))
+    for row in sums.collect():  # one row per fit, (p + 2)^2 numbers at most
+        got[row["g"]] = row[1:]
+    if kind == "score":
+        return got
+    products = np.zeros((len(fits), p + 1, p + 1))
+    products[:, rise, fall] = products[:, fall, rise] = got[:, : len(rise)]
+    products = to @ products @ to.transpose(0, 2, 1)
+    right = np.einsum("gij,gj->gi", to, got[:, len(rise) : -3])
+    return np.concatenate([products.reshape(len(fits), -1), right, got[:, -3:]], axis=1)
 
 
 def _fit_all(rows: DataFrame, names: Sequence[str], fits: np.ndarray, which: np.ndarray, scale: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -147,6 +166,9 @@ def huber_search(
     grid = [(a, e) for a in alphas for e in epsilons]
     fits = np.array([(a, e, folds[k]) for a, e in grid for k in range(len(folds))], np.float64)
     which = np.array([k for _ in grid for k in range(len(folds))])
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:  # a small table in one file would be scanned on one core
+        rows = rows.repartition(cores)
     rows = rows.persist()
     try:
         state = _fit_all(rows, names, fits, which, scale, targets[which])

@@ -85,3 +85,34 @@ def test_a_target_far_from_unit_scale_reaches_the_same_optimum(spark):
     assert np.abs(objective_gradient((x - m) / s, y, w, b, sigma, 1e-3, 1.35)).max() < 1e-6 * np.abs(y).sum()
     assert np.allclose([model.coef["a"], model.coef["b"]], w / s, rtol=1e-5)
     assert abs(model.settings["scale"] - sigma) < 1e-5 * sigma and sigma > 1000
+
+
+def test_the_sums_of_all_fits_are_those_of_plain_loops_and_one_file_is_scanned_on_all_cores(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    n, p = 700, 2
+    x = r.normal(size=(n, p)) * [3.0, 0.5] + [1.0, -4.0]
+    y = x @ [1.5, -2.0] + r.standard_t(3, size=n)
+    fold = np.arange(n) % 3
+    fits = np.array([(0.1, e, k) for e in (1.1, 2.0) for k in (0, 1, 2, -1)], float)
+    which = np.array([0, 1, 2, 3] * 2)
+    scale = np.stack([np.stack([x[fold != k].mean(axis=0), x[fold != k].std(axis=0)]) for k in (0, 1, 2, -1)])
+    state = np.column_stack([r.normal(size=(8, p + 1)), r.uniform(0.5, 3.0, 8)])
+    rows = [(int(f), float(t), *map(float, v), False) for f, t, v in zip(fold, y, x)]
+    df = spark.createDataFrame(rows, "_fold long, _y double, _x0 double, _x1 double, is_test boolean").coalesce(1)
+    fit = huber._scan(df, ["_x0", "_x1"], fits, which, state, scale, "fit")
+    score = huber._scan(df, ["_x0", "_x1"], fits, which, state, scale, "score")
+    for g, (_, eps, k) in enumerate(fits):
+        z1 = np.column_stack([(x - scale[which[g], 0]) / scale[which[g], 1], np.ones(n)])
+        res = y - z1 @ state[g, : p + 1]
+        used, sigma = fold != k, state[g, -1]
+        inside = np.abs(res) <= eps * sigma
+        c = used * np.where(inside, 1 / sigma, eps / np.abs(res))
+        want = [*(z1.T @ (c[:, None] * z1)).ravel(), *(z1.T @ (c * y)), (res[inside & used] ** 2).sum(), (~inside & used).sum(), used.sum()]
+        assert np.allclose(fit[g], want, rtol=1e-10, atol=1e-9)
+        assert np.isclose(score[g, 0], (res[fold == k] ** 2).sum())
+    seen, scan = [], huber._scan
+    monkeypatch.setattr(huber, "_scan", lambda rows, *a: seen.append(rows.rdd.getNumPartitions()) or scan(rows, *a))
+    monkeypatch.setattr(huber, "ROUNDS", 2)
+    named = df.withColumnsRenamed({"_fold": "fold", "_y": "y", "_x0": "a", "_x1": "b"})
+    huber.huber_search(named, "y", ["a", "b"], (1e-3,), (1.35,))
+    assert min(seen) >= spark.sparkContext.defaultParallelism
