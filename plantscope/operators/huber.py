@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plantscope.operators.linear import LinearModel
+from plantscope.session import spread
 
 # the grid searched (fixed values: 13 penalties from 1e-6 to 1, six thresholds)
 ALPHAS = tuple(float(a) for a in np.logspace(-6, 0, 13))
@@ -166,10 +167,7 @@ def huber_search(
     grid = [(a, e) for a in alphas for e in epsilons]
     fits = np.array([(a, e, folds[k]) for a, e in grid for k in range(len(folds))], np.float64)
     which = np.array([k for _ in grid for k in range(len(folds))])
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() < cores:  # a small table in one file would be scanned on one core
-        rows = rows.repartition(cores)
-    rows = rows.persist()
+    rows = spread(rows).persist()
     try:
         state = _fit_all(rows, names, fits, which, scale, targets[which])
         error = _scan(rows, names, fits, which, state, scale, "score")[:, 0]

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from py4j.protocol import Py4JJavaError
 
 from plantscope.functions.numeric import band, clean
-from plantscope.session import local_table, materialize, scratch_dir
+from plantscope.session import local_table, materialize, scratch_dir, spread
 
 FEATURES, LABEL, PREDICTION = "features", "label", "prediction"
 LINEAR = "linear_regression"
@@ -148,10 +148,7 @@ def benchmark(train: DataFrame, test: DataFrame, roster: Mapping[str, Estimator]
     """
     spark = train.sparkSession
     rows = rows_key(train)
-    cores = spark.sparkContext.defaultParallelism
-    if train.rdd.getNumPartitions() < cores:  # a small table in one file would train on one core
-        train = train.repartition(cores)
-    train = train.persist()
+    train = spread(train).persist()
     models: dict[str, Model | None] = {}
     try:
         def fit(item):

@@ -6,7 +6,7 @@ way, the interval of values that follows the path, and the share of training row
 the children's counts over their parents'). A coalition's value of a tree is the sum over leaves of the leaf value
 times, per path feature, the indicator of the interval if the feature is in the coalition, else the share. Every leaf is a
 game of its own path features only, so its Shapley values come from the polynomial of the other features' factors,
-d * d steps for d features on the path. The paths are tables of at most trees times leaves rows; their size is
+d * d steps for d features on the path; for few features they are worked out once for each pattern of intervals and looked up. The paths are tables of at most trees times leaves rows; their size is
 checked before they are broadcast, and rows are explained in Arrow batches, leaves in chunks, so memory is bounded.
 Values of a row add up to its prediction minus the expected value of the ensemble over the training rows.
 """
@@ -25,12 +25,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from plantscope.session import scratch_dir
+from plantscope.session import scratch_dir, spread
 
 #: At most so many leaves are explained in one task; beyond, the ensemble is too large to ship to every task.
 MOST_LEAVES = 2_000_000
 #: Leaves evaluated at once against a batch of rows.
 LEAF_CHUNK = 64
+#: Rows evaluated at once, and path features up to which a leaf's values are looked up by which intervals a row lies in.
+ROW_CHUNK, MOST_TABLED = 1024, 6
 
 
 @dataclass(frozen=True)
@@ -107,29 +109,59 @@ def tree_paths(model, n_features: int, spark: SparkSession) -> Paths:
     return Paths(groups, expected, n_features)
 
 
+def _gains(one: np.ndarray, share: np.ndarray, value: np.ndarray) -> Iterator[np.ndarray]:
+    """For each path feature, the Shapley values (rows x leaves) of leaves whose intervals hold the rows where ``one`` (rows x leaves x d) is 1."""
+    d = one.shape[2]
+    weight = np.array([factorial(k) * factorial(d - k - 1) / factorial(d) for k in range(d)])
+    for i in range(d):
+        # coefficients of prod over the other features of (share + one * t)
+        poly = np.zeros((d,) + one.shape[:2])
+        poly[0] = 1.0
+        for j in range(d):
+            if j == i:
+                continue
+            poly[1:] = poly[1:] * share[:, j] + poly[:-1] * one[:, :, j]
+            poly[0] = poly[0] * share[:, j]
+        yield np.tensordot(weight, poly, axes=1) * (one[:, :, i] - share[:, i]) * value
+
+
+def _tabled(x: np.ndarray, phi: np.ndarray, feats, lo, hi, share, value) -> None:
+    """Adds leaves of few path features: a leaf's values for each of the 2 ** d patterns of intervals a row can lie in, looked up by pattern."""
+    d = feats.shape[1]
+    patterns = (np.arange(1 << d)[:, None] >> np.arange(d) & 1).astype(np.float64)
+    sets, of = np.unique(feats, axis=0, return_inverse=True)
+    for k, names in enumerate(sets):  # leaves of the same features
+        leaves = np.flatnonzero(of.ravel() == k)
+        for a in range(0, len(leaves), LEAF_CHUNK):
+            at = leaves[a : a + LEAF_CHUNK]
+            one = np.broadcast_to(patterns[:, None, :], (1 << d, len(at), d))
+            tables = [g.T.ravel() for g in _gains(one, share[at], value[at])]  # by leaf, then pattern
+            first = np.arange(len(at)) << d
+            for b in range(0, len(x), ROW_CHUNK):
+                part = x[b : b + ROW_CHUNK]
+                place = np.repeat(first[None, :], len(part), axis=0)
+                for j, f in enumerate(names):
+                    v = part[:, f, None]
+                    place += ((v > lo[at, j]) & (v <= hi[at, j])) * (1 << j)
+                for f, t in zip(names, tables):
+                    phi[b : b + ROW_CHUNK, f] += t[place].sum(axis=1)
+
+
 def shapley_matrix(x: np.ndarray, paths: Paths) -> np.ndarray:
     """Shapley values (rows x features) of the rows of ``x``; a missing value (NaN) goes right at every split, as in MLlib."""
     x = np.where(np.isnan(x), np.inf, x)
     phi = np.zeros((len(x), paths.n_features))
-    for d, (feats, lo, hi, share, value) in paths.groups.items():
+    for d, group in paths.groups.items():
         if d == 0:
             continue
-        weight = np.array([factorial(k) * factorial(d - k - 1) / factorial(d) for k in range(d)])
-        for a in range(0, len(value), LEAF_CHUNK):
-            f, l, h, z, v = (y[a : a + LEAF_CHUNK] for y in (feats, lo, hi, share, value))
+        if d <= MOST_TABLED:
+            _tabled(x, phi, *group)
+            continue
+        for a in range(0, len(group[4]), LEAF_CHUNK):
+            f, l, h, z, v = (y[a : a + LEAF_CHUNK] for y in group)
             vals = x[:, f]  # rows x leaves x d
             one = ((vals > l) & (vals <= h)).astype(np.float64)
-            for i in range(d):
-                # coefficients of prod over the other features of (share + one * t)
-                poly = np.zeros((d,) + one.shape[:2])
-                poly[0] = 1.0
-                for j in range(d):
-                    if j == i:
-                        continue
-                    poly[1:] = poly[1:] * z[:, j] + poly[:-1] * one[:, :, j]
-                    poly[0] = poly[0] * z[:, j]
-                total = np.tensordot(weight, poly, axes=1)
-                gain = total * (one[:, :, i] - z[:, i]) * v
+            for i, gain in enumerate(_gains(one, z, v)):
                 np.add.at(phi.T, f[:, i], gain.T)
     return phi
 
@@ -146,6 +178,7 @@ def tree_shapley(df: DataFrame, x: Sequence[str], model, keep: Sequence[str] = (
         raise ValueError(f"{leaves} leaves: the ensemble is too large to explain in every task")
     names = [f"_x{j}" for j in range(len(x))]
     rows = df.select(*[F.col(f"`{c}`") for c in keep], *[F.col(f"`{c}`").cast("double").alias(n) for c, n in zip(x, names)])
+    rows = spread(rows)
     shipped = df.sparkSession.sparkContext.broadcast(paths)
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -68,6 +68,12 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores: a small table in one file would keep a single one busy."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def local_table(spark: SparkSession, rows: Sequence[tuple], ddl: str) -> DataFrame:
     """A small table of summaries, handed over as Arrow so that it stays a local relation in the plan."""
     schema = StructType.fromDDL(ddl)

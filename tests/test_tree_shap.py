@@ -59,3 +59,25 @@ def test_tree_shapley_equals_brute_force_and_adds_up(spark, kind):
     for k in (0, 5, 37, 111):
         assert np.allclose(phi[k], brute_force(model, spark, x[k], weights))
     assert len(got) == n
+
+
+def test_values_looked_up_by_pattern_are_those_worked_out_row_by_row(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    groups = {}
+    for d in (1, 2, 4):
+        feats = np.array([np.sort(r.choice(5, d, replace=False)) for _ in range(150)])
+        lo = np.where(r.random((150, d)) < 0.3, -np.inf, r.normal(size=(150, d)))
+        hi = np.where(r.random((150, d)) < 0.3, np.inf, np.where(np.isinf(lo), 0.0, lo) + 1.0)
+        groups[d] = (feats, lo, hi, r.random((150, d)), r.normal(size=150))
+    paths = tree_shap.Paths(groups, 0.0, 5)
+    x = r.normal(size=(2100, 5))
+    x[::9, 2] = np.nan
+    got = tree_shap.shapley_matrix(x, paths)
+    monkeypatch.setattr(tree_shap, "MOST_TABLED", 0)
+    assert np.allclose(got, tree_shap.shapley_matrix(x, paths), rtol=1e-12, atol=1e-12)
+
+
+def test_one_file_is_explained_on_all_cores(spark):
+    df = spark.range(40).selectExpr("cast(id as double) as a", "cast(id % 7 as double) as b", "cast(id * 2 as double) as y").coalesce(1)
+    model = models.random_forest(2, depth=2).fit(models.assemble(df, ["a", "b"], "y"))
+    assert tree_shap.tree_shapley(df, ["a", "b"], model).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
