@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from plantscope.functions.numeric import any_of, band, clean
 from plantscope.operators.inversions import inversion_sums
 from plantscope.operators.moments import pearson_masked
-from plantscope.operators.ranks import ColumnSizes, column_sizes, with_order_statistics
+from plantscope.operators.ranks import column_sizes, with_order_statistics
 from plantscope.session import local_table
 
 # Weights of the sign vote and of the strength average.
@@ -83,30 +83,6 @@ def _spearman_of(ranked: DataFrame, pairs) -> DataFrame:
     return _pearson_of(ranked, pairs, "spearman", {c: f"{c}_rank" for c in cols})
 
 
-def _cells(base: DataFrame, pairs, sizes: ColumnSizes) -> DataFrame:
-    """Distinct (x, y) of each pair with sums around the column means.
-
-    The means are taken off first, so that the products stay small. Rows are
-    pre-aggregated by pair and values before the shuffle.
-    """
-    mean = sizes.mean
-    tagged = F.array(
-        *[
-            F.struct(F.lit(f"{i}").alias("pair"), F.col(a).alias("a"), F.col(b).alias("b"),
-                     F.lit(mean[a]).alias("ma"), F.lit(mean[b]).alias("mb"))
-            for i, (a, b) in enumerate(pairs)
-        ]
-    )
-    x, y = F.col("a") - F.col("ma"), F.col("b") - F.col("mb")
-    return (
-        base.select(F.inline(tagged))
-        .groupBy("pair", "a", "b", "ma", "mb")
-        .agg(F.count(F.lit(1)).cast("double").alias("w"))
-        .select("pair", "a", "b", "w", (F.col("w") * x).alias("wx"), (F.col("w") * y).alias("wy"),
-                (F.col("w") * x * y).alias("wxy"))
-    )
-
-
 def _tied(base: DataFrame, cols: Sequence[str]) -> dict[str, float]:
     """Pairs of rows tied in each column, all columns in one pass."""
     tagged = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in cols])
@@ -129,8 +105,7 @@ def rank_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], methods: Sequenc
     parts = []
     inverted = {}
     if {"kendall", "dcor"} & set(methods):
-        most = max(min(n, sizes.distinct[a] * sizes.distinct[b]) for a, b in pairs)
-        sums = inversion_sums(_cells(base, pairs, sizes), most, len(pairs), **cell_limits)
+        sums = inversion_sums(base, pairs, sizes, **cell_limits)
         inverted = {r["pair"]: r for r in sums.collect()}  # one row per pair
     if "kendall" in methods:
         tied = _tied(base, cols)
@@ -139,7 +114,7 @@ def rank_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], methods: Sequenc
         for i, (a, b) in enumerate(pairs):
             value = None
             if n >= 2 and tied[a] < total and tied[b] < total:
-                found = inverted[str(i)]
+                found = inverted[i]
                 score = total - tied[a] - tied[b] + found["tied"] - 2 * found["weight"]
                 value = score / (total - tied[a]) ** 0.5 / (total - tied[b]) ** 0.5
                 value = min(1.0, max(-1.0, value))
@@ -186,7 +161,7 @@ def _distance_correlation(ranked, pairs, inverted, n) -> DataFrame:
         value = None
         if n >= 3:
             # All pairs give n^2 cov; inverted ones enter with the other sign.
-            products = 2 * (n * n * got[f"c_{i}"] - 2 * inverted[str(i)]["cross"])
+            products = 2 * (n * n * got[f"c_{i}"] - 2 * inverted[i]["cross"])
             ta, tb = got[f"t_{place[a]}"], got[f"t_{place[b]}"]
             shared = products / n**2 - 2 * got[f"ab_{i}"] / n**3 + ta * tb / n**4
             va, vb = own(a), own(b)

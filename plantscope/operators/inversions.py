@@ -1,32 +1,41 @@
 """Weighted inversions of many column pairs: the shared core of Kendall's tau and distance correlation.
 
-For cells (a, b) with weights, an inversion is a pair with a_i < a_j and
-b_i > b_j. Two sums are wanted per column pair: the weight of all inversions,
-and their total of (x_j - x_i)(y_j - y_i).
-
-Cells are range partitioned by (a, b) and, apart from that, by (b, a), so each
-gets two bucket numbers and every bucket is small whatever the ties: a value
-shared by a third of the rows is split along the other column. An inversion is
-then one of
-* both cells in the same a-bucket,
-* same b-bucket, different a-buckets,
-* both buckets different, which the same method settles on the grid of bucket
-  totals.
+For rows (a, b), an inversion is a pair with a_i < a_j and b_i > b_j. Two sums
+are wanted per column pair: the number of all inversions, and their total of
+(x_j - x_i)(y_j - y_i).
+
+Every column is cut into value ranges, once for all its pairs. A cut value is a
+range of its own, so values held by very many rows lie alone, in a pure range
+without inversions, and the open ranges between them stay small whatever the
+ties. An inversion is then one of
+* both rows in the same open range of a,
+* same open range of b, different ranges of a,
+* both ranges different, which is settled on the grid of range totals.
+So the rows are shuffled once per column that has open ranges, for all its pairs
+together, and not at all for columns of few values; the grid is summed before
+its shuffle. Nothing is listed per pair of columns, and the cuts come from the
+driver, so no branch depends on a sampled partitioning.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantscope.session import materialize
+from plantscope.operators.ranks import ColumnSizes
 
-CELLS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 32_768
+CELLS_PER_BUCKET = 100_000
+#: Open ranges of a column; the grid of a pair has at most some (2 * MAX_PIECES) ** 2 cells.
+MAX_PIECES = 400
+#: Columns of at most so many values get a pure range for each of them.
+FEW_VALUES = 400
 _SUMS = ["w", "wx", "wy", "wxy"]
-_OUT = "pair string, weight double, cross double, tied double"
+_OUT = "pair int, weight double, cross double, tied double"
 
 
 def _count(first: np.ndarray, second: np.ndarray, sums: np.ndarray) -> tuple[float, float]:
@@ -69,57 +78,122 @@ def _places(keys: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _summed(pdf: pd.DataFrame, first: list[str], second: list[str]) -> pd.DataFrame:
-    weight, cross = _count(
-        _places([pdf[c].to_numpy() for c in first]),
-        _places([pdf[c].to_numpy() for c in second]),
-        pdf[_SUMS].to_numpy(dtype=float).T.copy(),
-    )
-    held = pdf["w"].to_numpy(dtype=float)
-    return pd.DataFrame(
-        {"pair": [pdf["pair"].iloc[0]], "weight": [weight], "cross": [cross], "tied": [float((held * (held - 1) / 2).sum())]}
-    )
-
-
-def _within_a(pdf: pd.DataFrame) -> pd.DataFrame:
-    return _summed(pdf, ["a", "b"], ["b", "a"])
-
-
-def _within_b(pdf: pd.DataFrame) -> pd.DataFrame:
-    # Rows of one a-bucket are put in the order of b, so they are not inverted among themselves.
-    return _summed(pdf, ["in_a", "b", "a"], ["b", "a"])
+def _inverted(first: list[np.ndarray], second: list[np.ndarray], sums: np.ndarray) -> tuple[float, float]:
+    return _count(_places(first), _places(second), sums)
+
+
+def _tied(a: np.ndarray, b: np.ndarray) -> float:
+    """Pairs of rows equal in both."""
+    if not len(a):
+        return 0.0
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    starts = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+    held = np.diff(np.append(starts, len(a))).astype(float)
+    return float((held * (held - 1) / 2).sum())
+
+
+def _cut_values(df: DataFrame, cols: Sequence[str], sizes: ColumnSizes, cells_per_bucket: int) -> dict[str, list[float]]:
+    """Cut values of each column: all its values if they are few, else quantiles of its rows."""
+    few = [c for c in cols if sizes.distinct[c] <= min(FEW_VALUES, cells_per_bucket)]
+    out: dict[str, list[float]] = {c: [] for c in cols}
+    if few:
+        tagged = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in few])
+        for r in df.select(F.inline(tagged)).distinct().collect():  # some FEW_VALUES for each column
+            out[r["column"]].append(r["value"])
+    wide = [c for c in cols if c not in few]
+    pieces = min(MAX_PIECES, -(-sizes.n // cells_per_bucket))
+    if wide and pieces > 1:
+        found = df.approxQuantile(wide, [i / pieces for i in range(1, pieces)], 0.2 / pieces)
+        out |= dict(zip(wide, found))
+    return {c: sorted({float(v) for v in cuts}) for c, cuts in out.items()}
+
+
+def _edges(cuts: Sequence[float]) -> tuple[list[float], list[int]]:
+    """Bounds of the ranges, and the numbers of the pure ones, which hold one cut value each."""
+    points = sorted({p for v in cuts for p in (v, float(np.nextafter(v, np.inf))) if np.isfinite(p)})
+    own = set(cuts)
+    edges = [-np.inf, *points, np.inf]
+    return edges, [k for k in range(1, len(edges) - 1) if edges[k] in own and edges[k + 1] == np.nextafter(edges[k], np.inf)]
+
+
+def _inside(c: str, pairs: Sequence[tuple[str, str]], edges: dict[str, list[float]], pure: dict[str, list[int]], mean: dict[str, float]):
+    """The work on one open range of ``c``: inversions in the range, for every pair that ``c`` belongs to."""
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for i, (a, b) in enumerate(pairs):
+            if c not in (a, b):
+                continue
+            x, y = pdf[a].to_numpy(dtype=float), pdf[b].to_numpy(dtype=float)
+            weight = cross = tied = 0.0
+            dx, dy = x - mean[a], y - mean[b]
+            sums = np.stack([np.ones(len(x)), dx, dy, dx * dy])
+            if c == a:
+                weight, cross = _inverted([x, y], [y, x], sums)
+                tied = _tied(x, y)
+            elif len(edges[a]) > 2:
+                # Rows of one range of a are put in the order of b, so they are not inverted among themselves.
+                place = np.searchsorted(edges[a][1:-1], x, side="right")
+                weight, cross = _inverted([place, y, x], [y, x], sums)
+                alone = np.isin(place, pure[a])  # the others are counted in the ranges of a
+                tied = _tied(x[alone], y[alone])
+            out.append((i, weight, cross, tied))
+        return pd.DataFrame(out, columns=["pair", "weight", "cross", "tied"])
+
+    return work
+
+
+def _between(pairs: Sequence[tuple[str, str]], pure: dict[str, list[int]]):
+    """The work on the grid of one pair: both ranges different, and rows tied in two pure ranges."""
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        i = int(pdf["pair"].iloc[0])
+        x, y = pdf["a"].to_numpy(), pdf["b"].to_numpy()
+        weight, cross = _inverted([x, y], [y, x], pdf[_SUMS].to_numpy(dtype=float).T.copy())
+        held = pdf["w"].to_numpy(dtype=float)[np.isin(x, pure[pairs[i][0]]) & np.isin(y, pure[pairs[i][1]])]
+        return pd.DataFrame({"pair": [i], "weight": [weight], "cross": [cross], "tied": [float((held * (held - 1) / 2).sum())]})
+
+    return work
 
 
 def inversion_sums(
-    cells: DataFrame, most_cells: int, n_pairs: int, cells_per_bucket: int = CELLS_PER_BUCKET
+    base: DataFrame, pairs: Sequence[tuple[str, str]], sizes: ColumnSizes, cells_per_bucket: int = CELLS_PER_BUCKET
 ) -> DataFrame:
-    """``pair, weight, cross, tied`` for cells ``pair, a, b, w, wx, wy, wxy`` unique on (pair, a, b).
+    """``pair, weight, cross, tied`` for every pair of complete columns (no NULL) of ``base``; ``pair`` is its place in ``pairs``.
 
-    ``most_cells`` bounds the cells of one pair. ``tied`` counts the pairs of
-    rows inside one cell.
+    The means are taken off first, so that the products stay small. ``tied``
+    counts the pairs of rows equal in both columns.
     """
-    if most_cells <= cells_per_bucket:
-        return cells.groupBy("pair").applyInPandas(_within_a, _OUT)
-    buckets = max(2, min(MAX_BUCKETS, -(-most_cells * n_pairs // cells_per_bucket)))
-    placed = (
-        cells.repartitionByRange(buckets, "pair", "a", "b")
-        .withColumn("in_a", F.spark_partition_id())
-        .repartitionByRange(buckets, "pair", "b", "a")
-        .withColumn("in_b", F.spark_partition_id())
-    )
-    # Written once: every branch below must see the same sampled bounds.
-    placed = materialize(placed, "cells")
-    same_a = placed.drop("in_b").groupBy("pair", "in_a").applyInPandas(_within_a, _OUT)
-    same_b = placed.groupBy("pair", "in_b").applyInPandas(_within_b, _OUT).withColumn("tied", F.lit(0.0))
-    grid = placed.groupBy("pair", F.col("in_a").cast("double").alias("a"), F.col("in_b").cast("double").alias("b")).agg(
-        *[F.sum(c).alias(c) for c in _SUMS]
-    )
-    between = inversion_sums(
-        grid, min(most_cells, buckets * buckets), n_pairs, max(cells_per_bucket, 4 * buckets)
-    ).withColumn("tied", F.lit(0.0))
-    return (
-        same_a.unionByName(same_b)
-        .unionByName(between)
-        .groupBy("pair")
-        .agg(*[F.sum(c).alias(c) for c in ("weight", "cross", "tied")])
-    )
+    cols = sorted({c for p in pairs for c in p})
+    base = base.select(*[(F.col(c) + F.lit(0.0)).alias(c) for c in cols])  # one zero: the cuts tell -0.0 from 0.0
+    ranges = {c: _edges(cuts) for c, cuts in _cut_values(base, cols, sizes, cells_per_bucket).items()}
+    edges, pure = {c: e for c, (e, _) in ranges.items()}, {c: p for c, (_, p) in ranges.items()}
+    cut = [c for c in cols if len(edges[c]) > 2]
+    number = {c: f"_in_{i}" for i, c in enumerate(cols)}
+    placed = base
+    if cut:
+        placed = Bucketizer(splitsArray=[edges[c] for c in cut], inputCols=cut, outputCols=[number[c] for c in cut]).transform(base)
+    placed = placed.withColumns({number[c]: F.lit(0.0) for c in cols if c not in cut})
+    parts = []
+    for c in cols:
+        partners = [d for d in cols if any(c in p and d in p for p in pairs)]
+        rows = placed.select(F.col(number[c]).cast("int").alias("_range"), *partners)
+        if pure[c]:
+            rows = rows.where(~F.col("_range").isin(pure[c]))
+        parts.append(rows.groupBy("_range").applyInPandas(_inside(c, pairs, edges, pure, sizes.mean), _OUT))
+    crossed = [(i, a, b) for i, (a, b) in enumerate(pairs) if a in cut and b in cut]
+    if crossed:
+        x, y = F.col("x"), F.col("y")
+        tagged = F.array(*[
+            F.struct(F.lit(i).alias("pair"), F.col(number[a]).alias("a"), F.col(number[b]).alias("b"),
+                     (F.col(a) - F.lit(sizes.mean[a])).alias("x"), (F.col(b) - F.lit(sizes.mean[b])).alias("y"))
+            for i, a, b in crossed
+        ])
+        grid = placed.select(F.inline(tagged)).groupBy("pair", "a", "b").agg(
+            F.count(F.lit(1)).cast("double").alias("w"), F.sum(x).alias("wx"), F.sum(y).alias("wy"), F.sum(x * y).alias("wxy"))
+        parts.append(grid.groupBy("pair").applyInPandas(_between(pairs, pure), _OUT))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.groupBy("pair").agg(*[F.sum(c).alias(c) for c in ("weight", "cross", "tied")])

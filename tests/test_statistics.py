@@ -188,3 +188,30 @@ def test_group_counts_count_rows_around_each_peak(spark):
         assert f.n_rows == int(((clean >= f.low) & (clean <= f.high)).sum())
         assert f.share == pytest.approx(f.n_rows / len(clean))
     assert sorted(round(f.value) for f in found) in ([10, 30], [10, 29], [11, 30], [9, 30], [10, 31])
+
+
+def test_inversions_shuffle_rows_once_per_column_not_per_pair(spark):
+    from plantscope.operators.inversions import inversion_sums
+    from plantscope.operators.ranks import column_sizes
+
+    rng = np.random.default_rng(8)
+    n = 400
+    data = pd.DataFrame({"u": rng.normal(size=n).round(2), "v": rng.normal(size=n).round(1), "k": rng.integers(0, 4, n) - 0.0, "one": np.ones(n)})
+    data.loc[:150, "u"] = 0.25  # a value of more than a third of the rows
+    data.loc[::9, "v"] = -0.0
+    data.loc[1::9, "v"] = 0.0
+    data = pd.concat([data, data[:50]], ignore_index=True)
+    pairs = assoc.column_pairs(list(data.columns))
+    df = frame(spark, data)
+    for limit in (7, 60, 100_000):
+        found = inversion_sums(df, pairs, column_sizes(df, list(data.columns)), limit)
+        rows = {r["pair"]: r for r in found.collect()}
+        for i, (p, q) in enumerate(pairs):
+            x, y = data[p].to_numpy(), data[q].to_numpy()
+            dx, dy = x[None, :] - x[:, None], y[None, :] - y[:, None]
+            crossing = (dx > 0) & (dy < 0)
+            assert rows[i]["weight"] == crossing.sum()
+            assert rows[i]["tied"] == (((dx == 0) & (dy == 0)).sum() - len(x)) / 2
+            assert rows[i]["cross"] == pytest.approx((dx * dy)[crossing].sum(), abs=1e-8)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("FlatMapGroupsInPandas") <= len(data.columns) + 1 and "RepartitionByExpression" not in plan
