@@ -1,9 +1,12 @@
 """Collocations: phrases of two and three words that occur together far more often than their parts do, per language.
 
-Counts are kept as streams in prefix order. Neighbouring words (w1, w2, w3) of every place in a piece are counted
-once per distinct triple, and a rollup over (lang, w1, w2, w3) turns that one stream into the counts of every phrase of
-one to three words, each at the place of its first words, with the number of words of the language on top. Only
-phrases that occur at least ``least`` times can be candidates or parts of one, so the stream is cut there and written once.
+A phrase that occurs ``least`` times has only neighbouring pairs that do, so pairs are settled before phrases are shuffled as text.
+Texts are written once in slices of some million characters. Each slice sends the hashes of its distinct pairs of neighbouring words
+with their counts, four bytes and one a pair, to the bucket of the hash; the bucket adds the counts up over all slices and answers
+every slice with one bit a pair: may occur ``least`` times or not. Words get their bits in the same way. Pairs that share a hash
+are added together, so a bit can be set too often but never be missing. A slice then sends its phrases of one to three words whose
+words and pairs all have their bits, as text with exact counts, and Spark adds those up; whatever occurs less than ``least`` times goes
+there. Nothing is left out: counts of phrases that stay are over all their places.
 
 A candidate's cuts then meet their parts: the left parts (which begin where the phrase begins) in prefix order, the right
 parts (which end where it ends) in suffix order, and three-word candidates meet their two-word parts, which gives the
@@ -18,6 +21,12 @@ so no task sorts all candidates of a language.
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,37 +35,214 @@ from plantscope.llm.scratch import write_once
 
 # fixed values of the contract
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-PIECE_BREAKS = r"[.,;:!?\x0A-\x0D]"
-BLANKS = r"[\x20\x09]+"
+PIECE_BREAKS = re.compile(r"[.,;:!?\x0A-\x0D]")
 UNKNOWN_LANG = "und"
 LEAST, TOP, SCALE = 10, 2000, 1_000_000
 #: Salted groups of a language in which the first ``top`` are chosen before the language is.
 SALTS = 64
+#: Characters of a slice of texts; a longer text is a slice of its own.
+SLICE = 4_000_000
+#: Characters of all texts to a bucket of hashes.
+PER_BUCKET = 8_000_000
+_OFFSET = np.uint64(0x9E3779B97F4A7C15)
+_SLICES = "slice long, langs binary, lang_of binary, sizes binary, body binary"
+_ASKED = "bucket int, slice long, keys binary, counts binary"
+_ANSWER = "slice long, bucket int, bits binary"
+
+
+def _sliced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts, lower-cased in A-Z, as slices: each text by its length in bytes and the number of its language."""
+    lower = str.maketrans(UPPER, LOWER)
+
+    def packed(rows):
+        langs = list(dict.fromkeys(lang for _, lang, _ in rows))
+        number = {lang: k for k, lang in enumerate(langs)}
+        texts = [t.encode() for _, _, t in rows]
+        return pd.DataFrame({
+            "slice": [rows[0][0]],
+            "langs": [_joined(langs)],
+            "lang_of": [np.array([number[lang] for _, lang, _ in rows], "<u4").tobytes()],
+            "sizes": [np.array([len(t) for t in texts], "<u8").tobytes()],
+            "body": [zlib.compress(b"".join(texts), 1)],
+        })
+
+    rows, size = [], 0
+    for pdf in batches:
+        for n, lang, text in zip(pdf["n"], pdf["lang"], pdf["text"]):
+            if rows and size + len(text) > SLICE:
+                yield packed(rows)
+                rows, size = [], 0
+            rows.append((n, lang, text.translate(lower)))
+            size += len(text)
+    if rows:
+        yield packed(rows)
+
+
+def _joined(words: list[str]) -> bytes:
+    parts = [w.encode() for w in words]
+    return np.array([len(parts), *map(len, parts)], "<u4").tobytes() + b"".join(parts)
+
+
+def _parted(held: bytes) -> list[str]:
+    n = int(np.frombuffer(held, "<u4", 1)[0])
+    ends = np.cumsum(np.frombuffer(held, "<u4", n, 4)).tolist()
+    body = held[4 + 4 * n :]
+    return [body[a:b].decode() for a, b in zip([0, *ends], ends)]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class _Places:
+    """The word places of a slice: ``words`` (language number, word) and, of every place, ``at`` (its word) and ``left`` (places to its piece's end)."""
+
+    def __init__(self, langs: bytes, lang_of: bytes, sizes: bytes, body: bytes):
+        self.langs = _parted(langs)
+        at: list[int] = []
+        lengths: list[int] = []
+        held, begin = zlib.decompress(body), 0
+        known: list[dict[str, int]] = [{} for _ in self.langs]  # the languages' words are numbered apart
+        self.words: list[tuple[int, str]] = []
+        for lang, size in zip(np.frombuffer(lang_of, "<u4").tolist(), np.frombuffer(sizes, "<u8").tolist()):
+            numbers = known[lang]
+            for piece in PIECE_BREAKS.split(held[begin : begin + size].decode().replace("\t", " ")):
+                found = [w for w in piece.split(" ") if w]
+                if not found:
+                    continue
+                for w in found:
+                    k = numbers.get(w)
+                    if k is None:
+                        k = numbers[w] = len(self.words)
+                        self.words.append((lang, w))
+                    at.append(k)
+                lengths.append(len(found))
+            begin += size
+        self.at = np.array(at, np.int64)
+        ends = np.cumsum(lengths)
+        self.left = np.repeat(ends, lengths) - np.arange(len(at))
+        seeds = [zlib.crc32(x.encode()) for x in self.langs]
+        texts = pd.util.hash_array(np.array([w for _, w in self.words], object), categorize=False) if self.words else np.zeros(0, np.uint64)
+        own = np.array([seeds[k] for k, _ in self.words], np.uint64)
+        self.hash = _mixed(texts + own * _OFFSET)
+
+    def keys(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes, of so many bits, of the word of every place and of the pair that begins there; a place without one has the word's."""
+        one = self.hash[self.at]
+        two = one.copy()
+        begin = np.flatnonzero(self.left > 1)
+        two[begin] = _mixed(one[begin] * np.uint64(3) + one[begin + 1] + _OFFSET)
+        down = np.uint64(64 - bits)
+        return one >> down, two >> down
+
+    def distinct(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct hashes in order, their counts, and for every place the places of its word and its pair among them."""
+        one, two = self.keys(bits)
+        paired = self.left > 1
+        found, place, counts = np.unique(np.concatenate([one, two[paired]]), return_inverse=True, return_counts=True)
+        second = place[: len(one)].copy()
+        second[paired] = place[len(one) :]
+        return found, counts, place[: len(one)], second
+
+
+_BODY = ["langs", "lang_of", "sizes", "body"]
+
+
+def _asking(buckets: int, least: int):
+    """The distinct hashes of a slice with their counts, by bucket (their upper bits); only the lower 32 bits are sent."""
+    bits, most = 32 + buckets.bit_length() - 1, min(least, 255)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for number, *rest in zip(pdf["slice"], *[pdf[c] for c in _BODY]):
+                found, counts, _, _ = _Places(*rest).distinct(bits)
+                counts = np.minimum(counts, most).astype(np.uint8) if least <= 255 else np.minimum(counts, 2**31).astype("<u4")
+                cuts = np.searchsorted(found >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+                low = found.astype("<u4")
+                rows = [(k, number, low[a:b].tobytes(), counts[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+                yield pd.DataFrame(rows, columns=["bucket", "slice", "keys", "counts"])
+
+    return run
+
+
+def _answering(least: int):
+    """The bits of every slice in one bucket: does the hash occur ``least`` times over all slices?"""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys = np.concatenate([np.frombuffer(x, "<u4") for x in pdf["keys"]])
+        counts = np.concatenate([np.frombuffer(x, np.uint8 if least <= 255 else "<u4") for x in pdf["counts"]])
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        enough = np.add.reduceat(counts, starts, dtype=np.int64) >= least
+        answer = np.empty(len(keys), bool)
+        answer[order] = np.repeat(enough, np.diff(np.append(starts, len(keys))))
+        ends = np.cumsum([len(x) // 4 for x in pdf["keys"]])
+        return pd.DataFrame({
+            "slice": pdf["slice"], "bucket": pdf["bucket"],
+            "bits": [np.packbits(answer[a:b]).tobytes() for a, b in zip([0, *ends[:-1]], ends)],
+        })
+
+    return run
+
+
+def _telling(buckets: int):
+    """Phrases of a slice whose words and pairs all have their bits, with their counts; size 0 holds the number of words of a language."""
+    bits = 32 + buckets.bit_length() - 1
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for answers, *rest in zip(pdf["answers"], *[pdf[c] for c in _BODY]):
+                places = _Places(*rest)
+                if not len(places.at):
+                    continue
+                found, _, first, second = places.distinct(bits)
+                cuts = np.searchsorted(found >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+                enough = np.zeros(len(found), bool)
+                for r in answers:
+                    a, b = cuts[r["bucket"]], cuts[r["bucket"] + 1]
+                    enough[a:b] = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=b - a)
+                yield from _phrases(places, enough[first], enough[second] & (places.left > 1))
+
+    return run
 
 
-def piece_words(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, w): the words of every piece that has some; A-Z lower-cased, NULL texts have none, NULL languages are ``und``."""
-    text = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), UPPER, LOWER)
-    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN_LANG))
-    pieces = docs.select(lang.alias("lang"), F.explode(F.split(text, PIECE_BREAKS, -1)).alias("piece"))
-    words = pieces.select("lang", F.filter(F.split("piece", BLANKS, -1), lambda w: w != "").alias("w"))
-    return words.where(F.size("w") > 0)
+def _phrases(places: _Places, single: np.ndarray, pair: np.ndarray) -> Iterator[pd.DataFrame]:
+    words, at = places.words, places.at
+    lang = np.array([k for k, _ in words])
+    out = [(places.langs[k], "", 0, int(n)) for k, n in zip(*np.unique(lang[at], return_counts=True))]
+    following = np.append(pair[1:], False)
+    for size, begin in ((1, single), (2, pair), (3, pair & following & (places.left > 2))):
+        spots = np.flatnonzero(begin)
+        if not len(spots):
+            continue
+        rows = np.stack([at[spots + k] for k in range(size)])
+        order = np.lexsort(rows[::-1])
+        rows = rows[:, order]
+        starts = np.flatnonzero(np.concatenate(([True], (rows[:, 1:] != rows[:, :-1]).any(axis=0))))
+        for key, n in zip(rows[:, starts].T.tolist(), np.diff(np.append(starts, len(spots))).tolist()):
+            out.append((places.langs[words[key[0]][0]], " ".join([words[k][1] for k in key]), size, n))
+    yield pd.DataFrame(out, columns=["lang", "phrase", "size", "f"])
 
 
-def phrase_counts(words: DataFrame, least: int = LEAST) -> DataFrame:
+def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST) -> DataFrame:
     """(lang, phrase, size, f): phrases of one to three words that occur ``least`` times or more; size 0 holds the number of words.
 
-    The stream of distinct (w1, w2, w3) with their counts is rolled up in prefix order, so every phrase is counted at the places
-    where it begins. A triple whose w2 or w3 is NULL is a place near the end of a piece and adds to the shorter phrases only.
+    A-Z are lower-cased, NULL texts have no words, NULL languages are ``und``. The slices are written once, as both passes must see
+    the same ones; a slice is named by the row number of its first text.
     """
-    places = words.select("lang", F.inline(F.transform("w", lambda x, i: F.struct(
-        x.alias("w1"), F.get(F.col("w"), i + 1).alias("w2"), F.get(F.col("w"), i + 2).alias("w3")))))
-    triples = places.groupBy("lang", "w1", "w2", "w3").agg(F.count(F.lit(1)).alias("c"))
-    stream = triples.rollup("lang", "w1", "w2", "w3").agg(F.sum("c").alias("f"), F.grouping_id().alias("g"))
-    size = F.when(F.col("g") == 0, 3).when(F.col("g") == 1, 2).when(F.col("g") == 3, 1).when(F.col("g") == 7, 0)
-    real = (F.col("g") == 7) | ((F.col("g") == 3) | F.col("w2").isNotNull()) & ((F.col("g") != 0) | F.col("w3").isNotNull())
-    counted = stream.where(F.col("g") != 15).where(real).select(
-        "lang", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), size.alias("size"), F.col("f").cast("long").alias("f"))
+    text, lang = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN_LANG))
+    rows = docs.select(F.monotonically_increasing_id().alias("n"), lang.alias("lang"), text.alias("text"))
+    slices = write_once(rows.mapInPandas(_sliced, _SLICES), "slices")
+    total = slices.agg(F.sum(F.length("body"))).first()[0] or 0
+    buckets = 1 << max(4, int(3 * total // PER_BUCKET).bit_length())
+    asked = slices.mapInPandas(_asking(buckets, least), _ASKED)
+    answers = asked.groupBy("bucket").applyInPandas(_answering(least), _ANSWER)
+    by_slice = answers.groupBy("slice").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
+    told = slices.join(by_slice.hint("merge"), "slice").mapInPandas(_telling(buckets), "lang string, phrase string, size int, f long")
+    counted = told.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f"))
     return counted.where((F.col("f") >= least) | (F.col("size") == 0))
 
 
@@ -78,7 +264,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     NULL texts have no words; NULL languages are ``und``; repeated rows count as often as they occur; other columns are not looked
     at; an empty table or one without candidates gives an empty result.
     """
-    counts = write_once(phrase_counts(piece_words(docs, text_col, lang_col), least), "phrase-counts")
+    counts = write_once(phrase_counts(docs, text_col, lang_col, least), "phrase-counts")
     totals = counts.where("size = 0").select("lang", F.col("f").alias("n"))
     candidates = counts.where("size >= 2").select("lang", "phrase", F.col("f").alias("a"), F.split("phrase", " ").alias("w"))
     cuts = candidates.select("lang", "phrase", "a", "w", F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("k")).select(
