@@ -5,8 +5,8 @@ Texts are written once in slices of some million characters. Each slice sends th
 with their counts, four bytes and one a pair, to the bucket of the hash; the bucket adds the counts up over all slices and answers
 every slice with one bit a pair: may occur ``least`` times or not. Words get their bits in the same way. Pairs that share a hash
 are added together, so a bit can be set too often but never be missing. A slice then sends its phrases of one to three words whose
-words and pairs all have their bits, as text with exact counts, and Spark adds those up; whatever occurs less than ``least`` times goes
-there. Nothing is left out: counts of phrases that stay are over all their places.
+words and pairs all have their bits, as packed text with exact counts, again by bucket, where they are added up; whatever occurs less
+than ``least`` times goes there. Nothing is left out: counts of phrases that stay are over all their places.
 
 A candidate's cuts then meet their parts: the left parts (which begin where the phrase begins) in prefix order, the right
 parts (which end where it ends) in suffix order, and three-word candidates meet their two-word parts, which gives the
@@ -189,7 +189,7 @@ def _answering(least: int):
 
 
 def _telling(buckets: int):
-    """Phrases of a slice whose words and pairs all have their bits, with their counts; size 0 holds the number of words of a language."""
+    """Phrases of a slice whose words and pairs all have their bits, with their counts, by language and bucket."""
     bits = 32 + buckets.bit_length() - 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -204,15 +204,21 @@ def _telling(buckets: int):
                 for r in answers:
                     a, b = cuts[r["bucket"]], cuts[r["bucket"] + 1]
                     enough[a:b] = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=b - a)
-                yield from _phrases(places, enough[first], enough[second] & (places.left > 1))
+                at = (found >> np.uint64(32)).astype(np.int64)
+                yield _phrases(places, enough[first], enough[second] & (places.left > 1), at[first], at[second])
 
     return run
 
 
-def _phrases(places: _Places, single: np.ndarray, pair: np.ndarray) -> Iterator[pd.DataFrame]:
+def _phrases(places: _Places, single: np.ndarray, pair: np.ndarray, one: np.ndarray, two: np.ndarray) -> pd.DataFrame:
+    """The phrases at the places that ``single`` and ``pair`` mark, packed by language and bucket (``one`` for words, ``two`` for longer ones).
+
+    Phrases that begin alike follow one another, so they pack well. The empty phrase holds the number of words of a language.
+    """
     words, at = places.words, places.at
     lang = np.array([k for k, _ in words])
-    out = [(places.langs[k], "", 0, int(n)) for k, n in zip(*np.unique(lang[at], return_counts=True))]
+    held, totals = np.unique(lang[at], return_counts=True)
+    texts, counts, langs, buckets = [""] * len(held), [totals], [held], [np.zeros(len(held), np.int64)]
     following = np.append(pair[1:], False)
     for size, begin in ((1, single), (2, pair), (3, pair & following & (places.left > 2))):
         spots = np.flatnonzero(begin)
@@ -222,9 +228,34 @@ def _phrases(places: _Places, single: np.ndarray, pair: np.ndarray) -> Iterator[
         order = np.lexsort(rows[::-1])
         rows = rows[:, order]
         starts = np.flatnonzero(np.concatenate(([True], (rows[:, 1:] != rows[:, :-1]).any(axis=0))))
-        for key, n in zip(rows[:, starts].T.tolist(), np.diff(np.append(starts, len(spots))).tolist()):
-            out.append((places.langs[words[key[0]][0]], " ".join([words[k][1] for k in key]), size, n))
-    yield pd.DataFrame(out, columns=["lang", "phrase", "size", "f"])
+        texts += [" ".join([words[k][1] for k in key]) for key in rows[:, starts].T.tolist()]
+        counts.append(np.diff(np.append(starts, len(spots))))
+        langs.append(lang[rows[0, starts]])
+        buckets.append((one if size == 1 else two)[spots[order[starts]]])
+    count, lang, bucket = (np.concatenate(x) for x in (counts, langs, buckets))
+    order = np.lexsort((bucket, lang))
+    cuts = np.flatnonzero(np.diff(lang[order]) | np.diff(bucket[order])) + 1
+    out = []
+    for some in np.split(order, cuts):
+        body = "\n".join([texts[k] for k in some.tolist()]).encode()  # no word holds a line feed, and no phrase of words is empty
+        out.append((places.langs[lang[some[0]]], int(bucket[some[0]]), zlib.compress(body, 1), zlib.compress(count[some].astype("<u8").tobytes(), 1)))
+    return pd.DataFrame(out, columns=["lang", "bucket", "phrases", "counts"])
+
+
+def _adding(least: int):
+    """Exact counts of the phrases of one language and bucket over all slices."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        f: dict[str, int] = {}
+        for body, counts in zip(pdf["phrases"], pdf["counts"]):
+            for p, n in zip(zlib.decompress(body).decode().split("\n"), np.frombuffer(zlib.decompress(counts), "<u8").tolist()):
+                f[p] = f.get(p, 0) + n
+        rows = [(p, p.count(" ") + 1 if p else 0, n) for p, n in f.items() if n >= least or not p]
+        out = pd.DataFrame(rows, columns=["phrase", "size", "f"])
+        out.insert(0, "lang", pdf["lang"].iloc[0])
+        return out
+
+    return run
 
 
 def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST) -> DataFrame:
@@ -241,9 +272,8 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     asked = slices.mapInPandas(_asking(buckets, least), _ASKED)
     answers = asked.groupBy("bucket").applyInPandas(_answering(least), _ANSWER)
     by_slice = answers.groupBy("slice").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
-    told = slices.join(by_slice.hint("merge"), "slice").mapInPandas(_telling(buckets), "lang string, phrase string, size int, f long")
-    counted = told.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f"))
-    return counted.where((F.col("f") >= least) | (F.col("size") == 0))
+    told = slices.join(by_slice.hint("merge"), "slice").mapInPandas(_telling(buckets), "lang string, bucket int, phrases binary, counts binary")
+    return told.groupBy("lang", "bucket").applyInPandas(_adding(least), "lang string, phrase string, size int, f long")
 
 
 def exact_score(a: str = "a", l: str = "l", r: str = "r") -> Column:

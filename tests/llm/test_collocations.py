@@ -63,3 +63,14 @@ def test_collocations_of_messy_and_empty_tables(spark):
 def test_scores_are_exact_beyond_64_bits(spark):
     df = spark.createDataFrame([(10**12, 10**12 + 1, 10**12 + 3)], "a long, l long, r long")
     assert df.select(collocations.exact_score().alias("s")).first()["s"] == 10**6 * 10**24 // ((10**12 + 1) * (10**12 + 3))
+
+
+def test_only_phrases_of_frequent_pairs_are_sent_as_text(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "SLICE", 300)  # many slices, each with a part of the counts
+    monkeypatch.setattr(collocations, "PER_BUCKET", 500)
+    r = random.Random(9)
+    rows = [(" ".join(f"rare{r.randint(0, 10**6)}" if r.random() < 0.6 else r.choice(["new", "york", "city", "\u00e9t\u00e9"]) for _ in range(30)), r.choice(["en", None])) for _ in range(200)]
+    df = spark.createDataFrame([(i, t, lang, 0, 0, "s", "c", 0, "k") for i, (t, lang) in enumerate(rows)], SCHEMA).repartition(5)
+    assert got(collocations.collocations(df, least=6)) == plain(rows, 6, 2000)
+    plan = collocations.phrase_counts(df, least=6)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan and "Generate" not in plan  # no row for each place of a word
