@@ -46,7 +46,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' token ids, packed into sequences of 2048."""
-    return pack_documents(docs)
+    return pack_documents(docs, remember=False)  # workers stay for the stages of a next run, which need the memory
 
 
 STAGES = [

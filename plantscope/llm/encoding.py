@@ -48,9 +48,10 @@ class Encoder:
         self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
         self.edge[[i for t, i in vocabulary.items() if (t[:1] == "Ġ" if self.by_bytes else t[-4:] == "</w>")]] = True
         self.mark = {t: self.tokenizer.encode(t, add_special_tokens=False).ids[0] for t in (".", ",")}
-        self._forget()
+        self.forget()
 
-    def _forget(self):
+    def forget(self):
+        """Drops all remembered parts."""
         self.numbers = _Numbers()
         self.start, self.size, self.flat = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
         self.end = 0
@@ -131,7 +132,7 @@ class Encoder:
 
     def _settle(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.numbers) > REMEMBERED:
-            self._forget()
+            self.forget()
         n = len(self.numbers)
         parts = [self.units(t) for t in texts]
         at = np.fromiter(map(self.numbers.__getitem__, itertools.chain.from_iterable(parts)), np.int64)

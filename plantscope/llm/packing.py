@@ -68,7 +68,9 @@ def best_fit(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int
     return out, bins
 
 
-def pieces_of(path: str, capacity: int):
+def pieces_of(path: str, capacity: int, remember: bool = True):
+    """Pieces of every text; unless ``remember``, the worker drops the parts it has encoded when the task ends."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(path)
         for pdf in batches:
@@ -81,6 +83,8 @@ def pieces_of(path: str, capacity: int):
             out = pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32"])
             out["id"] = out["id"].astype("Int64")
             yield out
+        if not remember:
+            enc.forget()
 
     return run
 
@@ -123,15 +127,16 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.select("id", "piece", "start", "length", "ids_crc32", "rank").mapInPandas(assigned(matches), PIECES + ", sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = WORD_BPE, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = WORD_BPE, capacity: int = CAPACITY, remember: bool = True) -> DataFrame:
     """(id_col, piece, start, length, ids_crc32, sequence_id, offset): one row for each piece of each row of ``docs``.
 
     A text's ids end in id 0; texts of more than ``capacity`` ids are cut into pieces of that many, the last may be shorter. NULL and empty
     texts are the end id alone. Ids may be NULL or repeat: every row is packed. Sequences are filled without gaps from offset
-    0. Other columns are not looked at; an empty table gives an empty result.
+    0. Other columns are not looked at; an empty table gives an empty result. ``remember``: idle workers keep the parts of texts
+    they have encoded for later tasks; without it their memory is free for other work between tasks.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return packed(rows.mapInPandas(pieces_of(path, capacity), PIECES), capacity).withColumnRenamed("id", id_col)
+    return packed(rows.mapInPandas(pieces_of(path, capacity, remember), PIECES), capacity).withColumnRenamed("id", id_col)
 
 
 @query("op9_best_fit_packing")
