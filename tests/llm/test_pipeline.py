@@ -82,3 +82,17 @@ def test_near_dedup_keeps_different_texts_under_one_id(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted((r["doc_id"] or 0, r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, None).collect())
     assert got == sorted({(r[0] or 0, r[1]) for r in rows})
+
+
+def test_packing_stage_leaves_no_parts_in_idle_workers():
+    import pandas as pd
+
+    from plantscope.llm import packing
+    from plantscope.llm.encoding import encoder
+
+    rows = pd.DataFrame({"id": [1, 2], "text": ["some words here", None]})
+    kept = list(packing.pieces_of(WORD_BPE, 2048)(iter([rows])))
+    assert len(encoder(WORD_BPE).numbers) > 0
+    dropped = list(packing.pieces_of(WORD_BPE, 2048, remember=False)(iter([rows])))
+    assert len(encoder(WORD_BPE).numbers) == 0
+    pd.testing.assert_frame_equal(kept[0], dropped[0])
