@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from py4j.protocol import Py4JJavaError
 
 from plantscope.functions.numeric import band, clean
+from plantscope.operators.tree_cells import CellSource, cell_learner, fit_on_cells
 from plantscope.session import local_table, materialize, scratch_dir, spread
 
 FEATURES, LABEL, PREDICTION = "features", "label", "prediction"
@@ -117,7 +118,13 @@ def rows_key(df: DataFrame) -> str:
     return hashlib.sha1(f"{plan}|{sorted(df.inputFiles())}".encode()).hexdigest()
 
 
-def fit_once(learner: Estimator, train: DataFrame, rows: str | None = None) -> Model:
+def fit(learner: Estimator, train: DataFrame, source: CellSource | None = None) -> Model:
+    """``learner`` fitted on ``train``; tree learners on its cells (``tree_cells.py``), made here unless ``source`` holds them."""
+    cells = (source or CellSource(train)).get(learner.getMaxBins()) if cell_learner(learner) else None
+    return learner.fit(train) if cells is None else fit_on_cells(learner, cells)
+
+
+def fit_once(learner: Estimator, train: DataFrame, rows: str | None = None, source: CellSource | None = None) -> Model:
     """``learner`` fitted on ``train``, or read back from the shared folder where the same learner was fitted on the same rows before.
 
     The key is a hash of ``rows`` (by default :func:`rows_key` of ``train``) and every parameter of the learner; models are written whole, so a model
@@ -133,7 +140,7 @@ def fit_once(learner: Estimator, train: DataFrame, rows: str | None = None) -> M
     fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
     if fs.exists(hadoop):
         return kind.load(f"{path}/model")
-    model = learner.fit(train)
+    model = fit(learner, train, source)
     model.write().overwrite().save(f"{path}/model")
     fs.create(hadoop, True).close()
     return model
@@ -149,18 +156,19 @@ def benchmark(train: DataFrame, test: DataFrame, roster: Mapping[str, Estimator]
     spark = train.sparkSession
     rows = rows_key(train)
     train = spread(train).persist()
+    source = CellSource(train)
     models: dict[str, Model | None] = {}
     try:
-        def fit(item):
+        def trained(item):
             name, learner = item
             try:
-                return name, fit_once(learner, train, rows)
+                return name, fit_once(learner, train, rows, source)
             except LEARNER_ERRORS as error:  # a broken learner must not end the comparison
                 warnings.warn(f"{name} could not be trained: {str(error)[:300]}")
                 return name, None
 
         with ThreadPoolExecutor(max_workers=max(1, len(roster))) as pool:
-            models = dict(pool.map(fit, roster.items()))
+            models = dict(pool.map(trained, roster.items()))
         failed = [name for name, m in models.items() if m is None]
         mean = float(train.agg(F.avg(LABEL)).first()[0] or 0.0) if failed else 0.0
     finally:
