@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import islice
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plantscope.functions.numeric import all_of, any_of, clean, equal_width_bin
+from plantscope.functions.numeric import all_of, clean, equal_width_bin
 from plantscope.operators.cleaning import numeric_columns
 from plantscope.operators.gram import gram_by
 from plantscope.operators.quantiles import exact_quantiles
-from plantscope.session import local_table
+from plantscope.session import local_table, materialize
 
 SCENARIOS_AT_ONCE = 64
 SALTS = 64
@@ -45,36 +45,47 @@ def case_scale(df: DataFrame, numeric: Sequence[str]) -> dict[str, float]:
     return {c: row[f"s{i}"] if row[f"s{i}"] and row[f"s{i}"] > 1e-12 else 1.0 for i, c in enumerate(numeric)}
 
 
-def distance_to(
-    scenario: Mapping[str, object], scale: Mapping[str, float], categorical: Sequence[str] = (), metric: str = "L2",
-    cat_weight: float = 1.0,
-) -> Column:
-    """Distance of a row to one scenario; NULL when a needed number is missing in the row.
+def _away(
+    df: DataFrame, chunk: Sequence[Mapping[str, object]], scale: Mapping[str, float], categorical: Sequence[str] = (), metric: str = "L2",
+    cat_weight: float = 1.0, extra: Mapping[str, Sequence[object]] | None = None,
+) -> DataFrame:
+    """Every row next to every scenario of ``chunk``: the columns, ``scenario_id``, the ``extra`` doubles by scenario, and ``distance``.
 
-    Numbers are compared in deviations, categories count ``cat_weight`` when they
-    differ or are missing. Columns the scenario leaves open are skipped.
+    Numbers are compared in deviations, categories count ``cat_weight`` when they differ or are missing. Columns a scenario leaves
+    open are skipped; the distance is NULL when a needed number is missing in the row. Scenarios are one array of constants, so the
+    generated code holds one distance and not one for each of them (methods of many distances are too long for the JVM to compile).
     """
-    gaps, known = [], []
-    for c, s in scale.items():
-        q = scenario.get(c)
-        if q is None or q != q:
-            continue
-        x = clean(F.col(f"`{c}`"))
-        gap = (x - F.lit(float(q))) / F.lit(float(s))
-        gaps.append(F.abs(gap) if metric.upper() == "L1" else gap * gap)
-        known.append(x.isNotNull())
-    total = F.lit(0.0)
-    for g in gaps:
-        total = total + g
+
+    def open_at(s, c):
+        return s.get(c) is None or s[c] != s[c]
+
+    asked = [c for c in scale if not all(open_at(s, c) for s in chunk)]
+    named = [c for c in categorical if not all(open_at(s, c) for s in chunk)]
+    extra = extra or {}
+    marks = F.array(*[
+        F.struct(
+            F.lit(s["scenario_id"]).alias("scenario_id"),
+            *[F.lit(None if open_at(s, c) else float(s[c])).cast("double").alias(f"_q{j}") for j, c in enumerate(asked)],
+            *[F.lit(None if open_at(s, c) else str(s[c])).cast("string").alias(f"_n{j}") for j, c in enumerate(named)],
+            *[F.lit(values[i]).cast("double").alias(name) for name, values in extra.items()],
+        )
+        for i, s in enumerate(chunk)
+    ])
+    wide = df.select("*", *[clean(F.col(f"`{c}`")).alias(f"_x{j}") for j, c in enumerate(asked)])
+    long = wide.select("*", F.inline(marks))
+    total, known = F.lit(0.0), []
+    for j, c in enumerate(asked):
+        x, q = F.col(f"_x{j}"), F.col(f"_q{j}")
+        gap = (x - q) / F.lit(float(scale[c]))
+        total = total + F.when(q.isNull(), 0.0).otherwise(F.abs(gap) if metric.upper() == "L1" else gap * gap)
+        known.append(q.isNull() | x.isNotNull())
     if metric.upper() != "L1":
         total = F.sqrt(total)
-    for c in categorical:
-        q = scenario.get(c)
-        if q is None or q != q:
-            continue
-        same = F.col(f"`{c}`").cast("string").eqNullSafe(F.lit(str(q)))
-        total = total + F.when(same, 0.0).otherwise(float(cat_weight))
-    return F.when(all_of(known), total)
+    for j, c in enumerate(named):
+        q = F.col(f"_n{j}")
+        total = total + F.when(q.isNull() | F.col(f"`{c}`").cast("string").eqNullSafe(q), 0.0).otherwise(float(cat_weight))
+    out = long.withColumn("distance", F.when(all_of(known), total) if known else total)
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], "scenario_id", *extra, "distance")
 
 
 def _chunks(scenarios: DataFrame, size: int) -> Iterator[list[dict]]:
@@ -99,15 +110,53 @@ def case_distances(
     scale = case_scale(df, numeric)
     parts = []
     for chunk in _chunks(scenarios, SCENARIOS_AT_ONCE):
-        marks = [
-            F.struct(F.lit(s["scenario_id"]).alias("scenario_id"),
-                     distance_to(s, scale, categorical, metric, cat_weight).alias("distance"))
-            for s in chunk
-        ]
-        parts.append(df.select(*keep, F.inline(F.array(*marks))))
+        parts.append(_away(df, chunk, scale, categorical, metric, cat_weight).select(*keep, "scenario_id", "distance"))
     return _union(parts)
 
 
+@dataclass(frozen=True)
+class Reach:
+    """Deviations by column, and the scenarios in chunks with the best distance of each."""
+
+    scale: Mapping[str, float]
+    categorical: tuple[str, ...]
+    metric: str
+    cat_weight: float
+    chunks: tuple[tuple[list[dict], list[float | None]], ...]
+
+    def away(self, df: DataFrame, chunk: Sequence[dict], **extra: Sequence[float | None]) -> DataFrame:
+        """Rounded distances, so that equal ones tie whatever the order of the additions."""
+        long = _away(df, chunk, self.scale, self.categorical, self.metric, self.cat_weight, extra)
+        return long.withColumn("distance", F.rint(F.col("distance") * 1e12) / 1e12)
+
+    def within(self, df: DataFrame, alpha: float | None = None, delta: float | None = None) -> DataFrame:
+        """Rows next to each scenario inside its limit: the columns, ``scenario_id, d_best, distance``."""
+        parts = []
+        for chunk, best in self.chunks:
+            limits = []
+            for b in best:
+                some = [b * (1 + alpha)] if b is not None and alpha is not None else []
+                some += [b + delta] if b is not None and delta is not None else []
+                limits.append(None if b is None else min(some, default=float("inf")))
+            near = self.away(df, chunk, d_best=best, _limit=limits)
+            parts.append(near.where(F.col("distance") <= F.col("_limit")).drop("_limit"))
+        return _union(parts)
+
+
+def case_reach(
+    df: DataFrame, scenarios: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (), metric: str = "L2", cat_weight: float = 1.0
+) -> Reach:
+    """Deviations and best distances, from one scan each (one more for every further chunk of scenarios)."""
+    reach = Reach(case_scale(df, numeric), tuple(categorical), metric, cat_weight, ())
+    chunks = []
+    for chunk in _chunks(scenarios, SCENARIOS_AT_ONCE):
+        numbered = [s | {"scenario_id": i} for i, s in enumerate(chunk)]  # scenarios may share an id
+        found = reach.away(df, numbered).groupBy("scenario_id").agg(F.min("distance").alias("best")).collect()
+        best = {r["scenario_id"]: r["best"] for r in found}
+        chunks.append((chunk, [best.get(i) for i in range(len(chunk))]))
+    return replace(reach, chunks=tuple(chunks))
+
+
 def nearest_cases(
     df: DataFrame, scenarios: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (),
     order: Sequence[str] = (), metric: str = "L2", cat_weight: float = 1.0, k_max: int = 500, k_cap: int = 80,
@@ -120,31 +169,27 @@ def nearest_cases(
     best distance of every scenario, the second emits only rows inside the
     limit, and ranking is done in salted groups before the last few meet.
     """
-    scale = case_scale(df, numeric)
-    most = min(k_max, k_cap)
-    everything = [F.col(f"`{c}`") for c in df.columns]
-    parts = []
-    for chunk in _chunks(scenarios, SCENARIOS_AT_ONCE):
-        # Rounded, so that equal distances tie whatever the order of the additions.
-        away = [F.rint(distance_to(s, scale, categorical, metric, cat_weight) * 1e12) / 1e12 for s in chunk]
-        best = df.agg(*[F.min(d).alias(f"d{i}") for i, d in enumerate(away)]).first()
-        marks, reached = [], []
-        for i, (s, d) in enumerate(zip(chunk, away)):
-            if best[i] is None:
-                continue
-            limits = [best[i] * (1 + alpha)] if alpha is not None else []
-            limits += [best[i] + delta] if delta is not None else []
-            inside = d <= F.lit(min(limits)) if limits else d.isNotNull()
-            mark = F.struct(F.lit(s["scenario_id"]).alias("scenario_id"), d.alias("distance"), F.lit(best[i]).alias("d_best"))
-            marks.append(F.when(inside, mark))
-            reached.append(inside)
-        if not marks:
-            marks = [F.when(F.lit(False), F.struct(F.lit(chunk[0]["scenario_id"]).alias("scenario_id"),
-                                                   F.lit(0.0).alias("distance"), F.lit(0.0).alias("d_best")))]
-        # Rows out of reach of every scenario go before the others are spread out.
-        near = df.where(any_of(reached)).select("*", F.inline(F.array(*marks))).where(F.col("scenario_id").isNotNull())
-        parts.append(near.withColumn("_salt", F.pmod(F.xxhash64(*everything), F.lit(SALTS))))
-    near = _union(parts)
+    reach = case_reach(df, scenarios, numeric, categorical, metric, cat_weight)
+    return _ranked(reach.within(df, alpha, delta), df.columns, order, min(k_max, k_cap))
+
+
+def nearest_by_preset(
+    df: DataFrame, scenarios: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (), order: Sequence[str] = (),
+    presets: Mapping[str, Mapping[str, float]] = PRESETS,
+) -> dict[str, DataFrame]:
+    """:func:`nearest_cases` for every preset, in as many scans as for one: what is inside the widest limit is written once."""
+    reach = case_reach(df, scenarios, numeric, categorical)
+    inside = materialize(reach.within(df, max(p["alpha"] for p in presets.values())), "inside")
+    return {
+        name: _ranked(inside.where(F.col("distance") <= F.col("d_best") * F.lit(1 + p["alpha"])), df.columns, order, min(p["k_max"], p["k_cap"]))
+        for name, p in presets.items()
+    }
+
+
+def _ranked(near: DataFrame, columns: Sequence[str], order: Sequence[str], most: int) -> DataFrame:
+    """The first ``most`` rows of every scenario among those of :meth:`Reach.within`."""
+    near = near.select(*[F.col(f"`{c}`") for c in columns], "scenario_id", "distance", "d_best")
+    near = near.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in columns]), F.lit(SALTS)))
     ties = ["distance", *order]
     within = Window.partitionBy("scenario_id", "_salt").orderBy(*ties)
     last = Window.partitionBy("scenario_id").orderBy(*ties)

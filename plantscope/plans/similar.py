@@ -85,9 +85,9 @@ def _counts(name: str) -> str:
 
 @query("exploration_presets", " union all ".join(f"({_counts(p)})" for p in cases.PRESETS))
 def exploration_presets(spark, sf):
-    out = None
-    for name in cases.PRESETS:
-        near = _nearest(spark, sf, name).groupBy("scenario_id").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("reach"))
+    df, out = views.process(spark, sf).drop("l_linestatus"), None
+    for name, found in cases.nearest_by_preset(df, views.scenarios(spark), X, FLAG, order=ORDER).items():
+        near = found.groupBy("scenario_id").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("reach"))
         near = near.select(F.lit(name).alias("preset"), "scenario_id", "n", "reach")
         out = near if out is None else out.unionByName(near)
     return rounded(out, 8, "reach")
