@@ -18,20 +18,18 @@ from __future__ import annotations
 import threading
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
-from operator import add
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.ml import Estimator, Model
+from pyspark.ml.feature import Bucketizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plantscope.functions.numeric import clean
-from plantscope.operators.quantiles import exact_quantiles
 from plantscope.session import materialize, scratch_path
 
 FEATURES, LABEL = "features", "label"
@@ -82,18 +80,30 @@ class Cells:
 
 def _bin_values(df: DataFrame, cols: list[str], bins: int) -> tuple[tuple[float, ...], ...] | None:
     """All values of a column with at most ``bins`` of them, else the middles of ``bins`` equal shares of its rows. Empty columns have none."""
-    about = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
-    found: dict[str, list[float]] = {}
+    shares = [(k + 0.5) / bins for k in range(bins)]
+    about = df.agg(
+        *[F.approx_count_distinct(c).alias(c) for c in cols], *[F.percentile_approx(c, shares, F.lit(10_000)).alias(f"q_{c}") for c in cols]
+    ).first()
+    found = {c: about[f"q_{c}"] or [] for c in cols}
     for c in cols:
         if about[c] <= 4 * bins:
             some = [r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().limit(bins + 1).collect()]
             if len(some) <= bins:
                 found[c] = some
-    many = [c for c in cols if c not in found]
-    if many:
-        cuts = exact_quantiles(df, many, [(k + 0.5) / bins for k in range(bins)])
-        found |= {c: list(cuts[c].values()) for c in many}
-    return tuple(tuple(sorted({v + 0.0 for v in found[c]})) for c in cols)
+    return tuple(_apart(found[c]) for c in cols)
+
+
+def _apart(values: list[float]) -> tuple[float, ...]:
+    """The values in order, without those that no threshold can tell from the one before."""
+    out, last = [], -np.inf
+    for v in sorted(values):
+        middle = (out[-1] + v) / 2.0 if out else None
+        if middle is not None:
+            if not last < middle < v:
+                continue
+            last = middle
+        out.append(v + 0.0)
+    return tuple(out)
 
 
 def cells_of(train: DataFrame, bins: int) -> Cells | None:
@@ -109,13 +119,19 @@ def cells_of(train: DataFrame, bins: int) -> Cells | None:
     values = _bin_values(wide.select(*[clean(F.col(c)).alias(c) for c in cols]), cols, bins)
     if not all(values) or np.prod([float(len(v)) for v in values]) >= 2.0**62:
         return None
+    # a value equal to a threshold goes left, as it does in a fitted tree; one that is no number lies above every threshold
+    cuts = [np.nextafter((np.array(v[:-1]) + np.array(v[1:])) / 2.0, np.inf) for v in values]
+    split = {c: [-np.inf, *map(float, k), np.inf] for c, k in zip(cols, cuts) if len(k)}
+    binned = wide
+    if split:
+        outputs = [f"b_{c}" for c in split]
+        binned = Bucketizer(splitsArray=list(split.values()), inputCols=list(split), outputCols=outputs, handleInvalid="keep").transform(wide)
     cell, unit = F.lit(0).cast("long"), 1
-    for c, v in zip(cols, values):  # a cell that is no number lies above every threshold, as it does for a fitted tree
-        above = [(F.col(c) > F.lit((a + b) / 2.0)).cast("long") for a, b in zip(v, v[1:])]
-        if above:
-            cell = cell + reduce(add, above) * F.lit(unit)
+    for c, v in zip(cols, values):
+        if c in split:
+            cell = cell + F.least(F.col(f"b_{c}"), F.lit(len(split[c]) - 2.0)).cast("long") * F.lit(unit)
         unit *= len(v)
-    rows = wide.select(cell.alias("cell"), LABEL)
+    rows = binned.select(cell.alias("cell"), LABEL)
     table = materialize(rows.groupBy("cell").agg(F.avg(LABEL).alias(LABEL), F.count(F.lit(1)).cast("double").alias("weight")), "cells")
     count = table.count()
     return Cells(rows, table, count, values) if 1 < count <= MOST_CELLS else None

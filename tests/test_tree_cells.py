@@ -80,3 +80,12 @@ def test_rows_are_used_where_cells_do_not_serve(spark, monkeypatch):
     assert models.fit(models.random_forest(2, depth=2), train).getNumTrees == 2
     broken = models.assemble(local_table(spark, [(1.0, None), (2.0, 3.0)], "a double, y double"), ["a"], "y")
     assert tree_cells.cells_of(broken, 32) is None
+
+
+def test_values_next_to_each_other(spark):
+    values = [0.0, 1.0, float(np.nextafter(1.0, 2.0)), float(np.nextafter(np.nextafter(1.0, 2.0), 2.0)), 5.0]
+    kept = np.array(tree_cells._apart(values[::-1]))
+    middles = (kept[:-1] + kept[1:]) / 2.0
+    assert {0.0, 1.0, 5.0} <= set(kept) and (np.diff(middles) > 0).all() and (middles < kept[1:]).all()
+    train = models.assemble(local_table(spark, [(v, float(i)) for i, v in enumerate(values * 3)], "a double, y double"), ["a"], "y")
+    assert tree_cells.cells_of(train, 32).table.agg({"weight": "sum"}).first()[0] == 15
