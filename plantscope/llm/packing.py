@@ -136,7 +136,9 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     they have encoded for later tasks; without it their memory is free for other work between tasks.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return packed(rows.mapInPandas(pieces_of(path, capacity, remember), PIECES), capacity).withColumnRenamed("id", id_col)
+    # written first: the range partitioning reads its rows twice, for its sample and for the rows, and texts are to be encoded once
+    pieces = materialize(rows.mapInPandas(pieces_of(path, capacity, remember), PIECES), "encoded-pieces")
+    return packed(pieces, capacity).withColumnRenamed("id", id_col)
 
 
 @query("op9_best_fit_packing")

@@ -3,6 +3,7 @@ import bisect
 import gzip
 import hashlib
 import random
+import tempfile
 import zlib
 from collections import Counter
 
@@ -109,6 +110,21 @@ def test_packing_of_messy_documents(spark):
     assert packing.pack_documents(documents(spark, [])).count() == 0
 
 
+def test_packing_encodes_every_text_once(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def seen(batches):
+        for pdf in batches:
+            with tempfile.NamedTemporaryFile("w", dir=folder, delete=False) as f:
+                f.write(str(len(pdf)))
+            yield pdf
+
+    rows = [(i, f"text {i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).mapInPandas(seen, "doc_id long, text string")
+    assert packing.pack_documents(docs).count() == len(rows)
+    assert sum(int(f.read_text()) for f in tmp_path.iterdir()) == len(rows)
+
+
 def pages():
     rows = [(5, "http://a/x", "<p>same</p>"), (3, "http://a/y y", "<p>same</p>"), (9, None, "<p>same</p>"), (1, "u", None), (2, "u", ""), (4, "v", f"{warc.END}{warc.VERSION}{warc.END} é中"),
             (None, "w", "<p>same</p>"), (6, "long", "z" * 300_000), (3, "http://a/y y", "<p>same</p>"), (7, "", "other"), (7, "", "different")]
