@@ -19,6 +19,8 @@ BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 REMEMBERED = 2_000_000
 SLICE = 2_000_000
 _MARK = "\0"
+#: Neither an apostrophe, which may begin a contraction, nor what special tokens are made of.
+_SIGNS = ".,;:!?#$%&*"
 _WORD_STARTS = re.compile(r"(?<=\S)(?= )")
 
 
@@ -47,7 +49,6 @@ class Encoder:
         # ids that begin a word after a space, or end a word
         self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
         self.edge[[i for t, i in vocabulary.items() if (t[:1] == "Ġ" if self.by_bytes else t[-4:] == "</w>")]] = True
-        self.mark = {t: self.tokenizer.encode(t, add_special_tokens=False).ids[0] for t in (".", ",")}
         self.forget()
 
     def forget(self):
@@ -100,34 +101,31 @@ class Encoder:
 
     def _learn(self, n: int):
         new, self.numbers.new = self.numbers.new, []
-        # a comma or full stop after a letter is a pre-token of its own, so the word before it is encoded once for all
-        tails = [u[-1:] if u[-1:] in (".", ",") and u[-2:-1] < "\u0100" and u[-2:-1].isalpha() else "" for u in new]
-        stems: dict[str, int] = {}
-        of = np.fromiter((stems.setdefault(u[:-1] if t else u, len(stems)) for u, t in zip(new, tails)), np.int64, len(new))
-        words = list(stems)
+        # signs after a letter are a pre-token of their own, so the word before them is encoded once for all
+        stems = [s if (s := u.rstrip(_SIGNS))[-1:].isalpha() and s[-1:] < "\u0100" else u for u in new]
+        ended = np.fromiter(map(len, stems), np.int64, len(new)) < np.fromiter(map(len, new), np.int64, len(new))
+        alone = _MARK if self.by_bytes else ""
+        signs = [alone + new[k][len(stems[k]) :] for k in np.flatnonzero(ended)]
+        known: dict[str, int] = {}
+        at = np.arange(len(new)) + np.cumsum(ended) - ended  # where each part's words begin
+        of = np.zeros(len(new) + len(signs), np.int64)
+        of[at] = np.fromiter((known.setdefault(u, len(known)) for u in stems), np.int64, len(stems))
+        of[at[ended] + 1] = np.fromiter((known.setdefault(u, len(known)) for u in signs), np.int64, len(signs))
+        words = list(known)
         if self.by_bytes:
             words = [u[1:] if u[:1] == _MARK else " " + u for u in words]
         flat, sizes = self._flat(words)
-        marks = np.array([self.mark.get(t, 0) for t in tails], np.uint32)
-        ended = np.array([t != "" for t in tails], bool)
-        size = sizes[of] + ended
-        total = int(size.sum())
+        each = sizes[of]  # a part is one word, or one and its signs
+        total = int(each.sum())
+        out = flat[np.arange(total) + np.repeat((np.cumsum(sizes) - sizes)[of] - (np.cumsum(each) - each), each)]
+        size = np.add.reduceat(each, at)
         while n + len(new) > len(self.start):
             self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
         while self.end + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        ends = np.cumsum(size)
-        begin = ends - size
-        body = np.ones(total, bool)
-        body[ends[ended] - 1] = False
-        out = np.zeros(total, np.uint32)
-        stem = sizes[of]
-        first = np.cumsum(sizes) - sizes
-        out[body] = flat[np.arange(int(stem.sum())) + np.repeat(first[of] - (np.cumsum(stem) - stem), stem)]
-        out[~body] = marks[ended]
         self.flat[self.end : self.end + total] = out
         self.size[n : n + len(new)] = size
-        self.start[n : n + len(new)] = self.end + begin
+        self.start[n : n + len(new)] = self.end + np.cumsum(size) - size
         self.end += total
 
     def _settle(self, texts: list[str]) -> list[np.ndarray]:

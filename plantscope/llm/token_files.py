@@ -52,13 +52,15 @@ class Coder:
         self.freq = freq.astype(np.uint64)
         self.begin = np.cumsum(self.freq) - self.freq
         self.slot = np.repeat(np.arange(len(symbols)), freq)
+        self.place = np.zeros(int(symbols[-1]) + 1 if len(symbols) else 0, np.int32)  # by symbol; symbols are ids of a vocabulary
+        self.place[symbols] = np.arange(len(symbols))
 
     def encode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Words, first states, and the states and word places of the checkpoints, all in the order in which the decoder meets them.
 
         Symbol i is coded by lane i % LANES in step i // LANES; steps are coded from the last to the first.
         """
-        at = np.searchsorted(self.symbols, ids)
+        at = self.place[ids]
         steps = -(-len(ids) // LANES)
         state = np.full(LANES, _LOW, np.uint64)
         words, marks, sizes = [], [], []
@@ -105,28 +107,24 @@ def _width(enc) -> str:
     return "<u2" if len(enc.edge) <= 1 << 16 else "<u4"
 
 
-def _tokens(path: str, end_id: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(path)
-        for pdf in batches:
-            kind = _width(enc)
-            ids = [np.append(x, np.uint32(end_id)).astype(kind) for x in enc.encode(pdf["text"])]
-            out = pd.DataFrame({"id": pdf["id"].astype("Int64"), "n": [len(x) for x in ids], "ids": [x.tobytes() for x in ids]})
-            yield out
+TOKENS = "id long, n long, ids binary, symbols array<int>, counts array<long>"
 
-    return run
 
+def _tokens(path: str, end_id: int):
+    """A row for each text, and one last row a task that counts the symbols of all of them."""
 
-def _histograms(path: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kind, total = _width(encoder(path)), np.zeros(0, np.int64)
+        enc = encoder(path)
+        kind, total = _width(enc), np.zeros(0, np.int64)
         for pdf in batches:
-            for raw in pdf["ids"]:
-                n = np.bincount(np.frombuffer(raw, kind), minlength=len(total))
+            ids = [np.append(x, np.uint32(end_id)).astype(kind) for x in enc.encode(pdf["text"])]
+            for a in range(0, len(ids), 500):
+                n = np.bincount(np.concatenate(ids[a : a + 500]), minlength=len(total))
                 n[: len(total)] += total
                 total = n
+            yield pd.DataFrame({"id": pdf["id"].astype("Int64"), "n": [len(x) for x in ids], "ids": [x.tobytes() for x in ids], "symbols": None, "counts": None})
         some = np.flatnonzero(total)
-        yield pd.DataFrame({"symbol": some, "n": total[some]})
+        yield pd.DataFrame({"id": pd.array([None], "Int64"), "n": pd.array([None], "Int64"), "ids": [None], "symbols": [some.astype(np.int32)], "counts": [total[some]]})
 
     return run
 
@@ -205,14 +203,17 @@ def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    tokens = write_once(rows.mapInPandas(_tokens(path, end_id), "id long, n long, ids binary"), "tokens")
-    histogram = tokens.select("ids").mapInPandas(_histograms(path), "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
+    tokens = write_once(rows.mapInPandas(_tokens(path, end_id), TOKENS), "tokens")
+    each = tokens.where("symbols is not null").select(F.explode(F.arrays_zip("symbols", "counts")).alias("c"))  # at most a row for each task and symbol
+    histogram = each.groupBy(F.col("c.symbols").cast("long").alias("symbol")).agg(F.sum("c.counts").alias("n"))
     counts = {r["symbol"]: r["n"] for r in histogram.collect()}  # at most a row for each symbol of the vocabulary
     symbols, freq = scaled(counts)
     spark.createDataFrame(pd.DataFrame({"symbol": symbols, "frequency": freq}), "symbol long, frequency long").coalesce(1).write.parquet(f"{folder}/table")
 
     # blocks know where they begin in their range-sorted part; where each part begins follows from what was written
-    order = tokens.repartitionByRange(partitions, "id", "ids").sortWithinPartitions("id", "ids").withColumn("part", F.spark_partition_id())
+    # (the sample of the range partitioning holds only the beginnings of the ids)
+    texts = tokens.where("symbols is null").select("id", "n", "ids")
+    order = texts.repartitionByRange(partitions, "id", F.expr("substring(ids, 1, 64)")).sortWithinPartitions("id", "ids").withColumn("part", F.spark_partition_id())
     order.mapInPandas(_blocks(symbols, freq, path), BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")
     discard(tokens)
     parts = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks").groupBy("part").agg(F.sum("n_ids").alias("n"))  # a row for each part

@@ -8,11 +8,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 from fixtures import documents, messy
 
 from plantscope.llm import packing, token_files, warc
-from plantscope.llm.encoding import BYTE_BPE, WORD_BPE, encoder
+from plantscope.llm.encoding import BYTE_BPE, WORD_BPE, Encoder, encoder
 from plantscope.session import scratch_path
 
 
@@ -25,6 +26,31 @@ def test_encoder_is_the_library(name):
     assert [x.tolist() for x in e.encode(texts)] == [x.ids for x in e.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("name", [BYTE_BPE, WORD_BPE])
+def test_signs_after_words_are_the_library(name):
+    r = random.Random(5)
+    signs = ["a", "Word", "é", "ÿ", "ª", "µ", "中", "Σ", "1", " ", "\n", "'s", "'", "$", "$$$", "&&", "%", "*", "###", "!!", "?", ".", ",", ";", ":", "...", "<|", "|>", "<|endoftext|>", "_", "\u0338", "\u0301"]
+    texts = ["".join(r.choice(signs) for _ in range(r.randint(0, 12))) for _ in range(6000)]
+    e = Encoder(public_tokenizers.path(name))
+    assert [x.tolist() for x in e.encode(texts)] == [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("name", [BYTE_BPE, WORD_BPE])
+def test_a_word_is_encoded_once_whatever_signs_follow(name):
+    e = Encoder(public_tokenizers.path(name))
+    library, given = e.tokenizer, []
+
+    class Watched:
+        def encode_batch_fast(self, texts, **options):
+            given.extend(texts)
+            return library.encode_batch_fast(texts, **options)
+
+    e.tokenizer = Watched()
+    text = "x zebra zebra. zebra$$$ zebra&&& zebra!! zebra,%%% zebra.*** zebra### zebra"
+    assert next(e.encode([text])).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert "".join(given).count("zebra") == 1
+
+
 def library_ids(name, text):
     return np.array(encoder(name).tokenizer.encode(text or "", add_special_tokens=False).ids + [0], "<u4")
 
@@ -61,6 +87,17 @@ def test_token_files_start_where_the_documents_before_end(spark):
     assert [r["start"] for r in got] == np.cumsum([0] + [len(x) for _, x in want])[:-1].tolist()
 
 
+def test_encoding_counts_the_symbols():
+    import pandas as pd
+
+    texts = [t for _, t, *_ in messy()]
+    frames = [pd.DataFrame({"id": [1] * len(part), "text": part}) for part in (texts[:5], texts[5:])]
+    *rows, last = token_files._tokens(BYTE_BPE, 0)(iter(frames))
+    assert sum(len(x) for x in rows) == len(texts) and len(last) == 1
+    want = Counter(np.concatenate([library_ids(BYTE_BPE, t) for t in texts]).tolist())
+    assert dict(zip(last["symbols"][0].tolist(), last["counts"][0].tolist())) == want
+
+
 def test_coder_checkpoints_and_damage():
     ids = np.random.default_rng(1).zipf(1.4, 600_000) % 3000
     symbols, freq = token_files.scaled(Counter(ids.tolist()))
