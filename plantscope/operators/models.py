@@ -26,13 +26,14 @@ from pyspark.ml.regression import (
     RandomForestRegressionModel,
     RandomForestRegressor,
 )
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from py4j.protocol import Py4JJavaError
 
 from plantscope.functions.numeric import band, clean
-from plantscope.operators.tree_cells import CellSource, cell_learner, fit_on_cells
+from plantscope.operators.machine_sums import fit_on_sums, sums_learner
+from plantscope.operators.tree_cells import MOST_CELLS, TREES, CellSource, alike, cell_learner, cells_between, fit_on_cells, predicted_once, split_points, tree_nodes, wide_columns
 from plantscope.session import local_table, materialize, scratch_dir, spread
 
 FEATURES, LABEL, PREDICTION = "features", "label", "prediction"
@@ -79,10 +80,11 @@ def default_roster(scale: float = 1.0, depth: int = 12) -> dict[str, Estimator]:
 
 
 def assemble(df: DataFrame, x: Sequence[str], y: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
-    """Feature vector, the label when there is one, and the kept columns."""
+    """Feature vector, the label when there is one, the kept columns, and the doubles behind the features as ``_x0``, ``_x1``, ... (NaN for missing)."""
     label = [F.col(f"`{y}`").cast("double").alias(LABEL)] if y else []
     out = VectorAssembler(inputCols=list(x), outputCol=FEATURES, handleInvalid="keep").transform(df)
-    return out.select(*keep, *label, FEATURES)
+    wide = [F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(float("nan"))).alias(f"_x{j}") for j, c in enumerate(x)]
+    return out.select(*keep, *label, FEATURES, *wide)
 
 
 @dataclass(frozen=True)
@@ -118,10 +120,14 @@ def rows_key(df: DataFrame) -> str:
     return hashlib.sha1(f"{plan}|{sorted(df.inputFiles())}".encode()).hexdigest()
 
 
-def fit(learner: Estimator, train: DataFrame, source: CellSource | None = None) -> Model:
-    """``learner`` fitted on ``train``; tree learners on its cells (``tree_cells.py``), made here unless ``source`` holds them."""
+def fit(learner: Estimator, train: DataFrame, source: CellSource | None = None, path: str | None = None) -> Model:
+    """``learner`` fitted on ``train``; tree learners on its cells (``tree_cells.py``), made here unless ``source`` holds them; a factorization
+    machine on its sums (``machine_sums.py``). A model that has ``saved_at`` is saved there, at ``path`` if it is given."""
+    cols = wide_columns(train)
+    if cols and sums_learner(learner, len(cols)):
+        return fit_on_sums(learner, train, cols)
     cells = (source or CellSource(train)).get(learner.getMaxBins()) if cell_learner(learner) else None
-    return learner.fit(train) if cells is None else fit_on_cells(learner, cells)
+    return learner.fit(train) if cells is None else fit_on_cells(learner, cells, path)
 
 
 def fit_once(learner: Estimator, train: DataFrame, rows: str | None = None, source: CellSource | None = None) -> Model:
@@ -139,23 +145,35 @@ def fit_once(learner: Estimator, train: DataFrame, rows: str | None = None, sour
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/done")
     fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
     if fs.exists(hadoop):
-        return kind.load(f"{path}/model")
-    model = fit(learner, train, source)
-    model.write().overwrite().save(f"{path}/model")
-    fs.create(hadoop, True).close()
+        model = kind.load(f"{path}/model")
+    else:
+        model = fit(learner, train, source, f"{path}/model")
+        if getattr(model, "saved_at", None) is None:
+            model.write().overwrite().save(f"{path}/model")
+        fs.create(hadoop, True).close()
+    model.saved_at = f"{path}/model"
     return model
 
 
+def _few_scans(learner: Estimator, train: DataFrame) -> bool:
+    """Whether a learner passes over its rows a few times only: on cells, on sums, or least squares by cross-products."""
+    cols = wide_columns(train)
+    linear = isinstance(learner, Pipeline) and all(
+        isinstance(st, StandardScaler) or isinstance(st, LinearRegression) and st.getSolver() == "normal" for st in learner.getStages())
+    return bool(cols) and (linear or sums_learner(learner, len(cols)) or cell_learner(learner))
+
+
 def benchmark(train: DataFrame, test: DataFrame, roster: Mapping[str, Estimator]) -> Trained:
     """Fit every learner of the roster, at once in threads of the driver, and score all of them on the test rows in one job.
 
     A learner that raises one of ``LEARNER_ERRORS`` is replaced by the mean of the training target, with a warning that keeps the
-    message. Both frames come from :func:`assemble`; the training rows are cached because tree learners pass over them many
-    times. A learner fitted before on the same rows with the same settings is read back (:func:`fit_once`).
+    message. Both frames come from :func:`assemble`; the training rows are cached if they are few, or if a learner passes over them many times. A learner fitted before on the same rows with the same settings is read back (:func:`fit_once`).
     """
     spark = train.sparkSession
     rows = rows_key(train)
-    train = spread(train).persist()
+    few, several = train, spread(train)
+    again = any(not _few_scans(learner, train) for learner in roster.values())
+    train = several.persist() if several is not few or again else several
     source = CellSource(train)
     models: dict[str, Model | None] = {}
     try:
@@ -173,22 +191,54 @@ def benchmark(train: DataFrame, test: DataFrame, roster: Mapping[str, Estimator]
         mean = float(train.agg(F.avg(LABEL)).first()[0] or 0.0) if failed else 0.0
     finally:
         train.unpersist()
-    parts = []
-    for name in roster:
-        model = models[name]
-        predicted = test.withColumn(PREDICTION, F.lit(mean)) if model is None else model.transform(test)
-        parts.append(predicted.select(F.lit(name).alias("model"), F.col(LABEL), F.col(PREDICTION).cast("double").alias(PREDICTION)))
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    got = {r["model"]: r for r in every.groupBy("model").agg(
-        r2_of(F.col(LABEL), F.col(PREDICTION)).alias("r2"), F.avg(PREDICTION).alias("mean"), F.count(F.lit(1)).alias("n")).collect()}
+    got = _scored(test, models, mean)
     rows = [(name, got[name]["r2"] if name in got else None, got[name]["mean"] if name in got else None,
              got[name]["n"] if name in got else 0, models[name] is None) for name in roster]
     schema = "model string, r2 double, mean_prediction double, n long, failed boolean"
     return Trained(models, local_table(spark, rows, schema))
 
 
+def _scored(test: DataFrame, models: Mapping[str, Model | None], mean: float) -> dict[str, Row]:
+    """model, r2, mean and n of every model on the test rows, in one job; the mean stands for a model that is None.
+
+    Rows that no split of the trees tells apart have the same predictions, so trees predict once for each cell of rows, with the number, mean and
+    variance of their labels; other models predict row by row.
+    """
+    cols = wide_columns(test)
+    trees = {k: tree_nodes(m, test.sparkSession) for k, m in models.items() if isinstance(m, TREES)} if cols else {}
+    trees = {k: m for k, m in trees.items() if m}
+    cuts = split_points(list(trees.values()), len(cols))
+    if cells_between(cuts) > MOST_CELLS:
+        trees = {}
+    gap = F.col(LABEL) - F.col(PREDICTION)
+    columns = (F.col(LABEL), F.col(PREDICTION).cast("double").alias(PREDICTION))
+    sums = (F.sum(gap * gap).alias("error"), F.sum(PREDICTION).alias("total"), F.count(PREDICTION).alias("k"), F.count(gap).alias("known"))
+    parts = []
+    for name in models:
+        if name not in trees:
+            model = models[name]
+            predicted = test.withColumn(PREDICTION, F.lit(mean)) if model is None else model.transform(test)
+            parts.append(predicted.select(*columns).agg(*sums).select(F.lit(name).alias("model"), "*"))
+    if trees:
+        label = F.col(LABEL)
+        cells = alike(test.select(LABEL, *cols), cols, cuts, F.count(label).alias("labels"), F.avg(label).alias(LABEL), F.var_pop(label).alias("apart"))
+        done = materialize(predicted_once(cells, cols, list(trees.values())), "scored")
+        weighted = (
+            F.sum(F.col("labels") * (F.col("apart") + gap * gap)).alias("error"), F.sum(F.col("rows") * F.col(PREDICTION)).alias("total"),
+            F.sum("rows").alias("k"), F.sum("labels").alias("known"),
+        )
+        for k, name in enumerate(trees):
+            predicted = done.select("rows", "labels", "apart", LABEL, F.col(f"p{k}").alias(PREDICTION))
+            parts.append(predicted.agg(*weighted).select(F.lit(name).alias("model"), "*"))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    whole = test.agg(F.var_pop(LABEL).alias("spread"), F.count(F.lit(1)).alias("n"))
+    r2 = 1 - F.try_divide(F.try_divide(F.col("error"), F.col("known")), F.col("spread"))
+    return {r["model"]: r for r in every.crossJoin(F.broadcast(whole)).select(
+        "model", r2.alias("r2"), F.try_divide(F.col("total"), F.col("k")).alias("mean"), "n").where("n > 0").collect()}
+
+
 # --- tables over a score table (a row per model) -------------------------------------------
 
 

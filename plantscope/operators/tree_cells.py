@@ -5,18 +5,22 @@ stay together down to the leaf. For squared errors such a cell needs only its we
 every node they pass, and drops out of each gain. The cells are one aggregate over the rows, at most the product of the columns' bins and
 never more than the rows; what follows runs on them however many rows there are.
 
-* A decision tree and boosted trees are MLlib's own, fitted on cells weighted by their rows. A cell holds one value per column, set so that
+* A decision tree is MLlib's own, fitted on cells weighted by their rows. A cell holds one value per column, set so that
   MLlib's midpoints between them are the thresholds that made the cells.
+* Boosted trees are grown from the cells in one task, round by round as MLlib does: each tree on twice what the trees before it leave over.
 * Every tree of a forest draws each row a Poisson number of times. Rows are drawn in Arrow batches; for each tree only the drawn weights and
   sums by cell are kept, shuffled by tree, and each tree is grown from its cells level by level. The nodes are written in the form in which MLlib saves them, and read back as its model.
+* A fitted tree tells rows apart only by its split points, so rows between the same split points of all models are one cell again: predictions and
+  Shapley values are worked out once a cell (:func:`alike`).
 
 Where there are more than ``MOST_CELLS`` cells, or a learner is set up otherwise, it is fitted on the rows.
 """
 
 from __future__ import annotations
 
+import json
 import threading
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,18 +29,29 @@ from pyspark import TaskContext
 from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import Bucketizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressionModel, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import (
+    DecisionTreeRegressionModel,
+    DecisionTreeRegressor,
+    GBTRegressionModel,
+    GBTRegressor,
+    RandomForestRegressionModel,
+    RandomForestRegressor,
+)
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from plantscope.functions.numeric import clean
-from plantscope.session import materialize, scratch_path
+from plantscope.session import materialize, scratch_path, spread
 
 FEATURES, LABEL = "features", "label"
+TREES = (DecisionTreeRegressionModel, GBTRegressionModel, RandomForestRegressionModel)
 #: Cells of one tree are held by one task, about 30 bytes each.
 MOST_CELLS = 1_000_000
 #: Cells in a partition of the table that MLlib passes over.
 CELLS_A_TASK = 20_000
+#: Nodes of a model that every task may hold, about 30 bytes each.
+MOST_NODES = 4_000_000
 #: High enough that MLlib looks at every cell for its thresholds, not at a sample (it takes maxBins ** 2 rows).
 MANY_BINS = 1024
 
@@ -78,18 +93,27 @@ class Cells:
         return self.table.select(array_to_vector(F.array(*digits)).alias(FEATURES), LABEL, "weight")
 
 
+def wide_columns(df: DataFrame) -> list[str]:
+    """The doubles behind ``features`` that :func:`models.assemble` leaves in a frame."""
+    return [f"_x{j}" for j in range(len([c for c in df.columns if c.startswith("_x") and c[2:].isdigit()]))]
+
+
 def _bin_values(df: DataFrame, cols: list[str], bins: int) -> tuple[tuple[float, ...], ...] | None:
-    """All values of a column with at most ``bins`` of them, else the middles of ``bins`` equal shares of its rows. Empty columns have none."""
-    shares = [(k + 0.5) / bins for k in range(bins)]
+    """All values of a column with at most ``bins`` of them, else the middles of ``bins`` equal shares of its rows. Empty columns have none.
+
+    None where a label is no number.
+    """
+    shares, x = [(k + 0.5) / bins for k in range(bins)], {c: clean(F.col(c)) for c in cols}
     about = df.agg(
-        *[F.approx_count_distinct(c).alias(c) for c in cols], *[F.percentile_approx(c, shares, F.lit(10_000)).alias(f"q_{c}") for c in cols]
+        F.count_if(clean(F.col(LABEL)).isNull()).alias("unlabelled"), *[F.approx_count_distinct(x[c]).alias(c) for c in cols],
+        *[F.percentile_approx(x[c], shares, F.lit(10_000)).alias(f"q_{c}") for c in cols],
     ).first()
+    if about["unlabelled"]:
+        return None
     found = {c: about[f"q_{c}"] or [] for c in cols}
-    for c in cols:
-        if about[c] <= 4 * bins:
-            some = [r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().limit(bins + 1).collect()]
-            if len(some) <= bins:
-                found[c] = some
+    if few := [c for c in cols if about[c] <= 4 * bins]:
+        some = df.agg(*[F.collect_set(x[c]).alias(c) for c in few]).first()  # about 4 * bins values at most
+        found |= {c: some[c] for c in few if len(some[c]) <= bins}
     return tuple(_apart(found[c]) for c in cols)
 
 
@@ -108,33 +132,40 @@ def _apart(values: list[float]) -> tuple[float, ...]:
 
 def cells_of(train: DataFrame, bins: int) -> Cells | None:
     """Cells of a frame of :func:`models.assemble`, or None where rows are needed: labels that are no numbers, or too many cells."""
-    first = train.select(FEATURES).first()
-    if first is None or first[0] is None:
-        return None
-    cols = [f"v{j}" for j in range(first[0].size)]
-    x = vector_to_array(F.col(FEATURES))
-    wide = train.select(F.col(LABEL), *[x[j].alias(c) for j, c in enumerate(cols)])
-    if wide.where(clean(F.col(LABEL)).isNull()).limit(1).count():
-        return None
-    values = _bin_values(wide.select(*[clean(F.col(c)).alias(c) for c in cols]), cols, bins)
-    if not all(values) or np.prod([float(len(v)) for v in values]) >= 2.0**62:
+    cols = wide_columns(train)
+    if cols:
+        wide = train.select(F.col(LABEL), *cols)
+    else:
+        first = train.select(FEATURES).first()
+        if first is None or first[0] is None:
+            return None
+        cols = [f"v{j}" for j in range(first[0].size)]
+        x = vector_to_array(F.col(FEATURES))
+        wide = train.select(F.col(LABEL), *[x[j].alias(c) for j, c in enumerate(cols)])
+    values = _bin_values(wide, cols, bins)
+    if values is None or not all(values) or np.prod([float(len(v)) for v in values]) >= 2.0**62:
         return None
+    binned, cell = _binned(wide, cols, [(np.array(v[:-1]) + np.array(v[1:])) / 2.0 for v in values])
+    rows = binned.select(cell.alias("cell"), LABEL)
+    table = materialize(rows.groupBy("cell").agg(F.avg(LABEL).alias(LABEL), F.count(F.lit(1)).cast("double").alias("weight")), "cells")
+    count = table.count()
+    return Cells(rows, table, count, values) if 1 < count <= MOST_CELLS else None
+
+
+def _binned(df: DataFrame, cols: Sequence[str], cuts: Sequence[np.ndarray]) -> tuple[DataFrame, Column]:
+    """``df`` with the bins of its columns between ascending cuts, and the number of the cell they make."""
     # a value equal to a threshold goes left, as it does in a fitted tree; one that is no number lies above every threshold
-    cuts = [np.nextafter((np.array(v[:-1]) + np.array(v[1:])) / 2.0, np.inf) for v in values]
-    split = {c: [-np.inf, *map(float, k), np.inf] for c, k in zip(cols, cuts) if len(k)}
-    binned = wide
+    split = {c: [-np.inf, *map(float, np.nextafter(k, np.inf)), np.inf] for c, k in zip(cols, cuts) if len(k)}
+    out = df
     if split:
         outputs = [f"b_{c}" for c in split]
-        binned = Bucketizer(splitsArray=list(split.values()), inputCols=list(split), outputCols=outputs, handleInvalid="keep").transform(wide)
+        out = Bucketizer(splitsArray=list(split.values()), inputCols=list(split), outputCols=outputs, handleInvalid="keep").transform(df)
     cell, unit = F.lit(0).cast("long"), 1
-    for c, v in zip(cols, values):
+    for c, k in zip(cols, cuts):
         if c in split:
             cell = cell + F.least(F.col(f"b_{c}"), F.lit(len(split[c]) - 2.0)).cast("long") * F.lit(unit)
-        unit *= len(v)
-    rows = binned.select(cell.alias("cell"), LABEL)
-    table = materialize(rows.groupBy("cell").agg(F.avg(LABEL).alias(LABEL), F.count(F.lit(1)).cast("double").alias("weight")), "cells")
-    count = table.count()
-    return Cells(rows, table, count, values) if 1 < count <= MOST_CELLS else None
+        unit *= len(k) + 1
+    return out, cell
 
 
 class CellSource:
@@ -150,10 +181,12 @@ class CellSource:
             return self.made[bins]
 
 
-def fit_on_cells(learner: Estimator, cells: Cells) -> Model:
-    """``learner`` (see :func:`cell_learner`) fitted on cells."""
+def fit_on_cells(learner: Estimator, cells: Cells, path: str | None = None) -> Model:
+    """``learner`` (see :func:`cell_learner`) fitted on cells. Ensembles are saved to ``path`` or a scratch folder, their ``saved_at``."""
     if isinstance(learner, RandomForestRegressor):
-        return _forest(learner, cells)
+        return _forest(learner, cells, path or scratch_path(cells.table.sparkSession, "forest"))
+    if isinstance(learner, GBTRegressor):
+        return _boosted(learner, cells, path or scratch_path(cells.table.sparkSession, "boosted"))
     instances = cells.instances().coalesce(max(1, cells.count // CELLS_A_TASK)).persist()
     try:
         return learner.copy({learner.weightCol: "weight", learner.maxBins: MANY_BINS}).fit(instances)
@@ -242,10 +275,7 @@ def _trees(sizes: list[int], thresholds: list[np.ndarray], depth: int):
         cell, weight, total = (np.concatenate([np.frombuffer(b, kind) for b in pdf[c]]) for c, kind in (("cell", "<i8"), ("weight", "<f8"), ("total", "<f8")))
         cell, of = np.unique(cell, return_inverse=True)
         weight, total = np.bincount(of, weight), np.bincount(of, total)
-        codes = []
-        for size in sizes:
-            codes.append(cell % size)
-            cell = cell // size
+        codes = _codes(cell, sizes)
         nodes = grow(codes, weight, total, sizes, depth)
         nodes["threshold"] = [thresholds[f][k] if f >= 0 else 0.0 for f, k in zip(nodes["feature"], nodes.pop("cut"))]
         nodes["treeID"] = pdf["treeID"].iloc[0]
@@ -254,7 +284,7 @@ def _trees(sizes: list[int], thresholds: list[np.ndarray], depth: int):
     return run
 
 
-def _forest(learner: RandomForestRegressor, cells: Cells) -> RandomForestRegressionModel:
+def _forest(learner: RandomForestRegressor, cells: Cells, path: str) -> RandomForestRegressionModel:
     spark = cells.table.sparkSession
     trees, width = learner.getNumTrees(), len(cells.values)
     # a cell of very many rows is spread over tasks; its sums meet again in the trees
@@ -262,6 +292,20 @@ def _forest(learner: RandomForestRegressor, cells: Cells) -> RandomForestRegress
     drawn = rows.mapInPandas(_draws(trees, learner.getSeed()), "treeID int, cell binary, weight binary, total binary")
     sizes = [len(v) for v in cells.values]
     nodes = drawn.groupBy("treeID").applyInPandas(_trees(sizes, cells.thresholds(), learner.getMaxDepth()), _NODES)
+    # settings and tree list of a forest fitted on two rows, nodes from above
+    settings = scratch_path(spark, "settings")
+    learner.fit(_two_rows(spark, width)).write().save(settings)
+    trees = spark.read.parquet(f"{settings}/treesMetadata")
+    return _saved(RandomForestRegressionModel, path, spark.read.text(f"{settings}/metadata"), trees, nodes)
+
+
+def _two_rows(spark: SparkSession, width: int) -> DataFrame:
+    two = spark.createDataFrame([(float(k),) for k in range(2)], "label double")
+    return two.select(LABEL, array_to_vector(F.array_repeat(LABEL, width)).alias(FEATURES))
+
+
+def _saved(kind: type[Model], path: str, settings: DataFrame, trees: DataFrame, nodes: DataFrame) -> Model:
+    """An ensemble written in the form in which MLlib saves it, and read back."""
     leaf = F.col("feature") < 0
     data = nodes.select("treeID", F.struct(
         "id", "prediction", "impurity", F.array("weight", "total", "square").alias("impurityStats"), F.col("weight").cast("long").alias("rawCount"), "gain",
@@ -271,11 +315,152 @@ def _forest(learner: RandomForestRegressor, cells: Cells) -> RandomForestRegress
             F.when(leaf, F.array().cast("array<double>")).otherwise(F.array("threshold")).alias("leftCategoriesOrThreshold"), F.lit(-1).alias("numCategories"),
         ).alias("split"),
     ).alias("nodeData"))
-    # settings and tree list of a forest fitted on two rows, nodes from above
-    path = scratch_path(spark, "forest")
-    two = spark.createDataFrame([(float(k),) for k in range(2)], "label double").select(LABEL, array_to_vector(F.array_repeat(LABEL, width)).alias(FEATURES))
-    learner.fit(two).write().save(f"{path}/settings")
-    data.write.parquet(f"{path}/model/data")
-    spark.read.parquet(f"{path}/settings/treesMetadata").write.parquet(f"{path}/model/treesMetadata")
-    spark.read.text(f"{path}/settings/metadata").coalesce(1).write.text(f"{path}/model/metadata")
-    return RandomForestRegressionModel.load(f"{path}/model")
+    settings.coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
+    trees.write.mode("overwrite").parquet(f"{path}/treesMetadata")
+    data.write.mode("overwrite").parquet(f"{path}/data")
+    model = kind.load(path)
+    model.saved_at = path
+    return model
+
+
+# --- boosted trees -------------------------------------------------------------------------------
+
+
+def _codes(cell: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
+    codes = []
+    for size in sizes:
+        codes.append(cell % size)
+        cell = cell // size
+    return codes
+
+
+def boost(codes: list[np.ndarray], weight: np.ndarray, label: np.ndarray, sizes: list[int], depth: int, rounds: int, rate: float) -> pd.DataFrame:
+    """Nodes of boosted trees of squared errors, from cells; as in MLlib the first tree counts in full and the others by ``rate``."""
+    every, place = np.stack(codes), np.arange(len(weight))
+    sum_, target, out = np.zeros(len(weight)), label, []
+    for t in range(rounds):
+        nodes = grow(codes, weight, weight * target, sizes, depth)
+        feature, cut, left, right = (nodes[c].to_numpy() for c in ("feature", "cut", "left", "right"))
+        at = np.zeros(len(weight), np.int64)
+        for _ in range(depth):
+            f = feature[at]
+            at = np.where(f < 0, at, np.where(every[f, place] <= cut[at], left[at], right[at]))
+        sum_ += (rate if t else 1.0) * nodes["prediction"].to_numpy()[at]
+        target = 2.0 * (label - sum_)
+        out.append(nodes.assign(treeID=t))
+    return pd.concat(out, ignore_index=True)
+
+
+def _boosted(learner: GBTRegressor, cells: Cells, path: str) -> GBTRegressionModel:
+    spark = cells.table.sparkSession
+    rounds, rate, depth, width = learner.getMaxIter(), learner.getStepSize(), learner.getMaxDepth(), len(cells.values)
+    sizes, thresholds = [len(v) for v in cells.values], cells.thresholds()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat([p for p in batches if len(p)], ignore_index=True).sort_values("cell")
+        codes = _codes(pdf["cell"].to_numpy(np.int64), sizes)
+        nodes = boost(codes, pdf["weight"].to_numpy(np.float64), pdf[LABEL].to_numpy(np.float64), sizes, depth, rounds, rate)
+        nodes["threshold"] = [thresholds[f][k] if f >= 0 else 0.0 for f, k in zip(nodes["feature"], nodes.pop("cut"))]
+        yield nodes[[c.split()[0] for c in _NODES.split(", ")]]
+
+    # settings of one tree fitted on two rows, nodes from above
+    one = scratch_path(spark, "settings")
+    learner.copy({learner.maxIter: 1}).fit(_two_rows(spark, width)).write().save(one)
+    settings = json.loads(spark.read.text(f"{one}/metadata").first()[0])
+    settings["paramMap"]["maxIter"] = settings["numTrees"] = rounds
+    tree = json.loads(spark.read.parquet(f"{one}/treesMetadata").first()["_2"])
+    trees = [(t, json.dumps(tree | {"uid": f"{tree['uid']}_{t}"}), rate if t else 1.0) for t in range(rounds)]
+    return _saved(
+        GBTRegressionModel, path, spark.createDataFrame([(json.dumps(settings),)], "value string"),
+        spark.createDataFrame(trees, "_1 int, _2 string, _3 double"), cells.table.coalesce(1).mapInPandas(run, _NODES),
+    )
+
+
+# --- rows that fitted trees do not tell apart ----------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Nodes:
+    """All nodes of a fitted tree model, and the places of the roots; children by place, values with the weight of their tree, -1 as feature of a leaf."""
+
+    feature: np.ndarray
+    threshold: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    value: np.ndarray
+    roots: np.ndarray
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        """Predictions for rows of doubles; a missing value (NaN) goes right at every split."""
+        out, row = np.zeros(len(x)), np.arange(len(x))
+        for root in self.roots:
+            at, going = np.full(len(x), root), row
+            while len(going):
+                here = at[going]
+                f = self.feature[here]
+                going, here, f = going[f >= 0], here[f >= 0], f[f >= 0]
+                at[going] = np.where(x[going, f] <= self.threshold[here], self.left[here], self.right[here])
+            out += self.value[at]
+        return out
+
+
+def tree_nodes(model: Model, spark: SparkSession) -> Nodes | None:
+    """Nodes of a fitted tree model from its saved form; None above ``MOST_NODES`` or with splits on categories."""
+    path = getattr(model, "saved_at", None)
+    if path is None:
+        path = scratch_path(spark, "trees")
+        model.write().save(path)
+    data = spark.read.parquet(f"{path}/data")
+    inside = "nodeData." if "nodeData" in data.columns else ""
+    data = data.select(
+        (F.col("treeID") if "treeID" in data.columns else F.lit(0)).alias("tree"), F.col(f"{inside}id").alias("id"), F.col(f"{inside}prediction").alias("value"),
+        F.col(f"{inside}leftChild").alias("left"), F.col(f"{inside}rightChild").alias("right"), F.col(f"{inside}split.featureIndex").alias("feature"),
+        F.coalesce(F.try_element_at(F.col(f"{inside}split.leftCategoriesOrThreshold"), F.lit(1)), F.lit(0.0)).alias("threshold"),
+        F.col(f"{inside}split.numCategories").alias("categories"),
+    )
+    size = data.agg(F.count(F.lit(1)).alias("n"), F.max("categories").alias("k")).first()
+    if size["n"] > MOST_NODES or size["k"] > 0:
+        return None
+    t = data.toArrow().to_pandas().sort_values(["tree", "id"])
+    tree, place = t["tree"].to_numpy(), np.arange(len(t))
+    roots = place[t["id"].to_numpy() == 0]
+    first = roots[np.searchsorted(tree[roots], tree)]  # where the nodes of each tree begin; ids are 0, 1, 2, ...
+    feature = np.where(t["left"] < 0, -1, t["feature"]).astype(np.int32)
+    left, right = ((first + t[c].to_numpy()).astype(np.int32) for c in ("left", "right"))
+    weight = np.array(model.treeWeights) if isinstance(model, GBTRegressionModel) else np.full(len(roots), 1.0 / len(roots))
+    return Nodes(feature, t["threshold"].to_numpy(), left, right, t["value"].to_numpy() * weight[tree], roots)
+
+
+def split_points(models: Sequence[Nodes], width: int) -> list[np.ndarray]:
+    """Per column the thresholds of all splits of the trees of ``models``, in order."""
+    return [np.unique(np.concatenate([np.zeros(0), *[m.threshold[m.feature == j] for m in models]])) for j in range(width)]
+
+
+def cells_between(cuts: Sequence[np.ndarray]) -> float:
+    return float(np.prod([len(k) + 1.0 for k in cuts]))
+
+
+def alike(df: DataFrame, cols: Sequence[str], cuts: Sequence[np.ndarray], *aggregates: Column) -> DataFrame:
+    """One row for all rows of ``df`` between the same cuts: the number of rows ``rows``, for each column a value in the same bin, the aggregates.
+
+    Written once and spread over the cores. The columns are doubles; a missing value goes right at every split.
+    """
+    names = [f"_x{j}" for j in range(len(cols))]
+    wide = df.select("*", *[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(float("nan"))).alias(f"_v{j}") for j, c in enumerate(cols)])
+    binned, cell = _binned(wide, [f"_v{j}" for j in range(len(cols))], cuts)
+    met = binned.groupBy(cell.alias("cell")).agg(
+        F.count(F.lit(1)).alias("rows"), *[F.min(f"_v{j}").alias(n) for j, n in enumerate(names)], *aggregates
+    )
+    return spread(materialize(met, "alike"))
+
+
+def predicted_once(cells: DataFrame, cols: Sequence[str], models: Sequence[Nodes]) -> DataFrame:
+    """``cells`` with the predictions of tree models as ``p0``, ``p1``, ..."""
+    shipped = cells.sparkSession.sparkContext.broadcast(list(models))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x = pdf[list(cols)].to_numpy(np.float64)
+            yield pdf.assign(**{f"p{k}": m.predict(x) for k, m in enumerate(shipped.value)})
+
+    return cells.mapInPandas(run, StructType([*cells.schema.fields, *[StructField(f"p{k}", DoubleType()) for k in range(len(models))]]))
