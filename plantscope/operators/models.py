@@ -332,10 +332,18 @@ def benchmark_summary(scores: DataFrame, baseline_r2: float | None, top: int = 4
 
 def predict_long(rows: DataFrame, models: Mapping[str, Model | None], keep: Sequence[str] = ("scenario_id",)) -> DataFrame:
     """Predictions of all models in one long table; ``rows`` come from :func:`assemble`."""
+    cols = wide_columns(rows)
+    trees = {k: tree_nodes(m, rows.sparkSession) for k, m in models.items() if isinstance(m, TREES)} if cols else {}
+    trees = {k: m for k, m in trees.items() if m}
     parts = []
     for name, model in models.items():
-        done = rows.withColumn(PREDICTION, F.lit(None).cast("double")) if model is None else model.transform(rows)
-        parts.append(done.select(*keep, F.lit(name).alias("model"), F.col(PREDICTION).alias("predicted")))
+        if name not in trees:
+            done = rows.withColumn(PREDICTION, F.lit(None).cast("double")) if model is None else model.transform(rows)
+            parts.append(done.select(*keep, F.lit(name).alias("model"), F.col(PREDICTION).alias("predicted")))
+    if trees:
+        done = predicted_once(rows.select(*keep, *cols), cols, list(trees.values()))
+        marks = [F.struct(F.lit(name).alias("model"), F.col(f"p{k}").alias("predicted")) for k, name in enumerate(trees)]
+        parts.append(done.select(*keep, F.inline(F.array(*marks))))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

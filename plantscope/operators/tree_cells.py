@@ -405,7 +405,9 @@ class Nodes:
 
 
 def tree_nodes(model: Model, spark: SparkSession) -> Nodes | None:
-    """Nodes of a fitted tree model from its saved form; None above ``MOST_NODES`` or with splits on categories."""
+    """Nodes of a fitted tree model from its saved form, kept with it; None above ``MOST_NODES`` or with splits on categories."""
+    if getattr(model, "nodes", None) is not None:
+        return model.nodes
     path = getattr(model, "saved_at", None)
     if path is None:
         path = scratch_path(spark, "trees")
@@ -428,7 +430,8 @@ def tree_nodes(model: Model, spark: SparkSession) -> Nodes | None:
     feature = np.where(t["left"] < 0, -1, t["feature"]).astype(np.int32)
     left, right = ((first + t[c].to_numpy()).astype(np.int32) for c in ("left", "right"))
     weight = np.array(model.treeWeights) if isinstance(model, GBTRegressionModel) else np.full(len(roots), 1.0 / len(roots))
-    return Nodes(feature, t["threshold"].to_numpy(), left, right, t["value"].to_numpy() * weight[tree], roots)
+    model.nodes = Nodes(feature, t["threshold"].to_numpy(), left, right, t["value"].to_numpy() * weight[tree], roots)
+    return model.nodes
 
 
 def split_points(models: Sequence[Nodes], width: int) -> list[np.ndarray]:

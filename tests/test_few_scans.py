@@ -80,3 +80,18 @@ def test_nodes_predict_as_their_model(spark, df):
     for name in ("boosted_trees", "decision_tree", "permutation_base"):
         model = models.fit(models.default_roster(0.05)[name], train)
         np.testing.assert_allclose(tree_cells.tree_nodes(model, spark).predict(x), predictions(model, train), rtol=1e-12, err_msg=name)
+
+
+def test_predictions_of_all_models_in_one_table(spark, df):
+    train = models.assemble(df, X, "y")
+    fitted = {n: models.fit(models.default_roster(0.05)[n], train) for n in ("random_forest", "boosted_trees", models.LINEAR)} | {"none": None}
+    asked = models.assemble(df.limit(3).withColumn("scenario_id", F.monotonically_increasing_id()), X, keep=["scenario_id"])
+    long = models.predict_long(asked, fitted)
+    assert long.columns == ["scenario_id", "model", "predicted"]
+    found = {(r[0], r[1]): r[2] for r in long.collect()}
+    for name, model in fitted.items():
+        for r in (asked if model is None else model.transform(asked)).collect():
+            assert found[r["scenario_id"], name] == (None if model is None else pytest.approx(r["prediction"], rel=1e-12))
+    assert len(found) == 12
+    plan = long._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 1  # all trees in one pass, their models not sent one by one
