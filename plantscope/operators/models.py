@@ -27,11 +27,10 @@ from pyspark.ml.regression import (
     RandomForestRegressor,
 )
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
-from pyspark.errors import PySparkException
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import functions as F
-from py4j.protocol import Py4JJavaError
 
-from plantscope.functions.numeric import band, clean
+from plantscope.functions.numeric import all_of, band, clean
 from plantscope.operators.machine_sums import fit_on_sums, sums_learner
 from plantscope.operators.tree_cells import MOST_CELLS, TREES, CellSource, alike, cell_learner, cells_between, fit_on_cells, predicted_once, split_points, tree_nodes, wide_columns
 from plantscope.session import local_table, materialize, scratch_dir, spread
@@ -98,8 +97,12 @@ def r2_of(actual: Column, predicted: Column) -> Column:
     return 1 - F.try_divide(F.avg(gap * gap), F.var_pop(actual))
 
 
-#: What a learner is known to raise when it cannot be trained; anything else is a fault and ends the comparison.
-LEARNER_ERRORS = (PySparkException, Py4JJavaError, RuntimeError)
+#: What a learner raises when it cannot be trained. Jobs that fail, lost files and other faults are not among them: they end the comparison.
+LEARNER_ERRORS = (IllegalArgumentException, RuntimeError)
+
+
+class NotTrained(RuntimeError):
+    """A learner's own refusal to be trained, told apart from faults around it."""
 
 
 def _signature(learner: Estimator) -> str:
@@ -115,9 +118,23 @@ _MODEL_OF = {
 
 
 def rows_key(df: DataFrame) -> str:
-    """A name for the rows of ``df``: its optimized plan without this session's expression ids, and its input files."""
-    plan = re.sub(r"#\d+L?", "", df._jdf.queryExecution().optimizedPlan().toString())
-    return hashlib.sha1(f"{plan}|{sorted(df.inputFiles())}".encode()).hexdigest()
+    """A name for the rows of ``df``: its optimized plan without this session's expression ids, and its input files with their sizes and times.
+
+    A plan does not show rows that come from elsewhere than files; they are named by the number of rows and the sum of their hashes.
+    """
+    optimized = df._jdf.queryExecution().optimizedPlan()
+    plan = re.sub(r"#\d+L?", "", optimized.toString())
+    leaves = optimized.collectLeaves()
+    found: list[object] = []
+    if any(leaves.apply(k).getClass().getSimpleName() != "LogicalRelation" for k in range(leaves.size())):
+        hashed = F.sum(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("decimal(38,0)"))
+        found.append(tuple(df.agg(F.count(F.lit(1)), hashed).first()))
+    spark = df.sparkSession
+    for name in sorted(df.inputFiles()):
+        path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name))
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        found.append((name, status.getLen(), status.getModificationTime()))
+    return hashlib.sha1(f"{plan}|{found}".encode()).hexdigest()
 
 
 def fit(learner: Estimator, train: DataFrame, source: CellSource | None = None, path: str | None = None) -> Model:
@@ -134,11 +151,19 @@ def fit_once(learner: Estimator, train: DataFrame, rows: str | None = None, sour
     """``learner`` fitted on ``train``, or read back from the shared folder where the same learner was fitted on the same rows before.
 
     The key is a hash of ``rows`` (by default :func:`rows_key` of ``train``) and every parameter of the learner; models are written whole, so a model
-    found is one that was finished. Learners of other kinds are fitted every time.
+    found is one that was finished. Learners of other kinds are fitted every time. What the learner itself raises comes as :class:`NotTrained`; a
+    model that cannot be written or read back is a fault of another kind.
     """
+
+    def trained(how: Callable[[], Model]) -> Model:
+        try:
+            return how()
+        except LEARNER_ERRORS as error:
+            raise NotTrained(str(error)) from error
+
     kind = _MODEL_OF.get(type(learner))
     if kind is None:
-        return learner.fit(train)
+        return trained(lambda: learner.fit(train))
     spark = train.sparkSession
     key = hashlib.sha1(f"{rows or rows_key(train)}|{_signature(learner)}".encode()).hexdigest()
     path = f"{scratch_dir(spark)}/models/{key}"
@@ -147,7 +172,7 @@ def fit_once(learner: Estimator, train: DataFrame, rows: str | None = None, sour
     if fs.exists(hadoop):
         model = kind.load(f"{path}/model")
     else:
-        model = fit(learner, train, source, f"{path}/model")
+        model = trained(lambda: fit(learner, train, source, f"{path}/model"))
         if getattr(model, "saved_at", None) is None:
             model.write().overwrite().save(f"{path}/model")
         fs.create(hadoop, True).close()
@@ -166,8 +191,8 @@ def _few_scans(learner: Estimator, train: DataFrame) -> bool:
 def benchmark(train: DataFrame, test: DataFrame, roster: Mapping[str, Estimator]) -> Trained:
     """Fit every learner of the roster, at once in threads of the driver, and score all of them on the test rows in one job.
 
-    A learner that raises one of ``LEARNER_ERRORS`` is replaced by the mean of the training target, with a warning that keeps the
-    message. Both frames come from :func:`assemble`; the training rows are cached if they are few, or if a learner passes over them many times. A learner fitted before on the same rows with the same settings is read back (:func:`fit_once`).
+    A learner that raises one of ``LEARNER_ERRORS`` is replaced by the mean of the training target and marked as ``failed``, with a warning that
+    keeps the message; any other error ends the comparison. All models are scored on the test rows that have every feature. Both frames come from :func:`assemble`; the training rows are cached if they are few, or if a learner passes over them many times. A learner fitted before on the same rows with the same settings is read back (:func:`fit_once`).
     """
     spark = train.sparkSession
     rows = rows_key(train)
@@ -181,7 +206,7 @@ def benchmark(train: DataFrame, test: DataFrame, roster: Mapping[str, Estimator]
             name, learner = item
             try:
                 return name, fit_once(learner, train, rows, source)
-            except LEARNER_ERRORS as error:  # a broken learner must not end the comparison
+            except NotTrained as error:  # a broken learner must not end the comparison
                 warnings.warn(f"{name} could not be trained: {str(error)[:300]}")
                 return name, None
 
@@ -205,13 +230,14 @@ def _scored(test: DataFrame, models: Mapping[str, Model | None], mean: float) ->
     variance of their labels; other models predict row by row.
     """
     cols = wide_columns(test)
+    known = all_of([~F.isnan(c) for c in cols]) if cols else F.lit(True)
     trees = {k: tree_nodes(m, test.sparkSession) for k, m in models.items() if isinstance(m, TREES)} if cols else {}
     trees = {k: m for k, m in trees.items() if m}
     cuts = split_points(list(trees.values()), len(cols))
     if cells_between(cuts) > MOST_CELLS:
         trees = {}
     gap = F.col(LABEL) - F.col(PREDICTION)
-    columns = (F.col(LABEL), F.col(PREDICTION).cast("double").alias(PREDICTION))
+    columns = (F.col(LABEL), F.when(known, F.col(PREDICTION)).cast("double").alias(PREDICTION))
     sums = (F.sum(gap * gap).alias("error"), F.sum(PREDICTION).alias("total"), F.count(PREDICTION).alias("k"), F.count(gap).alias("known"))
     parts = []
     for name in models:
@@ -221,7 +247,7 @@ def _scored(test: DataFrame, models: Mapping[str, Model | None], mean: float) ->
             parts.append(predicted.select(*columns).agg(*sums).select(F.lit(name).alias("model"), "*"))
     if trees:
         label = F.col(LABEL)
-        cells = alike(test.select(LABEL, *cols), cols, cuts, F.count(label).alias("labels"), F.avg(label).alias(LABEL), F.var_pop(label).alias("apart"))
+        cells = alike(test.where(known).select(LABEL, *cols), cols, cuts, F.count(label).alias("labels"), F.avg(label).alias(LABEL), F.var_pop(label).alias("apart"))
         done = materialize(predicted_once(cells, cols, list(trees.values())), "scored")
         weighted = (
             F.sum(F.col("labels") * (F.col("apart") + gap * gap)).alias("error"), F.sum(F.col("rows") * F.col(PREDICTION)).alias("total"),
@@ -311,9 +337,12 @@ def consensus_spread(predictions: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def benchmark_summary(scores: DataFrame, baseline_r2: float | None, top: int = 4) -> DataFrame:
-    """One row: baseline, best model, all scores, the top models and their weights."""
-    ai = scores.where(F.col("model") != LINEAR)
-    best = improvement(scores, baseline_r2).select("baseline_r2", "best_model", "best_r2", "points", "grade")
+    """One row: baseline, best model, all scores, the top models and their weights. A model that failed has no score and is neither best nor on top."""
+    if "failed" in scores.columns:
+        scores = scores.withColumn("r2", F.when(~F.col("failed"), F.col("r2")))
+    known = scores.where(F.col("r2").isNotNull())
+    ai = known.where(F.col("model") != LINEAR)
+    best = improvement(known, baseline_r2).select("baseline_r2", "best_model", "best_r2", "points", "grade")
     listed = scores.agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("model", "r2")))).alias("scores")
     )

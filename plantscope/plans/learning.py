@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plantscope.operators import cases, linear, models, tree_shap
+from plantscope.operators.cleaning import complete_cases
 from plantscope.plans import views
 from plantscope.plans.catalog import query, r, rounded
 from plantscope.plans.least_squares_sql import least_squares
@@ -125,10 +126,14 @@ def linear_fit_scaled(spark, sf):
 
 
 def _train(spark, sf, roster):
+    """Every learner of the roster on the complete training rows, as the regressions take them; a learner that cannot be trained is an error."""
     df = split(spark, sf)
-    train = models.assemble(df.where("not is_test"), X, Y)
+    train = models.assemble(complete_cases(df.where("not is_test"), Y, X), X, Y)
     test = models.assemble(df.where("is_test"), X, Y)
-    return models.benchmark(train, test, roster), df
+    done = models.benchmark(train, test, roster)
+    if failed := [name for name, model in done.models.items() if model is None]:
+        raise models.NotTrained(f"not trained, so nothing is compared: {', '.join(failed)}")
+    return done, df
 
 
 @query("rf_fit")
