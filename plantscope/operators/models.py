@@ -496,9 +496,12 @@ def model_predictor(model: Model, x: Sequence[str]) -> Callable[[DataFrame], Dat
     return lambda df: model.transform(VectorAssembler(inputCols=list(x), outputCol=FEATURES).transform(df))
 
 
-def shapley_importance(values: DataFrame, x: Sequence[str]) -> DataFrame:
-    """Mean absolute Shapley value per column."""
-    wide = values.agg(*[F.avg(F.abs(F.col(f"phi_{c}"))).alias(f"v{j}") for j, c in enumerate(x)])
+def shapley_importance(values: DataFrame, x: Sequence[str], rows: str | None = None) -> DataFrame:
+    """Mean absolute Shapley value per column; ``rows`` names the column that says for how many rows a row of ``values`` stands."""
+    def mean(v: Column) -> Column:
+        return F.avg(v) if rows is None else F.try_divide(F.sum(F.col(rows) * v), F.sum(F.when(v.isNotNull(), F.col(rows))))
+
+    wide = values.agg(*[mean(F.abs(F.col(f"phi_{c}"))).alias(f"v{j}") for j, c in enumerate(x)])
     marks = [F.struct(F.lit(c).alias("variable"), F.col(f"v{j}").alias("importance")) for j, c in enumerate(x)]
     return wide.select(F.inline(F.array(*marks)))
 

@@ -104,16 +104,17 @@ def _bin_values(df: DataFrame, cols: list[str], bins: int) -> tuple[tuple[float,
     None where a label is no number.
     """
     shares, x = [(k + 0.5) / bins for k in range(bins)], {c: clean(F.col(c)) for c in cols}
-    about = df.agg(
-        F.count_if(clean(F.col(LABEL)).isNull()).alias("unlabelled"), *[F.approx_count_distinct(x[c]).alias(c) for c in cols],
-        *[F.percentile_approx(x[c], shares, F.lit(10_000)).alias(f"q_{c}") for c in cols],
-    ).first()
+    about = df.agg(F.count_if(clean(F.col(LABEL)).isNull()).alias("unlabelled"), *[F.approx_count_distinct(x[c]).alias(c) for c in cols]).first()
     if about["unlabelled"]:
         return None
-    found = {c: about[f"q_{c}"] or [] for c in cols}
-    if few := [c for c in cols if about[c] <= 4 * bins]:
-        some = df.agg(*[F.collect_set(x[c]).alias(c) for c in few]).first()  # about 4 * bins values at most
-        found |= {c: some[c] for c in few if len(some[c]) <= bins}
+    # a column of few values is listed; quantiles, which cost most, are taken only of the others
+    few = {c for c in cols if about[c] <= 4 * bins}
+    some = df.agg(*[
+        F.collect_set(x[c]).alias(c) if c in few else F.percentile_approx(x[c], shares, F.lit(10_000)).alias(c) for c in cols
+    ]).first()
+    found = {c: some[c] or [] for c in cols}
+    if over := [c for c in few if len(found[c]) > bins]:
+        found |= df.agg(*[F.percentile_approx(x[c], shares, F.lit(10_000)).alias(c) for c in over]).first().asDict()
     return tuple(_apart(found[c]) for c in cols)
 
 

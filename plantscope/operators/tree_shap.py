@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from plantscope.operators.tree_cells import MOST_CELLS, alike, cells_between, split_points, tree_nodes
 from plantscope.session import scratch_dir, spread
 
 #: At most so many leaves are explained in one task; beyond, the ensemble is too large to ship to every task.
@@ -166,6 +167,19 @@ def shapley_matrix(x: np.ndarray, paths: Paths) -> np.ndarray:
     return phi
 
 
+def rows_alike(df: DataFrame, x: Sequence[str], model, rows: str = "rows") -> DataFrame:
+    """The features of ``df``, one row for all rows that the trees of ``model`` do not tell apart, and in ``rows`` how many they are.
+
+    Such rows lie on the same side of every split, so their predictions and Shapley values are the same. Where there may be more than
+    ``MOST_CELLS`` kinds, every row stands for itself.
+    """
+    nodes = tree_nodes(model, df.sparkSession)
+    cuts = split_points([nodes], len(x)) if nodes else []
+    if nodes is None or cells_between(cuts) > MOST_CELLS:
+        return df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in x], F.lit(1).cast("long").alias(rows))
+    return alike(df, x, cuts).select(*[F.col(f"_x{j}").alias(c) for j, c in enumerate(x)], F.col("rows").alias(rows))
+
+
 def tree_shapley(df: DataFrame, x: Sequence[str], model, keep: Sequence[str] = ()) -> DataFrame:
     """``keep`` columns, the features, ``phi_<feature>`` for every row of ``df``, and ``expected``: the ensemble's mean over its training rows.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plantscope.operators import huber, linear, models, review, tree_shap
+from plantscope.operators.cleaning import complete_cases
 from plantscope.operators.gram import gram_by
 from plantscope.plans import views
 from plantscope.plans.catalog import query, r, rounded
@@ -216,12 +217,13 @@ def lasso_select(spark, sf):
 
 
 def _forest_shapley(spark, sf, trees: int):
-    df = views.process(spark, sf).select(*NUMERIC)
+    df = complete_cases(views.process(spark, sf).select(*NUMERIC), Y, X)
     if df.limit(11).count() <= 10:
         raise ValueError("more than 10 rows are needed")
-    fit = models.random_forest(trees, depth=8, seed=42).fit(models.assemble(df, X, Y))
-    # exact tree Shapley values of every row
-    return models.shapley_importance(tree_shap.tree_shapley(df, X, fit), X)
+    fit = models.fit(models.random_forest(trees, depth=8, seed=42), models.assemble(df, X, Y))
+    # exact tree Shapley values of every row, worked out once for rows on the same side of every split
+    values = tree_shap.tree_shapley(tree_shap.rows_alike(df, X, fit), X, fit, keep=["rows"])
+    return models.shapley_importance(values, X, "rows")
 
 
 @query("shap_select")

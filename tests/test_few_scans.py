@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plantscope.operators import machine_sums, models, tree_cells
+from plantscope.operators import machine_sums, models, tree_cells, tree_shap
 from plantscope.session import local_table
 
 X = ["a", "b", "c"]
@@ -95,3 +95,26 @@ def test_predictions_of_all_models_in_one_table(spark, df):
     assert len(found) == 12
     plan = long._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInPandas") == 1  # all trees in one pass, their models not sent one by one
+
+
+def test_shapley_importance_from_rows_alike_is_that_of_all_rows(spark, df):
+    coarse = df.select(*[F.round(F.col(c) / 3).alias(c) for c in X], "y").withColumn("b", F.when(F.col("a") < 1, F.col("b")))
+    model = models.fit(models.random_forest(6, depth=4), models.assemble(coarse, X, "y"))
+    alike = tree_shap.rows_alike(coarse, X, model)
+    assert alike.count() < 600 and alike.agg({"rows": "sum"}).first()[0] == 900
+    by_cells = models.shapley_importance(tree_shap.tree_shapley(alike, X, model, keep=["rows"]), X, "rows")
+    by_rows = models.shapley_importance(tree_shap.tree_shapley(coarse, X, model), X)
+    want = {r["variable"]: r["importance"] for r in by_rows.collect()}
+    assert {r["variable"]: r["importance"] for r in by_cells.collect()} == pytest.approx(want, rel=1e-9)
+
+
+def test_the_review_trains_on_cells_and_explains_kinds_of_rows(spark, sf_dir, monkeypatch):
+    from plantscope.plans import regression
+
+    explained, fitted = [], []
+    shapley, fit = tree_shap.tree_shapley, models.fit
+    monkeypatch.setattr(tree_shap, "tree_shapley", lambda df, *a, **k: explained.append(df.count()) or shapley(df, *a, **k))
+    monkeypatch.setattr(models, "fit", lambda learner, *a: fitted.append(learner) or fit(models.random_forest(3, depth=3), *a))
+    assert regression.shap_select(spark, sf_dir).count() == 3
+    assert (fitted[0].getNumTrees(), fitted[0].getMaxDepth()) == (50, 8)
+    assert explained[0] < spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() / 2
