@@ -108,13 +108,14 @@ def test_shapley_importance_from_rows_alike_is_that_of_all_rows(spark, df):
     assert {r["variable"]: r["importance"] for r in by_cells.collect()} == pytest.approx(want, rel=1e-9)
 
 
-def test_the_review_trains_on_cells_and_explains_kinds_of_rows(spark, sf_dir, monkeypatch):
+@pytest.mark.parametrize(("name", "rows"), [("shap_select", 3), ("variable_review", 4)])
+def test_the_review_trains_on_cells_and_explains_kinds_of_rows(spark, sf_dir, monkeypatch, name, rows):
     from plantscope.plans import regression
 
     explained, fitted = [], []
     shapley, fit = tree_shap.tree_shapley, models.fit
     monkeypatch.setattr(tree_shap, "tree_shapley", lambda df, *a, **k: explained.append(df.count()) or shapley(df, *a, **k))
     monkeypatch.setattr(models, "fit", lambda learner, *a: fitted.append(learner) or fit(models.random_forest(3, depth=3), *a))
-    assert regression.shap_select(spark, sf_dir).count() == 3
+    assert getattr(regression, name)(spark, sf_dir).count() == rows
     assert (fitted[0].getNumTrees(), fitted[0].getMaxDepth()) == (50, 8)
     assert explained[0] < spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() / 2
