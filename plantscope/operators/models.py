@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from math import comb, factorial
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml import PipelineModel
@@ -32,7 +33,22 @@ from pyspark.sql import functions as F
 
 from plantscope.functions.numeric import all_of, band, clean
 from plantscope.operators.machine_sums import fit_on_sums, sums_learner
-from plantscope.operators.tree_cells import MOST_CELLS, TREES, CellSource, alike, cell_learner, cells_between, fit_on_cells, predicted_once, split_points, tree_nodes, wide_columns
+from plantscope.operators.tree_cells import (
+    MOST_CELLS,
+    TREES,
+    CellSource,
+    Nodes,
+    alike,
+    cell_learner,
+    cell_predictions,
+    cells_between,
+    fit_on_cells,
+    predicted_once,
+    split_points,
+    tree_nodes,
+    wide_columns,
+    with_cell,
+)
 from plantscope.session import local_table, materialize, scratch_dir, spread
 
 FEATURES, LABEL, PREDICTION = "features", "label", "prediction"
@@ -387,10 +403,66 @@ def permutation_importance(
 ) -> DataFrame:
     """Mean loss of R2 when one column is shuffled: ``variable, importance, sd``.
 
-    Each repeat throws the rows into random blocks of bounded size and hands
-    every row the values of the next one in its block, a random permutation
-    that needs no global order and no join.
+    The rows are thrown into random blocks of bounded size, and each repeat
+    hands every row the values of the next one in a random order of its block,
+    a permutation that needs no global order and no join. Trees do not see more
+    of a row than its cell, so with them a row travels as its cell and target,
+    and its predictions are looked up in a table of all cells, where that is
+    small. Other models predict every row for every repeat and column.
     """
+    nodes = tree_nodes(model, test.sparkSession) if isinstance(model, TREES) else None
+    cuts = split_points([nodes], len(x)) if nodes else []
+    if nodes and cells_between(cuts) <= MOST_CELLS:
+        return _permuted_cells(test, x, y, nodes, cuts, repeats, block)
+    return _permuted_rows(test, x, y, model, repeats, block)
+
+
+def _permuted_cells(test: DataFrame, x: Sequence[str], y: str, nodes: Nodes, cuts: Sequence[np.ndarray], repeats: int, block: int) -> DataFrame:
+    """:func:`permutation_importance` of trees, by the prediction of every cell between the cuts."""
+    spark = test.sparkSession
+    table = spark.sparkContext.broadcast(cell_predictions(nodes, cuts, spark))
+    rows = with_cell(test, x, cuts).select("cell", F.col(f"`{y}`").cast("double").alias(LABEL)).withColumn("_row", F.monotonically_increasing_id())
+    numbered = materialize(rows, "numbered")
+    whole = numbered.agg(F.count(F.lit(1)).alias("n"), F.var_pop(LABEL).alias("spread")).first()
+    blocks = max(1, -(-whole["n"] // block))
+    hashes = [f"_h{r}" for r in range(repeats)]
+    thrown = numbered.withColumn("_block", F.pmod(F.xxhash64("_row"), F.lit(blocks)))
+    sizes = [len(k) + 1 for k in cuts]
+    units = np.cumprod([1, *sizes[:-1]])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_row")
+        cell, label = pdf["cell"].to_numpy(np.int64), pdf[LABEL].to_numpy(np.float64)
+        predicted = table.value
+        known = ~np.isnan(label)
+
+        def error(cells: np.ndarray) -> float:
+            gap = (label - predicted[cells])[known]
+            return float(gap @ gap)
+
+        shares = [cell // unit % size * unit for unit, size in zip(units, sizes)]
+        out, following = [(-1, -1, error(cell), int(known.sum()))], np.empty(len(cell), np.int64)
+        for r, name in enumerate(hashes):
+            order = np.argsort(pdf[name].to_numpy(), kind="stable")
+            following[order] = np.roll(order, -1)
+            for j, share in enumerate(shares):
+                out.append((r, j, error(cell + share[following] - share), out[0][3]))
+        return pd.DataFrame(out, columns=["repeat", "j", "error", "known"])
+
+    wide = thrown.select("*", *[F.xxhash64(F.lit(r), "_row").alias(h) for r, h in enumerate(hashes)])
+    errors = wide.groupBy("_block").applyInPandas(run, "repeat int, j int, error double, known long")
+    found = errors.groupBy("repeat", "j").agg(F.sum("error").alias("error"), F.sum("known").alias("known"))
+    found = found.select("repeat", "j", (1 - F.try_divide(F.try_divide("error", "known"), F.lit(whole["spread"]))).alias("r2")).collect()
+    known = next((r["r2"] for r in found if r["j"] < 0), None)
+    names = local_table(spark, [(j, c) for j, c in enumerate(x)], "j int, variable string")
+    moved = local_table(spark, [(r["repeat"], r["j"], r["r2"]) for r in found if r["j"] >= 0], "repeat int, j int, r2 double")
+    return moved.join(names, "j").groupBy("variable").agg(
+        F.avg(F.lit(known).cast("double") - F.col("r2")).alias("importance"), F.stddev_pop("r2").alias("sd")
+    )
+
+
+def _permuted_rows(test: DataFrame, x: Sequence[str], y: str, model: Model, repeats: int, block: int) -> DataFrame:
+    """:func:`permutation_importance` of any model; here the blocks are thrown anew for every repeat."""
     # every row gets a number of its own, written once, so that equal rows are told apart and stay so
     base = test.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in [y, *x]])
     numbered = materialize(base.withColumn("_row", F.monotonically_increasing_id()), "numbered")

@@ -444,15 +444,40 @@ def cells_between(cuts: Sequence[np.ndarray]) -> float:
     return float(np.prod([len(k) + 1.0 for k in cuts]))
 
 
+def with_cell(df: DataFrame, cols: Sequence[str], cuts: Sequence[np.ndarray]) -> DataFrame:
+    """``df``, its columns as doubles ``_v0``, ``_v1``, ... (NaN for missing), and the number of its ``cell`` between the cuts."""
+    names = [f"_v{j}" for j in range(len(cols))]
+    wide = df.select("*", *[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(float("nan"))).alias(n) for c, n in zip(cols, names)])
+    binned, cell = _binned(wide, names, cuts)
+    return binned.withColumn("cell", cell)
+
+
+def cell_predictions(nodes: Nodes, cuts: Sequence[np.ndarray], spark: SparkSession) -> np.ndarray:
+    """The prediction for every cell between the cuts, in order of their numbers, of which there are ``MOST_CELLS`` at most."""
+    sizes = [len(k) + 1 for k in cuts]
+    middles = [np.append(k, np.inf) for k in cuts]  # a value equal to a threshold goes left
+    shipped, count = spark.sparkContext.broadcast(nodes), int(np.prod(sizes))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            codes = _codes(pdf["id"].to_numpy(np.int64), sizes)
+            yield pdf.assign(p=shipped.value.predict(np.column_stack([m[c] for m, c in zip(middles, codes)])))
+
+    parts = max(1, min(spark.sparkContext.defaultParallelism, count // 1000))
+    found = spark.range(0, count, 1, parts).mapInPandas(run, "id long, p double").toArrow()
+    out = np.empty(count)
+    out[found["id"].to_numpy()] = found["p"].to_numpy()
+    return out
+
+
 def alike(df: DataFrame, cols: Sequence[str], cuts: Sequence[np.ndarray], *aggregates: Column) -> DataFrame:
     """One row for all rows of ``df`` between the same cuts: the number of rows ``rows``, for each column a value in the same bin, the aggregates.
 
     Written once and spread over the cores. The columns are doubles; a missing value goes right at every split.
     """
     names = [f"_x{j}" for j in range(len(cols))]
-    wide = df.select("*", *[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(float("nan"))).alias(f"_v{j}") for j, c in enumerate(cols)])
-    binned, cell = _binned(wide, [f"_v{j}" for j in range(len(cols))], cuts)
-    met = binned.groupBy(cell.alias("cell")).agg(
+    binned = with_cell(df, cols, cuts)
+    met = binned.groupBy("cell").agg(
         F.count(F.lit(1)).alias("rows"), *[F.min(f"_v{j}").alias(n) for j, n in enumerate(names)], *aggregates
     )
     return spread(materialize(met, "alike"))

@@ -162,7 +162,8 @@ def benchmark_summary(spark, sf):
 @query("permutation_importance")
 def permutation_importance(spark, sf):
     done, df = _train(spark, sf, {"permutation_base": models.random_forest(150, depth=6, seed=123)})
-    return models.permutation_importance(df.where("is_test"), X, Y, done.models["permutation_base"], repeats=10)
+    test = complete_cases(df.where("is_test"), Y, X)
+    return models.permutation_importance(test, X, Y, done.models["permutation_base"], repeats=10)
 
 
 @query("shapley_importance")

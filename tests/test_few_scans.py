@@ -119,3 +119,21 @@ def test_the_review_trains_on_cells_and_explains_kinds_of_rows(spark, sf_dir, mo
     assert getattr(regression, name)(spark, sf_dir).count() == rows
     assert (fitted[0].getNumTrees(), fitted[0].getMaxDepth()) == (50, 8)
     assert explained[0] < spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() / 2
+
+
+def test_permuted_cells_are_permuted_rows(spark, df):
+    model = models.fit(models.random_forest(6, depth=4), models.assemble(df, X, "y"))
+    got = {r["variable"]: r for r in models.permutation_importance(df, X, "y", model, repeats=4).collect()}
+    want = {r["variable"]: r for r in models._permuted_rows(df, X, "y", model, 4, models.PERMUTATION_BLOCK).collect()}
+    assert set(got) == set(want) == set(X)
+    for c in X:  # in one block both take the same permutations
+        assert tuple(got[c])[1:] == pytest.approx(tuple(want[c])[1:], rel=1e-9, abs=1e-12)
+    small = {r["variable"]: r for r in models.permutation_importance(df, X, "y", model, repeats=20, block=100).collect()}
+    for c in X:
+        assert small[c]["importance"] == pytest.approx(want[c]["importance"], abs=0.1 * max(w["importance"] for w in want.values()))
+
+
+def test_permuted_rows_of_trees_are_not_predicted_again(spark, df, monkeypatch):
+    model = models.fit(models.random_forest(3, depth=3), models.assemble(df, X, "y"))
+    monkeypatch.setattr(type(model), "transform", lambda *a: pytest.fail("rows were predicted one by one"))
+    assert models.permutation_importance(df, X, "y", model, repeats=2, block=200).count() == 3
