@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml import PipelineModel
 from pyspark.ml.regression import (
     DecisionTreeRegressionModel,
@@ -212,9 +213,14 @@ def benchmark(train: DataFrame, test: DataFrame, roster: Mapping[str, Estimator]
     """
     spark = train.sparkSession
     rows = rows_key(train)
-    few, several = train, spread(train)
-    again = any(not _few_scans(learner, train) for learner in roster.values())
-    train = several.persist() if several is not few or again else several
+    cols = wide_columns(train)
+    plain = train.select(LABEL, FEATURES) if cols else train
+    several, held = spread(plain), None
+    if several is not plain:
+        x, held = vector_to_array(F.col(FEATURES)), several.persist()
+        train = held.select("*", *[x[j].alias(c) for j, c in enumerate(cols)])
+    elif any(not _few_scans(learner, train) for learner in roster.values()):
+        train = held = train.persist()
     source = CellSource(train)
     models: dict[str, Model | None] = {}
     try:
@@ -231,7 +237,8 @@ def benchmark(train: DataFrame, test: DataFrame, roster: Mapping[str, Estimator]
         failed = [name for name, m in models.items() if m is None]
         mean = float(train.agg(F.avg(LABEL)).first()[0] or 0.0) if failed else 0.0
     finally:
-        train.unpersist()
+        if held is not None:
+            held.unpersist()
     got = _scored(test, models, mean)
     rows = [(name, got[name]["r2"] if name in got else None, got[name]["mean"] if name in got else None,
              got[name]["n"] if name in got else 0, models[name] is None) for name in roster]
