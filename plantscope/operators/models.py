@@ -45,6 +45,7 @@ from plantscope.operators.tree_cells import (
     cells_between,
     fit_on_cells,
     predicted_once,
+    read_saved,
     split_points,
     tree_nodes,
     wide_columns,
@@ -187,7 +188,7 @@ def fit_once(learner: Estimator, train: DataFrame, rows: str | None = None, sour
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/done")
     fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
     if fs.exists(hadoop):
-        model = kind.load(f"{path}/model")
+        model = read_saved(kind, f"{path}/model", spark)
     else:
         model = trained(lambda: fit(learner, train, source, f"{path}/model"))
         if getattr(model, "saved_at", None) is None:

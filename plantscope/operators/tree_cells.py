@@ -37,6 +37,7 @@ from pyspark.ml.regression import (
     RandomForestRegressionModel,
     RandomForestRegressor,
 )
+from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -319,11 +320,45 @@ def _saved(kind: type[Model], path: str, settings: DataFrame, trees: DataFrame,
     settings.coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
     trees.write.mode("overwrite").parquet(f"{path}/treesMetadata")
     data.write.mode("overwrite").parquet(f"{path}/data")
-    model = kind.load(path)
+    return read_saved(kind, path, nodes.sparkSession)
+
+
+def read_saved(kind: type[Model], path: str, spark: SparkSession) -> Model:
+    model = SavedForest(path, spark) if kind is RandomForestRegressionModel else kind.load(path)
     model.saved_at = path
     return model
 
 
+class SavedForest(RandomForestRegressionModel):
+    """A forest read from its saved form when Spark's object is first asked for: many deep trees take hundreds of MB of the driver."""
+
+    def __init__(self, path: str, spark: SparkSession):
+        self._made = None
+        super().__init__()
+        self.saved_at = path
+        settings = DefaultParamsReader.loadMetadata(path, spark)
+        self._resetUid(settings["uid"])
+        DefaultParamsReader.getAndSetParams(self, settings)
+
+    @property
+    def _java_obj(self):
+        if self._made is None and "saved_at" in self.__dict__:
+            self._made = RandomForestRegressionModel.read()._jread.load(self.saved_at)
+        return self._made
+
+    @_java_obj.setter
+    def _java_obj(self, made):
+        self._made = made
+
+    @property
+    def trees(self) -> list[DecisionTreeRegressionModel]:  # a property proper, which a search for parameters passes over
+        return [DecisionTreeRegressionModel(m) for m in list(self._call_java("trees"))]
+
+    def __del__(self):
+        if self._made is not None:
+            super().__del__()
+
+
 # --- boosted trees -------------------------------------------------------------------------------
 
 

@@ -137,3 +137,16 @@ def test_permuted_rows_of_trees_are_not_predicted_again(spark, df, monkeypatch):
     model = models.fit(models.random_forest(3, depth=3), models.assemble(df, X, "y"))
     monkeypatch.setattr(type(model), "transform", lambda *a: pytest.fail("rows were predicted one by one"))
     assert models.permutation_importance(df, X, "y", model, repeats=2, block=200).count() == 3
+
+
+def test_scoring_does_not_bring_forests_into_the_driver(spark, df):
+    train = models.assemble(df, X, "y")
+    learner = models.random_forest(6, depth=4, seed=31)
+    done = models.benchmark(train, train, {"forest": learner})
+    model = done.models["forest"]
+    assert model._made is None and done.scores.first()["r2"] > 0.5
+    assert (model.getMaxDepth(), model.getSeed()) == (4, 31) and model._made is None
+    assert model.getNumTrees == 6 and len(model.trees) == 6 and model._made is not None
+    assert model._made.uid() == model.uid
+    again = models.fit_once(learner, train)
+    assert again.uid == model.uid and np.array_equal(predictions(again, train), predictions(model, train))
